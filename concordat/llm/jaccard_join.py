@@ -28,17 +28,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._text import Chunk, chunks, drop_tables, mix, texts_of, written
 from .components import components
+from .seen_filters import PACKED, RUN, SeenFilters, packed, range_bits_for
 
 SHINGLE, PERCENT = 5, 75
 FREQUENT, CLASSES, SALTS = 32, 16, 16
-FILTER_BITS, FREQUENT_BITS, RUN = 1 << 27, 1 << 23, 1 << 21
 
 
 def token_sets(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,60 +58,13 @@ def set_keys(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def _pack(v: np.ndarray) -> bytes:
-    """Differences of sorted 32-bit values, their bytes grouped by significance, which compresses well."""
-    d = np.diff(v, prepend=np.zeros(1, v.dtype)).astype("<u4")
-    return d.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    d = np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
-    return np.cumsum(d, dtype=np.uint32)
-
-
-class ShingleFilters:
-    """Two filters over 2**range_bits blocks: shingles found twice, and frequent ones."""
-
-    def __init__(self, range_bits: int, twice: np.ndarray, frequent: np.ndarray):
-        self.range_bits, self.twice, self.frequent = range_bits, twice, frequent
-
-    @staticmethod
-    def places(v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        w = mix(v.astype(np.uint64))
-        return (w & np.uint64(bits - 1)).astype(np.int64), ((w >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
-
-    @classmethod
-    def block(cls, v: np.ndarray, bits: int) -> bytes:
-        out = np.zeros(bits, bool)
-        for at in cls.places(v, bits):
-            out[at] = True
-        return np.packbits(out).tobytes()
-
-    def holds(self, table: np.ndarray, h: np.ndarray) -> np.ndarray:
-        block = (h >> np.uint64(64 - self.range_bits)).astype(np.int64)
-        bits = table.shape[1] * 8
-        ok = np.ones(len(h), bool)
-        for at in self.places((h >> np.uint64(32 - self.range_bits)).astype(np.uint32), bits):
-            ok &= (table[block, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-        return ok
-
-
 def _pass_one(size: int, range_bits: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("part", pa.int32()), ("v", pa.binary()), ("c", pa.binary())])
-
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, count = np.unique(np.concatenate(held), return_counts=True)
-        part = (h >> np.uint64(64 - range_bits)).astype(np.int64)
-        v = (h >> np.uint64(32 - range_bits)).astype(np.uint32)
-        at = np.flatnonzero(np.diff(part, prepend=-1))
-        ends = np.append(at[1:], len(h))
-        k = len(at)
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(part[at], pa.int32()),
-             pa.array([_pack(v[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
-             pa.array([np.minimum(count[i:j], 255).astype(np.uint8).tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())],
-            schema=schema,
-        )
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), *PACKED])
+
+    def runs(held: list[np.ndarray]) -> pa.RecordBatch:
+        columns = packed(held, range_bits)
+        k = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), *columns], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept = [], 0
@@ -127,26 +79,10 @@ def _pass_one(size: int, range_bits: int):
                 held.append(h)
                 kept += len(h)
                 if kept >= RUN:
-                    yield packed(held)
+                    yield runs(held)
                     held, kept = [], 0
         if kept:
-            yield packed(held)
-
-    return run
-
-
-def _merge(frequent: int, twice_bits: int, frequent_bits: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v = np.concatenate([_unpack(x) for x in rows["v"]])
-        c = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["c"]]).astype(np.int64)
-        order = np.argsort(v, kind="stable")
-        v, c = v[order], c[order]
-        at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        v, c = v[at], np.add.reduceat(c, at)
-        return pd.DataFrame({
-            "part": [rows["part"].iloc[0]], "twice": [ShingleFilters.block(v[c > 1], twice_bits)],
-            "frequent": [ShingleFilters.block(v[c > frequent], frequent_bits)],
-        })
+            yield runs(held)
 
     return run
 
@@ -174,11 +110,11 @@ def _signatures(size: int, percent: int, shared):
                 out.append(mix(x[i] * np.uint64(3) + x[j] + np.uint64(k + 1)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
-    def of_chunk(texts: list[bytes], filters: ShingleFilters) -> list[np.ndarray]:
+    def of_chunk(texts: list[bytes], filters: SeenFilters) -> list[np.ndarray]:
         doc, h = token_sets(Chunk(texts, lower=True), size)
         n = np.bincount(doc, minlength=len(texts))
         key = set_keys(doc, h, len(texts))
-        freq = filters.holds(filters.frequent, h)
+        freq = filters.holds(filters.often, h)
         order = np.lexsort((h, freq, doc))
         doc, h, freq = doc[order], h[order], freq[order]
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -235,16 +171,9 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     """doc_id, n_shingles and component_id of every row of ``documents``."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    range_bits = min(20, max(6, math.ceil(math.log2(max(1, documents.count()) / 400 + 1))))
+    range_bits = range_bits_for(documents.count())
     first = written(texts.mapInArrow(_pass_one(size, range_bits), "doc_id bigint, n int, node bigint, part int, v binary, c binary"), "sets")
-    twice_bits, frequent_bits = max(64, FILTER_BITS >> range_bits), max(64, FREQUENT_BITS >> range_bits)
-    merged = first.where("part IS NOT NULL").select("part", "v", "c").groupBy("part").applyInPandas(
-        _merge(frequent, twice_bits, frequent_bits), "part int, twice binary, frequent binary"
-    )
-    twice, often = np.zeros((1 << range_bits, twice_bits // 8), np.uint8), np.zeros((1 << range_bits, frequent_bits // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        twice[r["part"]], often[r["part"]] = np.frombuffer(r["twice"], np.uint8), np.frombuffer(r["frequent"], np.uint8)
-    shared = spark.sparkContext.broadcast(ShingleFilters(range_bits, twice, often))
+    shared = spark.sparkContext.broadcast(SeenFilters.build(first.where("part IS NOT NULL"), range_bits, frequent))
     docs = written(first.where("part IS NULL").select("doc_id", "n", "node"), "documents")
     drop_tables(spark, [first])
 
