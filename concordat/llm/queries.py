@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import op6_decontamination
 from .html_extraction import op7_html_extraction
+from .jaccard_join import op8_jaccard_join
 from .language_id import op4_language_id
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op3_quality_rules
+from .source_mixing import op9_source_mixing
+from .suffix_dedup import op5_suffix_dedup
 from .token_counts import op1_token_counts
 from .url_filters import OP2_SQL, op2_url_filters
 
@@ -16,7 +20,11 @@ QUERIES = {
         op2_url_filters,
         op3_quality_rules,
         op4_language_id,
+        op5_suffix_dedup,
+        op6_decontamination,
         op7_html_extraction,
+        op8_jaccard_join,
+        op9_source_mixing,
         op10_quality_classifier,
     )
 }
