@@ -139,8 +139,8 @@ def repeated(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The binary column as byte strings; null counts as empty."""
-    return [x or b"" for x in batch.column(name).to_pylist()]
+    """The text column as UTF-8 byte strings; null counts as empty."""
+    return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -167,8 +167,7 @@ def accepted(documents: DataFrame, model: AdditiveModel, cut: float = CUT) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = shared.value.score(measured(b)[1]) >= cut
-            yield b.filter(pa.array(keep))
+            yield b.filter(pa.array(shared.value.score(measured(b)[1]) >= cut))
 
     return documents.mapInArrow(run, documents.schema)
 
