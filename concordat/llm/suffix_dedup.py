@@ -286,7 +286,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     Bytes of a character that is cut in part go with it. A document of which only white space is left goes.
     """
     rows = _joined(documents, lost_ranges(documents))
-    schema = documents.schema
+    schema, names = documents.schema, documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,10 +294,10 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             raw = [(t or "").encode() for t in text]
             cut = [cut_out(t, r).decode("utf-8", "ignore") if r else x for x, t, r in zip(text, raw, _runs_of(b, raw), strict=True)]
             keep = pa.array([x is None or x == t or bool(x.strip()) for x, t in zip(cut, text, strict=True)])
-            columns = [pa.array(cut, pa.string()) if x == "text" else b.column(x) for x in documents.columns]
-            yield pa.RecordBatch.from_arrays(columns, documents.columns).filter(keep)
+            columns = [pa.array(cut, pa.string()) if x == "text" else b.column(x) for x in names]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
 
-    return rows.select(*documents.columns, "_lo", "_hi").mapInArrow(run, schema)
+    return rows.select(*names, "_lo", "_hi").mapInArrow(run, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
