@@ -99,7 +99,7 @@ def posterior(ann: DataFrame, prior: dict[str, float], confusion: DataFrame, evi
     """
     power = F.when(F.col("evidence_ok").eqNullSafe(False), evidence_penalty).otherwise(1.0)
     votes = valid(ann).select("item_id", "model", F.col("label").alias("pred"), power.alias("power"))
-    log = votes.join(F.broadcast(confusion), ["model", "pred"]).groupBy("item_id", F.col("true").alias("label")).agg(
+    log = votes.join(F.broadcast(confusion), ["model", "pred"]).groupBy("item_id", F.col("truth").alias("label")).agg(
         F.sum(F.col("power") * F.log(F.greatest("p", F.lit(1e-9)))).alias("ll")
     )
     log = log.withColumn("ll", F.col("ll") + F.log(F.greatest(literal_map(prior, F.col("label"), 0.0), F.lit(1e-9))))

@@ -133,5 +133,5 @@ e AS (SELECT item_id, label, exp(ll - max(ll) OVER (PARTITION BY item_id)) AS e
 SELECT item_id, label, round(e / sum(e) OVER (PARTITION BY item_id), 6) AS prob FROM e""")
 def vote_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(m, t, p, d if t == p else (1 - d) / 2) for m, d in _DIAG.items() for t in LABELS for p in LABELS]
-    confusion = spark.createDataFrame(rows, "model string, true string, pred string, p double")
+    confusion = spark.createDataFrame(rows, "model string, truth string, pred string, p double")
     return votes.posterior(annotations(spark, sf_dir), _PRIOR, confusion).withColumn("prob", F.round("prob", 6))
