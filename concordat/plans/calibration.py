@@ -108,10 +108,10 @@ def coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.coverage_curve(crossfit_posteriors(spark, sf_dir), GRID)
 
 
-@query(f"{CURVE_SQL} SELECT threshold, n_auto, coverage, accuracy FROM curve WHERE accuracy >= 0.33 ORDER BY coverage DESC, accuracy DESC, threshold LIMIT 1")
+@query(f"{CURVE_SQL} SELECT threshold, n_auto, coverage, accuracy FROM curve WHERE accuracy >= 0.3 ORDER BY coverage DESC, accuracy DESC, threshold LIMIT 1")
 def pick_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold of the largest coverage with enough accuracy."""
-    return coverage_curve(spark, sf_dir).where("accuracy >= 0.33").orderBy(F.desc("coverage"), F.desc("accuracy"), "threshold").limit(1)
+    return coverage_curve(spark, sf_dir).where("accuracy >= 0.3").orderBy(F.desc("coverage"), F.desc("accuracy"), "threshold").limit(1)
 
 
 A_GRID, B_GRID = [round(0.5 + 0.05 * i, 2) for i in range(11)], [round(0.05 * i, 2) for i in range(21)]

@@ -1 +1,252 @@
-"""Queries."""
+"""Queries over runs, reviews, caches and example tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import merge, metrics, votes
+from ..operators.metrics import rate
+from ..sources.tables import ANN_SQL, annotations, gold, table
+from .registry import query
+from .routing import BASE, routed
+
+OK = "error IS NULL AND label IS NOT NULL"
+REVIEW_SQL = "rev AS (SELECT o_orderkey AS item_id, CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS human FROM orders WHERE o_orderkey % 7 = 0)"
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_custkey") % 3
+    return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("item_id"), F.when(k == 0, "A").when(k == 1, "N").otherwise("R").alias("human"))
+
+
+@query(f"{BASE} SELECT item_id, label, gold FROM routed JOIN gold USING (item_id)")
+def gold_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routed(spark, sf_dir).join(gold(spark, sf_dir), "item_id").select("item_id", "label", "gold")
+
+
+@query(f"{BASE}, {REVIEW_SQL} SELECT item_id, r.label AS machine_label, status, coalesce(human, '') AS human_label, coalesce(human, r.label) AS final_label, CASE WHEN human IS NULL THEN 'model' ELSE 'human' END AS source FROM routed r LEFT JOIN rev USING (item_id)")
+def merged_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = routed(spark, sf_dir).join(reviews(spark, sf_dir), "item_id", "left")
+    return j.select("item_id", F.col("label").alias("machine_label"), "status", F.coalesce("human", F.lit("")).alias("human_label"), F.coalesce("human", "label").alias("final_label"), F.when(F.col("human").isNull(), "model").otherwise("human").alias("source"))
+
+
+@query(f"""{BASE}, {REVIEW_SQL} SELECT status, count(*) AS n, count(*) FILTER (WHERE r.label = human) AS agree, count(*) FILTER (WHERE r.label IS DISTINCT FROM human) AS changed,
+  round(CAST(count(*) FILTER (WHERE r.label = human) AS double) / count(*), 6) AS agreement FROM routed r JOIN rev USING (item_id) GROUP BY status""")
+def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = routed(spark, sf_dir).join(reviews(spark, sf_dir), "item_id")
+    same = F.coalesce(F.col("label") == F.col("human"), F.lit(False))
+    return j.groupBy("status").agg(F.count("*").alias("n"), F.count_if(same).alias("agree"), F.count_if(~same).alias("changed"), rate(F.count_if(same), F.count("*")).alias("agreement"))
+
+
+@query("""WITH done AS (SELECT o_orderkey AS item_id, max_by(o_orderpriority, o_orderdate) AS state FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_orderkey)
+SELECT o_orderkey AS item_id, coalesce(state, 'todo') AS state FROM orders LEFT JOIN done ON item_id = o_orderkey""")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resumed run: finished items from the checkpoint, the others (an anti-join) to do, in one table."""
+    o = table(spark, sf_dir, "orders")
+    done = o.where("o_custkey % 3 = 0").groupBy(F.col("o_orderkey").alias("item_id")).agg(F.max_by("o_orderpriority", "o_orderdate").alias("state"))
+    items = o.select(F.col("o_orderkey").alias("item_id"))
+    todo = items.join(done, "item_id", "left_anti").withColumn("state", F.lit("todo"))
+    return done.unionByName(todo)
+
+
+_KEY = "sha256(concat_ws(chr(31), 'p', model, CAST(item_id AS varchar)))"
+
+
+@query(f"""WITH {ANN_SQL}, k AS (SELECT model, out_tokens, {_KEY} AS key FROM ann), cache AS (SELECT DISTINCT key FROM k WHERE substr(key, 1, 1) < '8')
+SELECT model, count(*) AS calls, count(c.key) AS hits, CAST(sum(CASE WHEN c.key IS NULL THEN out_tokens ELSE 0 END) AS bigint) AS paid_tokens, CAST(sum(CASE WHEN c.key IS NOT NULL THEN out_tokens ELSE 0 END) AS bigint) AS saved_tokens
+FROM k LEFT JOIN cache c USING (key) GROUP BY model""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls answered from the reply cache, by a join on the hash of what would be asked."""
+    k = annotations(spark, sf_dir).withColumn("key", T.chain_hash(F.lit("p"), F.col("model"), F.col("item_id").cast("string"))).select("model", "out_tokens", "key")
+    cache = k.where(F.substring("key", 1, 1) < "8").select("key").distinct().withColumn("hit", F.lit(True))
+    j = k.join(cache, "key", "left")
+    return j.groupBy("model").agg(
+        F.count("*").alias("calls"), F.count("hit").alias("hits"), F.sum(F.when(F.col("hit").isNull(), F.col("out_tokens")).otherwise(0)).alias("paid_tokens"), F.sum(F.when(F.col("hit"), F.col("out_tokens")).otherwise(0)).alias("saved_tokens")
+    )
+
+
+@query("""SELECT sha256(t) AS h, min(doc_id) AS first_id FROM (SELECT trim(text) AS t, doc_id FROM documents) d WHERE t NOT IN (SELECT trim(text) FROM documents WHERE doc_id % 4 = 0) GROUP BY t""")
+def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts without a cached vector."""
+    d = table(spark, sf_dir, "documents").select(F.sha2(F.trim("text"), 256).alias("h"), "doc_id")
+    cached = d.where("doc_id % 4 = 0").select("h").distinct()
+    return d.join(cached, "h", "left_anti").groupBy("h").agg(F.min("doc_id").alias("first_id"))
+
+
+_WEEK = "CAST(date_diff('day', DATE '1970-01-05', CAST(ts AS date)) // 7 AS int)"
+_RUNS_SQL = f"""runs AS (SELECT {_WEEK} AS run, event_type AS label, user_id, value FROM events),
+rs AS (SELECT run, count(*) AS n, round(CAST(count(*) FILTER (WHERE value < 20) AS double) / count(*), 6) AS human_rate, round(avg(CASE WHEN event_type_ok THEN CAST(1 AS double) ELSE 0 END), 6) AS acc FROM (SELECT run, value, user_id % 3 > 0 AS event_type_ok FROM runs) GROUP BY run)"""
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as runs, one a week."""
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-05")) / 7).cast("int")
+    return table(spark, sf_dir, "events").select(week.alias("run"), F.col("event_type").alias("label"), "user_id", "value")
+
+
+@query(f"WITH {_RUNS_SQL} SELECT run, label, count(*) AS n, round(CAST(count(*) AS double) / CAST(sum(count(*)) OVER (PARTITION BY run) AS double), 6) AS share FROM runs GROUP BY run, label")
+def label_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.shares(weekly(spark, sf_dir), "label", "run")
+
+
+_TV = f"""{_RUNS_SQL}, sh AS (SELECT run, label, CAST(count(*) AS double) / CAST(sum(count(*)) OVER (PARTITION BY run) AS double) AS share FROM runs GROUP BY run, label),
+tv AS (SELECT run, round(sum(d) / 2, 6) AS tv FROM (SELECT coalesce(a.run, b.run + 1) AS run, abs(coalesce(a.share, 0) - coalesce(b.share, 0)) AS d FROM sh a FULL JOIN sh b ON a.run = b.run + 1 AND a.label = b.label) WHERE run IN (SELECT run + 1 FROM runs) AND run IN (SELECT run FROM runs) GROUP BY run)"""
+
+
+@query(f"WITH {_TV} SELECT run, tv FROM tv")
+def tv_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total variation between the label shares of a run and the one before."""
+    sh = weekly(spark, sf_dir).groupBy("run", "label").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("run")))
+    d = sh.select("run", "label", F.col("share").alias("v")).unionByName(sh.select(F.col("run") + 1, "label", -F.col("share")).toDF("run", "label", "v"))
+    known = sh.select("run").distinct()
+    t = d.groupBy("run", "label").agg(F.sum("v").alias("v")).groupBy("run").agg(F.round(F.sum(F.abs("v")) / 2, 6).alias("tv"))
+    return t.join(known, "run", "left_semi").join(known.select((F.col("run") + 1).alias("run")), "run", "left_semi")
+
+
+@query(f"""WITH {_TV}, l AS (SELECT run, human_rate, acc, lag(human_rate) OVER (ORDER BY run) AS ph, lag(acc) OVER (ORDER BY run) AS pa FROM rs)
+SELECT run, human_rate, acc, human_rate - ph >= 0.08 AS human_up, pa - acc >= 0.05 AS acc_down, tv >= 0.15 AS labels_moved FROM l JOIN tv USING (run)""")
+def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run against the one before; one row a run, so the window over all runs is small."""
+    r = weekly(spark, sf_dir).groupBy("run").agg(rate(F.count_if(F.col("value") < 20), F.count("*")).alias("human_rate"), F.round(F.avg((F.col("user_id") % 3 > 0).cast("double")), 6).alias("acc"))
+    w = Window.partitionBy(F.lit(0)).orderBy("run")
+    r = r.withColumn("ph", F.lag("human_rate").over(w)).withColumn("pa", F.lag("acc").over(w)).join(tv_distance(spark, sf_dir), "run")
+    return r.select("run", "human_rate", "acc", (F.col("human_rate") - F.col("ph") >= 0.08).alias("human_up"), (F.col("pa") - F.col("acc") >= 0.05).alias("acc_down"), (F.col("tv") >= 0.15).alias("labels_moved"))
+
+
+@query(f"""WITH {ANN_SQL}, v AS (SELECT item_id, model, label FROM ann WHERE {OK}), c AS (SELECT item_id FROM v GROUP BY item_id HAVING count(DISTINCT model) = 4)
+SELECT item_id, max(label) FILTER (WHERE model = 'm0') AS m0, max(label) FILTER (WHERE model = 'm1') AS m1, max(label) FILTER (WHERE model = 'm2') AS m2, max(label) FILTER (WHERE model = 'm3') AS m3 FROM v WHERE item_id IN (SELECT item_id FROM c) GROUP BY item_id""")
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that every run has, one column a run: one aggregation instead of a join per run."""
+    names = [f"m{i}" for i in range(4)]
+    g = votes.valid(annotations(spark, sf_dir)).groupBy("item_id").agg(F.count_distinct("model").alias("n"), *[F.max(F.when(F.col("model") == m, F.col("label"))).alias(m) for m in names])
+    return g.where("n = 4").drop("n")
+
+
+@query(f"""{BASE}, {REVIEW_SQL}, r1 AS (SELECT item_id, count(*) FILTER (WHERE model <> 'm3') AS c FROM ann GROUP BY item_id), r2 AS (SELECT item_id, count(*) FILTER (WHERE model <> 'm3' AND label2 IS NOT NULL) AS c FROM ann GROUP BY item_id)
+SELECT count(*) AS n, round(CAST(count(*) FILTER (WHERE status <> 'need_human') AS double) / count(*), 6) AS auto_rate, count(*) FILTER (WHERE status = 'need_human') AS human,
+  CAST(sum(r1.c + CASE WHEN status <> 'consensus' THEN r2.c ELSE 0 END) AS bigint) AS llm_calls, round(CAST(sum(r1.c + CASE WHEN status <> 'consensus' THEN r2.c ELSE 0 END) AS double) / count(*), 6) AS calls_per_item FROM routed JOIN r1 USING (item_id) JOIN r2 USING (item_id)""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's totals; m3 is local and costs no call, reviews happen where the first round disagrees."""
+    c = annotations(spark, sf_dir).where("model <> 'm3'").groupBy("item_id").agg(F.count("*").alias("c1"), F.count("label2").alias("c2"))
+    j = routed(spark, sf_dir).join(c, "item_id", "left")
+    auto = F.col("status") != "need_human"
+    calls = F.sum(F.coalesce("c1", F.lit(0)) + F.when(F.col("status") != "consensus", F.coalesce("c2", F.lit(0))).otherwise(0))
+    return j.agg(F.count("*").alias("n"), rate(F.count_if(auto), F.count("*")).alias("auto_rate"), F.count_if(~auto).alias("human"), calls.alias("llm_calls"), rate(calls, F.count("*")).alias("calls_per_item"))
+
+
+_EX_SQL = "ex AS (SELECT doc_id AS seq, text, lang AS label FROM documents WHERE doc_id % 3 <> 0), nw AS (SELECT doc_id AS seq, text, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS label FROM documents WHERE doc_id % 2 = 0)"
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", F.col("lang").alias("label"))
+    return d.where("seq % 3 <> 0"), d.where("seq % 2 = 0").withColumn("label", F.when(F.col("seq") % 5 == 0, "xx").otherwise(F.col("label")))
+
+
+@query("SELECT min(doc_id) AS seq, arg_min(lang, doc_id) AS label, md5(text) AS h FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY text")
+def load_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled examples: allowed labels, the first row of each text."""
+    d = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr", "de")).select(F.col("doc_id").alias("seq"), F.md5("text").alias("h"), F.col("lang").alias("label"))
+    return merge.keep_first(d, "h", "seq")
+
+
+@query(f"WITH {_EX_SQL} SELECT md5(text) AS h, label, false AS is_new FROM ex UNION ALL SELECT md5(trim(text)), arg_min(label, seq), true FROM nw WHERE trim(text) NOT IN (SELECT trim(text) FROM ex) GROUP BY trim(text)")
+def examples_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have, new = _examples(spark, sf_dir)
+    return merge.append(have, new).select(F.md5("text").alias("h"), "label", "is_new")
+
+
+_UP = """h AS (SELECT trim(text) AS text, arg_min(label, seq) AS old FROM ex GROUP BY trim(text)), n AS (SELECT trim(text) AS text, arg_max(label, seq) AS new FROM {nw} GROUP BY trim(text)),
+up AS (SELECT coalesce(h.text, n.text) AS text, coalesce(new, old) AS label, CASE WHEN new IS NULL THEN 'kept' WHEN old IS NULL THEN 'added' WHEN old = new THEN 'unchanged' ELSE 'updated' END AS action FROM h FULL JOIN n ON h.text = n.text)"""
+
+
+@query(f"WITH {_EX_SQL}, {_UP.format(nw='nw')} SELECT md5(text) AS h, label, action FROM up")
+def examples_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have, new = _examples(spark, sf_dir)
+    return merge.upsert(merge.keep_first(have.withColumn("text", F.trim("text")), "text", "seq"), new).select(F.md5("text").alias("h"), "label", "action")
+
+
+@query(f"WITH {_EX_SQL}, rv AS (SELECT * FROM nw WHERE label IN ('en', 'fr', 'de', 'es')), {_UP.format(nw='rv')} SELECT action, count(*) AS n FROM up GROUP BY action")
+def ingest_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed rows with an allowed label, upserted; counts by action."""
+    have, new = _examples(spark, sf_dir)
+    up = merge.upsert(merge.keep_first(have.withColumn("text", F.trim("text")), "text", "seq"), new.where(F.col("label").isin("en", "fr", "de", "es")))
+    return up.groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EX_SQL} SELECT is_new, count(*) AS n FROM (SELECT false AS is_new FROM ex UNION ALL SELECT true FROM (SELECT DISTINCT trim(text) FROM nw WHERE trim(text) NOT IN (SELECT trim(text) FROM ex))) GROUP BY is_new")
+def gold_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have, new = _examples(spark, sf_dir)
+    return merge.append(have, new).groupBy("is_new").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS overlap FROM documents WHERE doc_id % 5 = 0 AND trim(text) IN (SELECT trim(text) FROM documents WHERE doc_id % 5 <> 0)")
+def train_eval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("t"))
+    return d.where("doc_id % 5 = 0").join(d.where("doc_id % 5 <> 0").select("t"), "t", "left_semi").agg(F.count("*").alias("overlap"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 5 = 0)")
+def train_minus_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.where("doc_id % 5 <> 0").join(d.where("doc_id % 5 = 0").select("text"), "text", "left_anti").select("doc_id")
+
+
+@query("""WITH a AS (SELECT n_name AS name, n_regionkey % 2 AS def FROM nation WHERE n_nationkey < 20), b AS (SELECT n_name AS name, n_regionkey % 3 AS def FROM nation WHERE n_nationkey >= 5)
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.def <> b.def""")
+def criteria_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels added, removed or defined anew between two versions of the criteria."""
+    n = table(spark, sf_dir, "nation")
+    a = n.where("n_nationkey < 20").select(F.col("n_name").alias("name"), (F.col("n_regionkey") % 2).alias("x"))
+    b = n.where("n_nationkey >= 5").select(F.col("n_name").alias("name"), (F.col("n_regionkey") % 3).alias("y"))
+    change = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(F.col("x") != F.col("y"), "changed")
+    return a.join(b, "name", "full").select("name", change.alias("change")).where("change IS NOT NULL")
+
+
+@query(f"""WITH {ANN_SQL} SELECT item_id, max(coalesce(CASE WHEN error IS NULL THEN label END, concat('error: ', error))) FILTER (WHERE model = 'm0') AS m0_r1, max(round(confidence, 2)) FILTER (WHERE model = 'm0' AND error IS NULL) AS m0_conf, max(label2) FILTER (WHERE model = 'm0') AS m0_r2,
+  max(coalesce(CASE WHEN error IS NULL THEN label END, concat('error: ', error))) FILTER (WHERE model = 'm1') AS m1_r1, max(round(confidence, 2)) FILTER (WHERE model = 'm1' AND error IS NULL) AS m1_conf, max(label2) FILTER (WHERE model = 'm1') AS m1_r2 FROM ann WHERE model IN ('m0', 'm1') GROUP BY item_id""")
+def wide_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column group per model."""
+    ann = annotations(spark, sf_dir).where("model IN ('m0', 'm1')")
+    ok = F.col("error").isNull()
+    cell = F.when(ok, F.col("label")).otherwise(F.concat(F.lit("error: "), F.left("error", F.lit(40))))
+    p = ann.groupBy("item_id").pivot("model", ["m0", "m1"]).agg(F.max(cell).alias("r1"), F.max(F.when(ok, F.round("confidence", 2))).alias("conf"), F.max("label2").alias("r2"))
+    return p
+
+
+@query(f"{BASE} SELECT r.item_id, r.label AS suggestion, string_agg(concat(a.model, '=', a.label), ' | ' ORDER BY a.model_ord) AS opinions FROM routed r JOIN ann a USING (item_id) WHERE status = 'need_human' AND a.error IS NULL AND a.label IS NOT NULL GROUP BY r.item_id, r.label")
+def need_human_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    need = routed(spark, sf_dir).where("status = 'need_human'").select("item_id", F.col("label").alias("suggestion"))
+    op = votes.valid(annotations(spark, sf_dir)).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("model_ord", F.concat_ws("=", "model", "label").alias("t")))).alias("o"))
+    return need.join(op, "item_id").select("item_id", "suggestion", F.array_join(F.transform("o", lambda x: x["t"]), " | ").alias("opinions"))
+
+
+_PRICE_SQL = "CASE model WHEN 'm0' THEN 2.0 WHEN 'm1' THEN 4.0 WHEN 'm2' THEN 8.0 ELSE 0.0 END"
+
+
+@query(f"""WITH {ANN_SQL} SELECT model, count(*) AS calls, count(*) FILTER (WHERE error IS NOT NULL) AS errors, CAST(sum(out_tokens) AS bigint) AS out_tokens, round(CAST(sum(out_tokens) AS double) * {_PRICE_SQL} / 1e6, 6) AS cost FROM ann GROUP BY model""")
+def usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost_by_model(spark, sf_dir)
+
+
+def _price(model):
+    return votes.literal_map({"m0": 2.0, "m1": 4.0, "m2": 8.0}, model, 0.0)
+
+
+@query(f"""WITH {ANN_SQL} SELECT model, count(*) AS calls, count(*) FILTER (WHERE error IS NOT NULL) AS errors, CAST(sum(out_tokens) AS bigint) AS out_tokens, round(CAST(sum(out_tokens) AS double) * {_PRICE_SQL} / 1e6, 6) AS cost FROM ann GROUP BY model""")
+def cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = annotations(spark, sf_dir).groupBy("model").agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.sum("out_tokens").alias("out_tokens"))
+    return g.withColumn("cost", F.round(T.cost(F.lit(0), F.col("out_tokens"), F.lit(0.0), _price(F.col("model"))), 6))
+
+
+@query(f"""WITH m AS (SELECT unnest(['m0', 'm1', 'm2']) AS model), tok AS (SELECT count(*) AS n, sum(CAST(floor(length(text) * CAST(0.35 AS double)) AS bigint) + 1) AS t FROM documents), s AS (SELECT CAST(unnest([0.0, 0.25, 1.0]) AS double) AS rate)
+SELECT rate, model, CAST(round(n * CASE WHEN model = 'm2' THEN rate ELSE 1 END + n * rate, 0) AS bigint) AS calls,
+  round((t * CASE WHEN model = 'm2' THEN rate ELSE 1 END + rate * (t + 120 * n)) * {_PRICE_SQL} / 1e6, 6) AS cost FROM m, tok, s""")
+def estimate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and cost of a run if no, some or all items disagree: m0 and m1 see all, m2 what escalates, reviews the rest."""
+    tok = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum(T.estimate_tokens(F.col("text"))).alias("t"))
+    g = tok.withColumn("rate", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 1.0)]))).withColumn("model", F.explode(F.array(*[F.lit(x) for x in ("m0", "m1", "m2")])))
+    share = F.when(F.col("model") == "m2", F.col("rate")).otherwise(1.0)
+    tokens = F.col("t") * share + F.col("rate") * (F.col("t") + 120 * F.col("n"))
+    return g.select("rate", "model", F.round(F.col("n") * share + F.col("n") * F.col("rate"), 0).cast("bigint").alias("calls"), F.round(tokens * _price(F.col("model")) / 1e6, 6).alias("cost"))
