@@ -97,8 +97,8 @@ def crossfit_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossfit(spark, sf_dir).withColumn("prob", F.round("prob", 6))
 
 
-GRID = [round(0.5 + 0.01 * i, 2) for i in range(50)]
-CURVE_SQL = f"""{CROSSFIT_SQL}, grid AS (SELECT CAST(round(0.5 + 0.01 * i, 2) AS double) AS threshold FROM range(50) t(i)),
+GRID = [round(0.3 + 0.01 * i, 2) for i in range(50)]
+CURVE_SQL = f"""{CROSSFIT_SQL}, grid AS (SELECT CAST(round(0.3 + 0.01 * i, 2) AS double) AS threshold FROM range(50) t(i)),
 curve AS (SELECT threshold, count(*) FILTER (WHERE round(prob, 6) >= threshold) AS n_auto, round(CAST(count(*) FILTER (WHERE round(prob, 6) >= threshold) AS double) / count(*), 6) AS coverage,
   round(CAST(count(*) FILTER (WHERE round(prob, 6) >= threshold AND correct) AS double) / nullif(count(*) FILTER (WHERE round(prob, 6) >= threshold), 0), 6) AS accuracy FROM cross_, grid GROUP BY threshold)"""
 

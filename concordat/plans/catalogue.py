@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, crowd, evaluation, history, reshaping, retrieval, routing, sampling, scalars, voting  # noqa: F401
+from . import calibration, crowd, evaluation, history, reshaping, retrieval, routing, sampling, scalars, streams, voting  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1,53 @@
-"""Queries."""
+"""Queries that retrieve similar labelled examples."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import neighbours
+from ..operators.metrics import rate
+from ..sources.tables import table
+from .registry import query
+
+_KNN = """v AS (SELECT vec_id, label, CAST(embedding AS double[]) AS e FROM embeddings),
+n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS ql, b.label AS nl, round(list_inner_product(a.e, b.e) / a.norm / b.norm, 9) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS int) AS rank FROM s)"""
+
+
+def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return neighbours.by_cosine(e, e.where("vec_id % 50 = 0"), 6)
+
+
+@query(f"WITH {_KNN} SELECT query, neighbour, round(sim, 6) AS sim, rank FROM k WHERE rank <= 6")
+def knn_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set, every fiftieth vector, against all vectors."""
+    return _knn(spark, sf_dir).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH {_KNN}, c AS (SELECT query, ql, nl, count(*) AS n, min(rank) AS first_rank FROM k WHERE rank <= 6 GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, first_rank) AS rk FROM c)
+SELECT count(*) AS n, count(*) FILTER (WHERE ql = nl) AS hits, round(CAST(count(*) FILTER (WHERE ql = nl) AS double) / count(*), 6) AS hit_rate FROM b WHERE rk = 1""")
+def knn_label_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the neighbours' most frequent label is the query's own."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    k = _knn(spark, sf_dir).join(e.toDF("neighbour", "nl"), "neighbour")
+    c = k.groupBy("query", "nl").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
+    b = c.withColumn("rk", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "first_rank"))).where("rk = 1").join(e.toDF("query", "ql"), "query")
+    hit = F.count_if(F.col("ql") == F.col("nl"))
+    return b.agg(F.count("*").alias("n"), hit.alias("hits"), rate(hit, F.count("*")).alias("hit_rate"))
+
+
+@query("""WITH w AS (SELECT item_id AS id, concat(' ', unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')), ' ') AS p FROM benchmark),
+g AS (SELECT id, substr(p, CAST(i AS int), CAST(n AS int)) AS g FROM w, range(2, 5) t(n), range(1, 400) u(i) WHERE i <= length(p) - n + 1),
+tf AS (SELECT id, g, count(*) AS c FROM g GROUP BY ALL), df AS (SELECT g, count(*) AS df FROM tf GROUP BY g),
+w2 AS (SELECT id, g, (1 + ln(CAST(c AS double))) * (ln((1.0 + (SELECT count(*) FROM benchmark)) / CAST(1.0 + df AS double)) + 1) AS w FROM tf JOIN df USING (g)),
+nm AS (SELECT id, sqrt(sum(w * w)) AS nm FROM w2 GROUP BY id),
+s AS (SELECT a.id AS query, b.id AS neighbour, sum(a.w * b.w) AS dot FROM w2 a JOIN w2 b USING (g) WHERE a.id <> b.id AND a.id % 50 = 0 GROUP BY ALL),
+r AS (SELECT query, neighbour, round(dot / x.nm / y.nm, 6) AS sim FROM s JOIN nm x ON x.id = query JOIN nm y ON y.id = neighbour)
+SELECT * FROM (SELECT query, neighbour, sim, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS int) AS rank FROM r WHERE sim > 0) WHERE rank <= 6""")
+def knn_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return neighbours.by_tfidf(b, b.where("id % 50 = 0"), 6)
