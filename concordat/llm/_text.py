@@ -7,6 +7,7 @@ White space is ASCII 9-13 and 32, as in ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -164,3 +165,10 @@ def drop_tables(spark: SparkSession, tables: list[DataFrame]) -> None:
         for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(f)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    release_shuffles(spark)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs now; it does so only once the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -11,9 +11,11 @@ at least one signature, whatever the order. Sets too small for that also index t
    times, go into two filters of fixed size. The filters only decide the order and skip shingles found once; false
    positives cost time, never links.
 2. A second pass emits (signature, set). Lists of rare signatures have at most ``FREQUENT`` members; others are salted.
-3. Links are verified exactly on whole sets, each list first against its least member. Links make components; lists
-   whose members are all in one component are done, the others go on with 4, 16, 64 ... further leaders against members
-   of other components, until every pair of a list is compared or connected. No list is gathered in a task.
+3. Each list's least member leads it. A pair of leader and member is dropped if sizes, positions or the sets' 1024-bit
+   masks (a bit set in one mask only is a missing shingle) rule the link out; what is left is verified exactly on whole
+   sets, whose texts are read for these pairs only. Links make components; lists whose members are all in one component
+   are done, the others go on with 8, 64, 512 ... further leaders against members of other components, until every pair
+   of a list is compared or connected. No list is gathered in a task.
 
 Fingerprints of sets and shingles have 64 bits. Result: one row per document with the least doc_id of its component.
 
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import Chunk, chunks, drop_tables, mix, texts_of, written
+from ._text import Chunk, chunks, drop_tables, mix, release_shuffles, texts_of, written
 from .components import components
 from .seen_filters import PACKED, RUN, SeenFilters, packed, range_bits_for
 
 SHINGLE, PERCENT = 5, 75
-FREQUENT, CLASSES, SALTS = 32, 16, 16
+FREQUENT, CLASSES, SALTS, MASK_WORDS = 32, 16, 16, 16
 
 
 def token_sets(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +60,20 @@ def set_keys(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
+def set_masks(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """n x MASK_WORDS words with a bit for each shingle."""
+    bits = np.zeros((n, MASK_WORDS * 64), bool)
+    bits[doc, (h % np.uint64(MASK_WORDS * 64)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
 def _pass_one(size: int, range_bits: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), *PACKED])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("mask", pa.list_(pa.int64())), *PACKED])
 
     def runs(held: list[np.ndarray]) -> pa.RecordBatch:
         columns = packed(held, range_bits)
         k = len(columns[0])
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), *columns], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))] + columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept = [], 0
@@ -72,10 +81,10 @@ def _pass_one(size: int, range_bits: int):
             for ids, texts in chunks(b.column("doc_id").to_pylist(), texts_of(b)):
                 doc, h = token_sets(Chunk(texts, lower=True), size)
                 n, k = np.bincount(doc, minlength=len(texts)), len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(set_keys(doc, h, k)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
-                    schema=schema,
-                )
+                at = np.arange(0, MASK_WORDS * k + 1, MASK_WORDS, dtype=np.int32)
+                mask = pa.ListArray.from_arrays(pa.array(at), pa.array(set_masks(doc, h, k).reshape(-1)))
+                own = [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(set_keys(doc, h, k)), mask]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(k, t) for _, t in PACKED)], schema=schema)
                 held.append(h)
                 kept += len(h)
                 if kept >= RUN:
@@ -147,17 +156,45 @@ def _tokens(size: int):
             for part, texts in chunks(nodes, texts_of(b)):
                 doc, h = token_sets(Chunk(texts, lower=True), size)
                 at = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["node", "tokens"])
+                same = pa.array(set_keys(doc, h, len(texts)) == np.array(part, np.int64))  # not so if rows share a doc_id
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["node", "tokens"]).filter(same)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
-    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where((100 + percent) * shared >= percent * (F.size("ta") + F.size("tb"))).select("a", "b")
+class _Verifier:
+    """Verifies pairs (a, b) on whole sets; keeps the sets it has read for later rounds."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, size: int, percent: int):
+        self.texts, self.nodes, self.size, self.percent = texts, nodes, size, percent
+        self.sets: DataFrame | None = None
+        self.tables: list[DataFrame] = []
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose masks allow a link."""
+        of = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").cast("long").alias(f"n{x}"), F.col("mask").alias(f"m{x}"))
+        missing = lambda x, y: F.aggregate(F.zip_with(f"m{x}", f"m{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+        shared = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        return both.where((100 + self.percent) * shared >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        pairs = written(self.likely(pairs), "likely")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        chosen = written(self.nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "chosen")
+        new = written(self.texts.join(chosen, "doc_id").mapInArrow(_tokens(self.size), "node bigint, tokens array<bigint>"), "tokens")
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        release_shuffles(new.sparkSession)
+        used = self.sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+        of = lambda x: used.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        linked = (100 + self.percent) * F.size(F.array_intersect("ta", "tb")) >= self.percent * (F.size("ta") + F.size("tb"))
+        self.tables += [pairs, chosen, new]
+        found = written(both.where(linked).select("a", "b"), "links")
+        release_shuffles(new.sparkSession)
+        return found
 
 
 def _may_link(percent: int):
@@ -172,9 +209,12 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     spark = documents.sparkSession
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     range_bits = range_bits_for(documents.count())
-    first = written(texts.mapInArrow(_pass_one(size, range_bits), "doc_id bigint, n int, node bigint, part int, v binary, c binary"), "sets")
+    first = written(texts.mapInArrow(_pass_one(size, range_bits), "doc_id bigint, n int, node bigint, mask array<bigint>, part int, v binary, c binary"), "sets")
     shared = spark.sparkContext.broadcast(SeenFilters.build(first.where("part IS NOT NULL"), range_bits, frequent))
     docs = written(first.where("part IS NULL").select("doc_id", "n", "node"), "documents")
+    # one document of each distinct set
+    nodes = first.where("part IS NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "n", "mask")).alias("d"))
+    nodes = written(nodes.select("node", "d.*"), "nodes")
     drop_tables(spark, [first])
 
     # lists: every member but the least one, which is its leader
@@ -188,19 +228,16 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     tops = level.where("hot AND head.node = node").drop("head").withColumn("salt", F.lit(0))
     lists = level.where("head.node <> node").unionByName(lead(tops).where("head.node <> node"))
     lists = lists.select("sig", "node", "n", "pos", F.col("head.node").alias("node2"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"))
+    release_shuffles(spark)
     pairs = written(lists.where(_may_link(percent)).select(F.col("node2").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
-    # the texts of one document per listed set
-    listed = level.select("node").union(level.select("head.node")).distinct()
-    chosen = docs.join(listed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).dropna()
-    sets = written(texts.join(chosen, "doc_id").mapInArrow(_tokens(size), "node bigint, tokens array<bigint>").dropDuplicates(["node"]), "tokens")
-
-    links = written(_verified(pairs, sets, percent), "links")
-    old = [pairs]
+    verifier = _Verifier(texts, nodes, size, percent)
+    links = verifier.links(pairs)
+    old = [pairs, level, nodes]
     comp = components(links)
     # all pairs with a leader are compared; go on with lists whose other members are in several components
     rest = level.select("sig", "node", "n", "pos").where("head.node <> node").unionByName(level.where("hot AND head.node = node").select("sig", "node", "n", "pos"))
-    leaders = 4
+    leaders = 8
     while True:
         placed = rest.join(comp, "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
         open_lists = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
@@ -212,13 +249,13 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         a = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"))
         more = ranked.join(a, "sig").where((F.col("rank") > F.col("rank2")) & (F.col("comp") != F.col("comp2"))).where(_may_link(percent))
         more = written(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "pairs")
-        found = written(_verified(more, sets, percent), "links")
+        found = verifier.links(more)
         old += [ranked, more]
         if not found.isEmpty():
             links = written(links.union(found), "links")
             comp = components(links)
         rest = ranked.where(F.col("rank") > leaders).select("sig", "node", "n", "pos")
-        leaders *= 4
+        leaders *= 8
 
     placed = docs.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -226,7 +263,7 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
     out = written(out, "components")
-    drop_tables(spark, [*old, level, sets, links, docs])
+    drop_tables(spark, [*old, *verifier.tables, links, docs])
     return out
 
 

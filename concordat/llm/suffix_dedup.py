@@ -6,15 +6,17 @@ document). Equal strings are found by a collection Burrows-Wheeler transform tha
 1. Each 100-byte window has an *anchor*, the least hash among its 20-byte strings (the leftmost of equal ones). Equal
    windows have equal anchors at equal offsets. Consecutive windows with one anchor form a segment of at most 180 bytes;
    a document falls into about one segment per 41 bytes. A first pass over the texts gathers, as packed runs, which
-   anchors occur twice (a filter of fixed size; false positives cost time only) and which more than ``HOT`` times.
-2. A second pass emits the segments whose anchor may occur twice, as (anchor, segment). Shuffled and sorted by anchor,
-   they are the sequential external files that a task reads. It works on runs of whole anchors, all segments laid with
-   their anchors in one column. Round by round, from the last column to the first, one symbol of every segment is
-   inserted: the new suffix order is the stable counting sort of the old order by the symbols (the transform's LF
-   mapping), and the common prefix of two neighbours is one more than the least common prefix between their places in
-   the old order. Neighbours with 100 common symbols form a class; all its members but the earliest lose that window.
-3. Hot anchors would make unbounded groups: their segments are first reduced to distinct ones by a combining
-   aggregation (copies of an earlier equal segment are lost whole), whose windows are then compared by fingerprint.
+   anchors occur twice, into a filter of fixed size; false positives cost time only.
+2. A second pass emits a key (anchor, fingerprint of the segment, place) for each segment whose anchor may occur twice.
+   A combining aggregation finds the first of equal segments; all others are lost whole. However often a passage occurs,
+   it so leaves one segment, and only anchors with several distinct segments go on, with their bytes.
+3. Shuffled and sorted by anchor, the segments are the sequential external files that a task reads. It works on runs of
+   whole anchors, all segments laid with their anchors in one column. Round by round, from the last column to the first,
+   one symbol of every segment is inserted: the new suffix order is the stable counting sort of the old order by the
+   symbols (the transform's LF mapping), and the common prefix of two neighbours is one more than the least common
+   prefix between their places in the old order. Neighbours with 100 common symbols form a class; all its members but
+   the earliest lose that window. An anchor with more than ``HOT`` distinct segments would make an unbounded group; its
+   windows are compared by fingerprint instead.
 4. The lost windows of each document are merged and cut out.
 
 Edge cases: null counts as empty; texts under 100 bytes lose nothing; matches never cross documents; a null doc_id's
@@ -32,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import BYTE_CODE, drop_tables, mix, powers, texts_of, written
+from ._text import BYTE_CODE, chunks, drop_tables, mix, powers, release_shuffles, texts_of, written
 from .seen_filters import RUN, SeenFilters, packed, range_bits_for
 
-LENGTH, ANCHOR, HOT = 100, 20, 2048
+LENGTH, ANCHOR, HOT = 100, 20, 100_000
 PIECE, BATCH = 1 << 20, 20_000
 SPREAD = LENGTH - ANCHOR  # an anchor starts 0..SPREAD bytes after its window
 
@@ -104,25 +106,33 @@ def _anchor_runs(range_bits: int):
     return run
 
 
-def _chosen_segments(shared, hot: bool):
+def _keys(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             for doc, start, n, off, h, raw, at in segments(texts_of(b)):
-                known = shared.value
-                keep = known.holds(known.twice, h)
-                keep[keep] = known.holds(known.often, h[keep]) == hot
-                keep = np.flatnonzero(keep)
-                data = raw.tobytes()
-                seg = [data[i : i + k] for i, k in zip(at[keep].tolist(), (n[keep] + LENGTH - 1).tolist(), strict=True)]
+                keep = np.flatnonzero(shared.value.holds(shared.value.twice, h))
+                lo, size = at[keep], n[keep] + LENGTH - 1
+                prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_CODE[raw] * powers(len(raw)))))
+                print_ = mix((prefix[lo + size] - prefix[lo]) * powers(len(raw) + 1, True)[lo] + (size * 128 + off[keep]).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep].view(np.int64)), pa.array(ids[doc[keep]]), pa.array(start[keep]), pa.array(off[keep].astype(np.int32)), pa.array(seg, pa.binary())],
-                    ["anchor", "doc_id", "start", "off", "seg"],
+                    [pa.array(h[keep].view(np.int64)), pa.array(print_.view(np.int64)), pa.array(ids[doc[keep]]), pa.array(start[keep]), pa.array(off[keep].astype(np.int32)), pa.array(size.astype(np.int32))],
+                    ["anchor", "print", "doc_id", "start", "off", "size"],
                 )
 
     return run
 
 
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From texts with their lists of segments to one row per segment."""
+    for b in batches:
+        ids = b.column("doc_id").to_pylist()
+        for parts, texts in chunks(list(zip(ids, b.column("parts").to_pylist(), strict=True)), texts_of(b)):
+            rows = [(p["anchor"], i, p["start"], p["off"], t[p["start"] : p["start"] + p["size"]]) for (i, ps), t in zip(parts, texts, strict=True) for p in ps]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "doc_id", "start", "off", "seg"])
+
+
 def lost_windows(off: np.ndarray, segs: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
     """For segments in order of preference: lost[i, j], the window at column j of segment i starts in an earlier segment.
 
@@ -164,6 +174,8 @@ def _lost_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off = table["off"].to_numpy().astype(np.int64)
         # preference among segments of one anchor: document, then place of the anchor
         order = np.lexsort((start + off, doc))
+        new = np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)))
+        order = order[new]  # a repeated row's segments count once
         segs = table["seg"].to_pylist()
         lost = lost_windows(off[order], [segs[i] for i in order])
         edge = np.diff(np.pad(lost, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -209,25 +221,42 @@ def lost_ranges(documents: DataFrame, hot: int = HOT) -> DataFrame:
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     range_bits = range_bits_for(documents.count())
     runs = texts.select("text").mapInArrow(_anchor_runs(range_bits), "part int, v binary, c binary")
-    filters = SeenFilters.build(runs, range_bits, hot)
-    shared = spark.sparkContext.broadcast(filters)
-    cold = texts.mapInArrow(_chosen_segments(shared, False), SEGMENT).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    out = written(cold.mapInArrow(_lost_runs, "doc_id bigint, lo bigint, hi bigint"), "ranges")
-    if not filters.n_often:
-        return out
-    # hot anchors: equal segments are reduced to their first by a combining aggregation
-    segs = texts.mapInArrow(_chosen_segments(shared, True), SEGMENT)
-    segs = written(segs.withColumn("s1", F.xxhash64("seg", "off")).withColumn("s2", F.xxhash64("off", "seg")), "segments")
-    first = segs.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "start", "seg")).alias("f"))
-    first = written(first.select("s1", "s2", "f.doc_id", "f.start", "f.seg"), "first")
-    place = first.select("s1", "s2", F.col("doc_id").alias("d"), F.col("start").alias("s"))
-    copies = segs.join(place, ["s1", "s2"]).where("doc_id <> d OR start <> s").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.length("seg")).alias("hi"))
-    windows = written(first.select("doc_id", "start", "seg").mapInArrow(_windows, "w1 bigint, w2 bigint, doc_id bigint, place bigint"), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "f")
-    again = windows.join(least, ["w1", "w2"]).where("doc_id <> f.doc_id OR place <> f.place").select("doc_id", F.col("place").alias("lo"), (F.col("place") + LENGTH).alias("hi"))
-    both = written(out.unionByName(copies).unionByName(again), "ranges")
-    drop_tables(spark, [out, segs, first, windows])
-    return both
+    shared = spark.sparkContext.broadcast(SeenFilters.build(runs, range_bits, hot))
+    keys = texts.mapInArrow(_keys(shared), "anchor bigint, print bigint, doc_id bigint, start bigint, off int, size int")
+    keys = written(keys, "keys")
+    first = keys.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "start", "off", "size")).alias("f"), F.count("*").alias("n"))
+    first = written(first, "first")
+    release_shuffles(spark)
+    # equal segments: all but the first are lost whole
+    of = first.where("n > 1").select("anchor", "print", F.col("f.doc_id").alias("d"), F.col("f.start").alias("s"))
+    copies = keys.join(of, ["anchor", "print"]).where("doc_id <> d OR start <> s")
+    copies = written(copies.select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")), "ranges")
+    # anchors with several distinct segments
+    several = written(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    drop_tables(spark, [keys])
+    chosen = first.select("anchor", "f.*").join(several.where(F.col("n") <= hot).select("anchor"), "anchor", "left_semi")
+    rest = _with_bytes(texts, chosen).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
+    tables = [copies, written(rest.mapInArrow(_lost_runs, "doc_id bigint, lo bigint, hi bigint"), "ranges")]
+    release_shuffles(spark)
+    often = several.where(F.col("n") > hot).select("anchor")
+    if not often.isEmpty():
+        segs = _with_bytes(texts, first.select("anchor", "f.*").join(often, "anchor", "left_semi"))
+        windows = written(segs.select("doc_id", "start", "seg").mapInArrow(_windows, "w1 bigint, w2 bigint, doc_id bigint, place bigint"), "windows")
+        least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "f")
+        again = windows.join(least, ["w1", "w2"]).where("doc_id <> f.doc_id OR place <> f.place")
+        tables.append(written(again.select("doc_id", F.col("place").alias("lo"), (F.col("place") + LENGTH).alias("hi")), "ranges"))
+        drop_tables(spark, [windows])
+    drop_tables(spark, [first, several])
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _with_bytes(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows SEGMENT of the places in ``chosen``: one list per document, as long as its text allows."""
+    lists = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "off", "size")).alias("parts"))
+    return texts.join(lists, "doc_id").mapInArrow(_bytes, SEGMENT)
 
 
 def merged(lo: np.ndarray, hi: np.ndarray, n: int) -> list[tuple[int, int]]:
