@@ -145,17 +145,16 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def two_means(x: np.ndarray) -> float:
-    """The threshold between the two clusters of a one-dimensional 2-means; below all values if they don't differ."""
-    lo, hi = float(x.min()), float(x.max())
-    if hi <= lo:
-        return lo - 1
+    """The threshold between the two clusters of a one-dimensional 2-means; below all values if they lie within 1."""
+    least = lo = float(x.min())
+    hi = float(x.max())
     for _ in range(30):
         cut = (lo + hi) / 2
         a, b = x[x <= cut], x[x > cut]
         if not len(b) or (a.mean(), b.mean()) == (lo, hi):
             break
         lo, hi = float(a.mean()), float(b.mean())
-    return (lo + hi) / 2
+    return (lo + hi) / 2 if hi - lo >= 1 else least - 1
 
 
 def main_text(html: str, sigma: float = 1.0) -> str:
@@ -174,7 +173,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         held = {a for *_, a in lines} - {0}
     if held:
         return "\n".join(t for t, _, _, a in lines if a in held)
-    at = np.flatnonzero(content)
+    at = np.flatnonzero(content)  # never empty: the upper cluster, or all lines
     return "\n".join(t for t, _, k, _ in lines[at[0] : at[-1] + 1] if 2 * k <= len(t))
 
 

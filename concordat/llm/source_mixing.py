@@ -98,7 +98,7 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
     own = [c for c in documents.columns if not c.startswith("mix_")]
     source = F.coalesce("source", F.lit("\0null"))
     key = F.xxhash64("doc_id", "text", F.lit(seed))
-    rows = documents.select(*own, source.alias("mix_source"), key.alias("_key"))
+    rows = documents.select(F.struct(*own).alias("_row"), source.alias("mix_source"), key.alias("_key"))
     sizes = {r[0]: r[1] for r in rows.groupBy("mix_source").count().limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -125,7 +125,7 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
     count = rows.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     count = count.select("mix_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy(F.shiftleft("_key", int(math.log2(buckets))), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy(F.shiftleft("_key", int(math.log2(buckets))), "_row.doc_id"))
     rows = rows.withColumn("_rank", rank).join(count, ["mix_source", "_bucket"])
     index = F.col("_offset") + F.col("_rank") - 1
     rows = rows.withColumn("_index", index).withColumn("mix_block", F.floor(index / block))
@@ -150,7 +150,7 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
         lower = F.size(F.filter(bounds, lambda x: x < F.col("mix_slot")))
         position = position - F.element_at(F.array(*[F.lit(x) for x in sums]), lower + 1)
     null_source = F.when(F.col("mix_source") != "\0null", F.col("mix_source"))
-    return out.select(*own, null_source.alias("mix_source"), "mix_block", "mix_phase", "mix_slot", position.cast("bigint").alias("mix_position"))
+    return out.select("_row.*", null_source.alias("mix_source"), "mix_block", "mix_phase", "mix_slot", position.cast("bigint").alias("mix_position"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

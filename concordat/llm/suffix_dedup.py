@@ -280,13 +280,15 @@ def cut_out(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _joined(documents: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``documents`` with two more columns at the end, the starts and ends of their ranges, under names that are free."""
+    lo, hi = (next(x for x in (f"{n}{'_' * k}" for k in range(len(documents.columns) + 1)) if x not in documents.columns) for n in ("lo", "hi"))
     # one list per document, at most a range per 41 bytes of its text
-    lists = ranges.groupBy("doc_id").agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi"))
-    return documents.join(lists, "doc_id", "left")
+    lists = ranges.groupBy("doc_id").agg(F.collect_list("lo").alias(lo), F.collect_list("hi").alias(hi))
+    return documents.join(lists, "doc_id", "left").select(*documents.columns, lo, hi)
 
 
 def _runs_of(b: pa.RecordBatch, texts: list[bytes]) -> Iterator[list[tuple[int, int]]]:
-    for t, lo, hi in zip(texts, b.column("_lo").to_pylist(), b.column("_hi").to_pylist(), strict=True):
+    for t, lo, hi in zip(texts, b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
         yield merged(np.array(lo, np.int64), np.array(hi, np.int64), len(t)) if lo else []
 
 
@@ -326,7 +328,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             columns = [pa.array(cut, pa.string()) if x == "text" else b.column(x) for x in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
 
-    return rows.select(*names, "_lo", "_hi").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
