@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, MAX_SOURCES, BUCKET_ROWS = 16, 1000, 1000, 20_000
+BLOCK, PERIOD, MAX_SOURCES, BUCKET_ROWS = 16, 1000, 1000, 4_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
