@@ -12,8 +12,8 @@ at least one signature, whatever the order. Sets too small for that also index t
    positives cost time, never links.
 2. A second pass emits (signature, set). Lists of rare signatures have at most ``FREQUENT`` members; others are salted.
 3. Each list's least member leads it. A pair of leader and member is dropped if sizes, positions or the sets' 1024-bit
-   masks (a bit set in one mask only is a missing shingle) rule the link out; what is left is verified exactly on whole
-   sets, whose texts are read for these pairs only. Links make components; lists whose members are all in one component
+   masks (a bit set in one mask only is a missing shingle) rule the link out; for what is left the texts are read, and
+   after a bound from 16-bit codes of the shingles the rest is verified exactly on whole sets. Links make components; lists whose members are all in one component
    are done, the others go on with 8, 64, 512 ... further leaders against members of other components, until every pair
    of a list is compared or connected. No list is gathered in a task.
 
@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +159,37 @@ def _tokens(size: int):
                 doc, h = token_sets(Chunk(texts, lower=True), size)
                 at = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 same = pa.array(set_keys(doc, h, len(texts)) == np.array(part, np.int64))  # not so if rows share a doc_id
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["node", "tokens"]).filter(same)
+                short = (h >> np.uint64(48)).astype("<u2")  # sorted, as h is within a document
+                codes = pa.array([short[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), codes, pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["node", "codes", "tokens"]).filter(same)
+
+    return run
+
+
+def _by_masks(percent: int, n: str, n2: str, mask: str, mask2: str):
+    """Can two sets of n and n2 shingles link: those whose bit the other mask lacks are not shared.
+
+    Words of a mask are columns mask0, mask1 ..., so the test is plain generated code.
+    """
+    missing = lambda x, y: reduce(add, [F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(MASK_WORDS)])
+    n, n2 = F.col(n).cast("long"), F.col(n2).cast("long")
+    shared = F.least(n - missing(mask, mask2), n2 - missing(mask2, mask))
+    return (100 + percent) * shared >= percent * (n + n2)
+
+
+def _words(name: str) -> list:
+    return [F.col("mask")[i].alias(f"{name}{i}") for i in range(MASK_WORDS)]
+
+
+def _by_codes(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                found = lambda p, q: int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                keep.append((100 + percent) * min(found(x, y), found(y, x)) >= percent * (len(x) + len(y)))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -170,28 +202,30 @@ class _Verifier:
         self.sets: DataFrame | None = None
         self.tables: list[DataFrame] = []
 
+    def _joined(self, pairs: DataFrame, column: str) -> DataFrame:
+        """The pairs with a column of both their sets, ta and tb; only sets that some pair needs are moved."""
+        used = self.sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+        of = lambda x: used.select(F.col("node").alias(x), F.col(column).alias(f"t{x}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b")
+
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose masks allow a link."""
-        of = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").cast("long").alias(f"n{x}"), F.col("mask").alias(f"m{x}"))
-        missing = lambda x, y: F.aggregate(F.zip_with(f"m{x}", f"m{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
-        shared = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b")
-        return both.where((100 + self.percent) * shared >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        of = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *_words(f"m{x}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(_by_masks(self.percent, "na", "nb", "ma", "mb")).select("a", "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = written(self.likely(pairs), "likely")
+        """``pairs``: those that the masks allow."""
+        pairs = written(pairs, "likely")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         chosen = written(self.nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "chosen")
-        new = written(self.texts.join(chosen, "doc_id").mapInArrow(_tokens(self.size), "node bigint, tokens array<bigint>"), "tokens")
+        new = written(self.texts.join(chosen, "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         release_shuffles(new.sparkSession)
-        used = self.sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-        of = lambda x: used.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        near = written(self._joined(pairs, "codes").mapInArrow(_by_codes(self.percent), "a bigint, b bigint"), "near")
+        both = self._joined(near, "tokens")
         linked = (100 + self.percent) * F.size(F.array_intersect("ta", "tb")) >= self.percent * (F.size("ta") + F.size("tb"))
-        self.tables += [pairs, chosen, new]
+        self.tables += [pairs, chosen, new, near]
         found = written(both.where(linked).select("a", "b"), "links")
         release_shuffles(new.sparkSession)
         return found
@@ -232,7 +266,7 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     pairs = written(lists.where(_may_link(percent)).select(F.col("node2").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     verifier = _Verifier(texts, nodes, size, percent)
-    links = verifier.links(pairs)
+    links = verifier.links(verifier.likely(pairs))
     old = [pairs, level, nodes]
     comp = components(links)
     # all pairs with a leader are compared; go on with lists whose other members are in several components
@@ -242,15 +276,16 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         placed = rest.join(comp, "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
         open_lists = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         ranked = placed.join(open_lists, "sig", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node", "pos")))
-        ranked = written(ranked, "open")
+        ranked = written(ranked.join(nodes.select("node", *_words("mask")), "node"), "open")
         if ranked.isEmpty():
             old += [ranked]
             break
-        a = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"))
-        more = ranked.join(a, "sig").where((F.col("rank") > F.col("rank2")) & (F.col("comp") != F.col("comp2"))).where(_may_link(percent))
-        more = written(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "pairs")
+        a = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"), *[F.col(f"mask{i}").alias(f"other{i}") for i in range(MASK_WORDS)])
+        across = (F.col("rank") > F.col("rank2")) & (F.col("comp") != F.col("comp2")) & _may_link(percent) & _by_masks(percent, "n", "n2", "mask", "other")
+        more = ranked.alias("r").join(a, (F.col("r.sig") == a["sig"]) & across)
+        more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         found = verifier.links(more)
-        old += [ranked, more]
+        old += [ranked]
         if not found.isEmpty():
             links = written(links.union(found), "links")
             comp = components(links)
