@@ -9,12 +9,12 @@ from ..streaming import windows
 from .registry import query
 
 #: The table's times have no zone; event time must, so they are read as UTC in any session.
-AS_UTC = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))")
+AS_UTC = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"
 
 
 @query("SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS date)) AS bigint) AS day, event_type AS label, count(*) AS n FROM events GROUP BY ALL")
 def stream_label_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = windows.stream_of(spark, sf_dir, "events").withColumn("ts", AS_UTC)
+    e = windows.stream_of(spark, sf_dir, "events").withColumn("ts", F.expr(AS_UTC))
     t = windows.run_to_table(windows.label_shares(e, "ts", "event_type", "1 day", "2 days"), "label-shares", "complete")
     return t.select(F.floor(F.unix_seconds("w.start") / 86400).cast("bigint").alias("day"), "label", "n")
 
@@ -22,6 +22,6 @@ def stream_label_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(floor(value) AS bigint) AS v FROM events) GROUP BY user_id")
 def stream_first_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies by key once; the watermark is longer than the table, so none returns."""
-    e = windows.stream_of(spark, sf_dir, "events").withColumn("ts", AS_UTC).withColumn("key", F.concat_ws("|", "user_id", "event_type", F.floor("value")))
+    e = windows.stream_of(spark, sf_dir, "events").withColumn("ts", F.expr(AS_UTC)).withColumn("key", F.concat_ws("|", "user_id", "event_type", F.floor("value")))
     t = windows.run_to_table(windows.first_replies(e.select("key", "user_id", "ts"), "key", "ts", "3650 days"), "first-replies", "append")
     return t.groupBy("user_id").agg(F.count("*").alias("n"))
