@@ -42,6 +42,8 @@ from .seen_filters import PACKED, RUN, SeenFilters, packed, range_bits_for
 
 SHINGLE, PERCENT = 5, 75
 FREQUENT, CLASSES, SALTS, MASK_WORDS = 32, 16, 16, 16
+LIST_WORDS = 4  # of a mask, that travel with the lists
+BROADCAST_ROWS = 200_000  # of (node, doc_id), a few megabytes
 
 
 def token_sets(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,19 +168,20 @@ def _tokens(size: int):
     return run
 
 
-def _by_masks(percent: int, n: str, n2: str, mask: str, mask2: str):
+def _by_masks(percent: int, n: str, n2: str, mask: str, mask2: str, words: int = MASK_WORDS):
     """Can two sets of n and n2 shingles link: those whose bit the other mask lacks are not shared.
 
-    Words of a mask are columns mask0, mask1 ..., so the test is plain generated code.
+    Words of a mask are columns mask0, mask1 ..., so the test is plain generated code. Some of the words give a weaker
+    bound, but a true one.
     """
-    missing = lambda x, y: reduce(add, [F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(MASK_WORDS)])
+    missing = lambda x, y: reduce(add, [F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(words)])
     n, n2 = F.col(n).cast("long"), F.col(n2).cast("long")
     shared = F.least(n - missing(mask, mask2), n2 - missing(mask2, mask))
     return (100 + percent) * shared >= percent * (n + n2)
 
 
-def _words(name: str) -> list:
-    return [F.col("mask")[i].alias(f"{name}{i}") for i in range(MASK_WORDS)]
+def _words(name: str, words: int = MASK_WORDS) -> list:
+    return [F.col("mask")[i].alias(f"{name}{i}") for i in range(words)]
 
 
 def _by_codes(percent: int):
@@ -219,7 +222,8 @@ class _Verifier:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         chosen = written(self.nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "chosen")
-        new = written(self.texts.join(chosen, "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
+        few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+        new = written(self.texts.join(few, "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         release_shuffles(new.sparkSession)
         near = written(self._joined(pairs, "codes").mapInArrow(_by_codes(self.percent), "a bigint, b bigint"), "near")
@@ -276,15 +280,15 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         placed = rest.join(comp, "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
         open_lists = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         ranked = placed.join(open_lists, "sig", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node", "pos")))
-        ranked = written(ranked.join(nodes.select("node", *_words("mask")), "node"), "open")
+        ranked = written(ranked.join(nodes.select("node", *_words("mask", LIST_WORDS)), "node"), "open")
         if ranked.isEmpty():
             old += [ranked]
             break
-        a = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"), *[F.col(f"mask{i}").alias(f"other{i}") for i in range(MASK_WORDS)])
-        across = (F.col("rank") > F.col("rank2")) & (F.col("comp") != F.col("comp2")) & _may_link(percent) & _by_masks(percent, "n", "n2", "mask", "other")
+        a = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"), *[F.col(f"mask{i}").alias(f"other{i}") for i in range(LIST_WORDS)])
+        across = (F.col("rank") > F.col("rank2")) & (F.col("comp") != F.col("comp2")) & _may_link(percent) & _by_masks(percent, "n", "n2", "mask", "other", LIST_WORDS)
         more = ranked.alias("r").join(a, (F.col("r.sig") == a["sig"]) & across)
         more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        found = verifier.links(more)
+        found = verifier.links(verifier.likely(more))
         old += [ranked]
         if not found.isEmpty():
             links = written(links.union(found), "links")
@@ -311,3 +315,21 @@ def first_of_groups(documents: DataFrame, size: int = SHINGLE, percent: int = PE
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sh),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 7 * count(*) >= 3 * (a.n + b.n)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM sides UNION SELECT r.doc_id, l.b FROM reach r JOIN sides l ON r.other = l.a),
+least_ AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+SELECT sh.doc_id, CAST(len(sh.s) AS bigint) AS n_shingles, least(sh.doc_id, coalesce(m, sh.doc_id)) AS component_id FROM sh LEFT JOIN least_ l ON l.doc_id = sh.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op6_decontamination
 from .html_extraction import op7_html_extraction
-from .jaccard_join import op8_jaccard_join
+from .jaccard_join import OP8_SQL, op8_jaccard_join
 from .language_id import op4_language_id
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op3_quality_rules
@@ -28,4 +28,4 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-ORACLE_SQL = {"op2_url_filters": OP2_SQL}
+ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op8_jaccard_join": OP8_SQL}
