@@ -13,9 +13,10 @@ at least one signature, whatever the order. Sets too small for that also index t
 2. A second pass emits (signature, set). Lists of rare signatures have at most ``FREQUENT`` members; others are salted.
 3. Each list's least member leads it. A pair of leader and member is dropped if sizes, positions or the sets' 1024-bit
    masks (a bit set in one mask only is a missing shingle) rule the link out; for what is left the texts are read, and
-   after a bound from 16-bit codes of the shingles the rest is verified exactly on whole sets. Links make components; lists whose members are all in one component
-   are done, the others go on with 8, 64, 512 ... further leaders against members of other components, until every pair
-   of a list is compared or connected. No list is gathered in a task.
+   after a bound from 16-bit codes of the shingles the rest is verified exactly on whole sets. Links make components.
+   Lists of two, and those whose members are all in one component, are done; the others go on with 8, 64, 512 ...
+   further leaders against members of other components, until every pair of a list is compared or connected. No list is
+   gathered in a task.
 
 Fingerprints of sets and shingles have 64 bits. Result: one row per document with the least doc_id of its component.
 
@@ -43,7 +44,13 @@ from .seen_filters import PACKED, RUN, SeenFilters, packed, range_bits_for
 SHINGLE, PERCENT = 5, 75
 FREQUENT, CLASSES, SALTS, MASK_WORDS = 32, 16, 16, 16
 LIST_WORDS = 4  # of a mask, that travel with the lists
-BROADCAST_ROWS = 200_000  # of (node, doc_id), a few megabytes
+BROADCAST_ROWS = 200_000  # of two whole numbers each, a few megabytes
+RANGE_BITS, FILTER_BITS = 1 << 19, 1 << 29  # of the filter of shingles found twice: for each hash range, and at most (64 MB)
+
+
+def _if_few(table: DataFrame) -> DataFrame:
+    """Broadcast a written table of narrow rows if it has at most ``BROADCAST_ROWS``; otherwise Spark joins it by shuffling."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def token_sets(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +214,9 @@ class _Verifier:
 
     def _joined(self, pairs: DataFrame, column: str) -> DataFrame:
         """The pairs with a column of both their sets, ta and tb; only sets that some pair needs are moved."""
-        used = self.sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        ends = F.broadcast(ends) if pairs.count() <= BROADCAST_ROWS // 2 else ends.distinct()
+        used = self.sets.join(ends, "node", "left_semi")
         of = lambda x: used.select(F.col("node").alias(x), F.col(column).alias(f"t{x}"))
         return pairs.join(of("a"), "a").join(of("b"), "b")
 
@@ -222,8 +231,7 @@ class _Verifier:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         chosen = written(self.nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "chosen")
-        few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-        new = written(self.texts.join(few, "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
+        new = written(self.texts.join(_if_few(chosen), "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         release_shuffles(new.sparkSession)
         near = written(self._joined(pairs, "codes").mapInArrow(_by_codes(self.percent), "a bigint, b bigint"), "near")
@@ -248,7 +256,7 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     range_bits = range_bits_for(documents.count())
     first = written(texts.mapInArrow(_pass_one(size, range_bits), "doc_id bigint, n int, node bigint, mask array<bigint>, part int, v binary, c binary"), "sets")
-    shared = spark.sparkContext.broadcast(SeenFilters.build(first.where("part IS NOT NULL"), range_bits, frequent))
+    shared = spark.sparkContext.broadcast(SeenFilters.build(first.where("part IS NOT NULL"), range_bits, frequent, min(FILTER_BITS, RANGE_BITS << range_bits)))
     docs = written(first.where("part IS NULL").select("doc_id", "n", "node"), "documents")
     # one document of each distinct set
     nodes = first.where("part IS NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "n", "mask")).alias("d"))
@@ -260,10 +268,16 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(0).cast("int"))
     order = Window.partitionBy("sig", "salt").orderBy("node", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.first(F.struct("node", "n", "pos")).over(order)
-    before = F.lag("node").over(Window.partitionBy("sig", "salt").orderBy("node", "pos"))
-    lead = lambda d: d.withColumn("head", head).withColumn("same", before.eqNullSafe(F.col("node"))).where("NOT same").drop("same")
+    place = Window.partitionBy("sig", "salt").orderBy("node", "pos")
+
+    def lead(d: DataFrame) -> DataFrame:
+        """Members with their list's leader; ``pair``: the member is its list's only one besides the leader."""
+        d = d.withColumns({"head": head, "before": F.lag("node").over(place), "after": F.lead("node").over(place)})
+        d = d.where("NOT before <=> node").withColumn("pair", F.expr("NOT hot AND before = head.node AND after IS NULL"))
+        return d.drop("before", "after")
+
     level = written(lead(rows).where("hot OR head.node <> node"), "lists")
-    tops = level.where("hot AND head.node = node").drop("head").withColumn("salt", F.lit(0))
+    tops = level.where("hot AND head.node = node").drop("head", "pair").withColumn("salt", F.lit(0))
     lists = level.where("head.node <> node").unionByName(lead(tops).where("head.node <> node"))
     lists = lists.select("sig", "node", "n", "pos", F.col("head.node").alias("node2"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"))
     release_shuffles(spark)
@@ -274,10 +288,10 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     old = [pairs, level, nodes]
     comp = components(links)
     # all pairs with a leader are compared; go on with lists whose other members are in several components
-    rest = level.select("sig", "node", "n", "pos").where("head.node <> node").unionByName(level.where("hot AND head.node = node").select("sig", "node", "n", "pos"))
+    rest = level.where("head.node <> node AND NOT pair").select("sig", "node", "n", "pos").unionByName(level.where("hot AND head.node = node").select("sig", "node", "n", "pos"))
     leaders = 8
     while True:
-        placed = rest.join(comp, "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
+        placed = rest.join(_if_few(comp), "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
         open_lists = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         ranked = placed.join(open_lists, "sig", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node", "pos")))
         ranked = written(ranked.join(nodes.select("node", *_words("mask", LIST_WORDS)), "node"), "open")
