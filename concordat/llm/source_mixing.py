@@ -1,13 +1,14 @@
 """Operator 9: mixing sources to target weights by Pfair scheduling.
 
-Every source's documents, in an order given by a hash, form blocks of ``BLOCK`` rows. A source of share c out of D gets
-c of D slots: its block j is released at slot floor(j * D / c) and due by ceil((j + 1) * D / c); each slot takes the
-released block with the earliest deadline. All windows are then met, so at every slot each source has been served less
-than one block more or less than its share. The schedule repeats after D slots, so only one period is computed.
+Every source's documents, in an order given by a hash, form blocks of ``BLOCK`` rows. A source of weight w (a share of
+1) has its block j released at slot floor(j / w) and due by ceil((j + 1) / w); each slot takes the released block with the
+earliest deadline. All windows are then met, so at every slot each source has been served less than one block more or
+less than its target weight. Weights are taken as they are, by exact rational numbers, and every block of a phase is
+scheduled by its own window; no period is repeated.
 
-When a source runs out, a new phase starts with the shares of the others; nothing is dropped. Default shares follow the
-square root of the sources' sizes. The driver holds one period for each phase: ``PERIOD`` or 8 slots a source, times
-the number of sources (at most ``MAX_SOURCES``, otherwise an error), whatever the number of documents.
+When a source runs out, a new phase starts with the weights of the others; nothing is dropped. Default weights follow the
+square root of the sources' sizes. One task writes the schedule, one row a block, in memory bound by the number of
+sources (at most ``MAX_SOURCES``, otherwise an error); the driver holds the sources' sizes only.
 
 A document's index in its source is counted in hash buckets with an offset by bucket, so that no source, however large,
 is sorted in one task.
@@ -21,49 +22,72 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, MAX_SOURCES, BUCKET_ROWS = 16, 1000, 1000, 4_000
+BLOCK, PERIOD, MAX_SOURCES, BUCKET_ROWS, PLAN_ROWS = 16, 1000, 1000, 4_000, 8_192
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares that sum to ``period``, at least 1 each, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w * period / total for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    i = 0
-    while (gap := period - sum(out.values())) != 0:
-        s = order[i % len(order)] if gap > 0 else max(out, key=lambda x: (out[x], x))
-        out[s] += 1 if gap > 0 else -1
-        i += 1
-    return out
+def shares(weights: dict[str, float], period: int) -> dict[str, Fraction]:
+    """The weights scaled to sum to ``period``, not rounded."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: w * period / total for s, w in exact.items()}
 
 
-def period_slots(share: dict[str, int]) -> dict[str, list[int]]:
-    """For each source the slots of its blocks in one period of ``sum(share)`` slots, earliest deadline first."""
-    d = sum(share.values())
-    waiting = [(0, s, 0) for s in sorted(share)]
+def order(share: dict[str, Fraction]) -> Iterator[str]:
+    """The source of each slot without end, earliest deadline first."""
+    exact = {s: Fraction(w) for s, w in share.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    d, t = sum(whole.values()), 0
+    waiting = [(0, s, 0) for s in sorted(whole)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in share}
-    for t in range(d):
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * d // share[s]), s, j))
-        _, s, j = heapq.heappop(ready)
+            heapq.heappush(ready, (-(-(j + 1) * d // whole[s]), s, j))
+        _, s, j = heapq.heappop(ready)  # never empty: by the windows each slot has a released block
+        yield s
+        heapq.heappush(waiting, ((j + 1) * d // whole[s], s, j + 1))
+        t += 1
+
+
+def period_slots(share: dict[str, Fraction]) -> dict[str, list[int]]:
+    """For each source the slots of its blocks in the first ``sum(share)`` slots."""
+    out: dict[str, list[int]] = {s: [] for s in share}
+    for t, s in enumerate(islice(order(share), int(sum(share.values())))):
         out[s].append(t)
-        if j + 1 < share[s]:
-            heapq.heappush(waiting, ((j + 1) * d // share[s], s, j + 1))
     return out
 
 
+def placed(blocks: dict[str, int], groups: list[dict[str, float]]) -> Iterator[tuple[int, str, int, int]]:
+    """(phase, source, block, slot) of all ``blocks``, by slot; a group of weights starts when the one before is through."""
+    slot = number = 0
+    for group in groups:
+        live = {s: w for s, w in group.items() if blocks[s] > 0}
+        done = dict.fromkeys(live, 0)
+        while live:
+            for s in order(live):
+                yield number, s, done[s], slot
+                done[s] += 1
+                slot += 1
+                if done[s] == blocks[s]:
+                    del live[s]
+                    break
+            number += 1
+
+
 @dataclass
 class Phase:
-    """From ``base`` on, source s's blocks from ``done[s]`` on follow ``slots``, up to ``length`` slots."""
+    """From ``base`` on, source s's blocks from ``done[s]`` on take ``slots``; ``period`` is the whole ``length``."""
 
     number: int
     base: int
@@ -73,23 +97,20 @@ class Phase:
     slots: dict[str, list[int]]
 
 
-def phases(blocks: dict[str, int], share: dict[str, int]) -> list[Phase]:
-    """The phases until all ``blocks`` are placed; each ends when one of its sources runs out."""
-    left, done, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while live := {s: share[s] for s, n in left.items() if n > 0}:
-        slots = period_slots(live)
-        d = sum(live.values())
-        length = min((left[s] - 1) // live[s] * d + slots[s][(left[s] - 1) % live[s]] + 1 for s in live)
-        out.append(Phase(len(out), base, length, d, {s: done[s] for s in live}, slots))
-        for s in live:
-            n = length // d * live[s] + sum(t < length % d for t in slots[s])
-            left[s] -= n
-            done[s] += n
-        base += length
+def phases(blocks: dict[str, int], share: dict[str, float]) -> list[Phase]:
+    """The phases until all ``blocks`` are placed, with every slot; for small tables and tests."""
+    out: list[Phase] = []
+    for number, s, block, slot in placed(blocks, [share]):
+        if number == len(out):
+            out.append(Phase(number, slot, 0, 0, {}, {}))
+        p = out[-1]
+        p.length = p.period = slot - p.base + 1
+        p.done.setdefault(s, block)
+        p.slots.setdefault(s, []).append(slot - p.base)
     return out
 
 
-def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, seed: int = 0) -> DataFrame:
+def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """``documents`` with mix_source, mix_block (of its source), mix_phase, mix_slot and mix_position.
 
     ``mix_position`` numbers all rows of the mix: blocks by slot, rows in a block by their order in the source.
@@ -102,55 +123,41 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
     sizes = {r[0]: r[1] for r in rows.groupBy("mix_source").count().limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    fields = "mix_source string, mix_phase int, _from bigint, _upto bigint, _share int, _period int, _base bigint, _slots array<int>"
-    plan, base, n_phases = [], 0, 0
     weights = {s: math.sqrt(n) for s, n in sizes.items()} if weights is None else {s: weights.get(s, 0.0) for s in sizes}
     blocks = {s: -(-n // block) for s, n in sizes.items()}
-    wanted = {s: w for s, w in weights.items() if w > 0}
-    for group in (wanted, {s: 1.0 for s in sizes if s not in wanted}):
-        if not group:
-            continue
-        share = shares(group, max(period, 8 * len(group)))
-        own_phases = phases({s: blocks[s] for s in group}, share)
-        for p in own_phases:
-            for s, slots in p.slots.items():
-                n = p.length // p.period * len(slots) + sum(t < p.length % p.period for t in slots)
-                plan.append((s, n_phases + p.number, p.done[s], p.done[s] + n, len(slots), p.period, base + p.base, slots))
-        base += sum(blocks[s] for s in group)
-        n_phases += len(own_phases)
-    table = spark.createDataFrame(plan, fields)
+    groups = [{s: w for s, w in weights.items() if w > 0}, {s: 1.0 for s, w in weights.items() if not w > 0}]
+
+    def plan(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a slot's rows start after all rows of earlier slots: full blocks but for the last one of each source
+        missing, every = 0, placed(blocks, groups)
+        while part := list(islice(every, PLAN_ROWS)):
+            start = []
+            for _, s, j, slot in part:
+                start.append(slot * block - missing)
+                if j == blocks[s] - 1:
+                    missing += blocks[s] * block - sizes[s]
+            number, source, j, slot = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(j, pa.int64()), pa.array(number, pa.int32()), pa.array(slot, pa.int64()), pa.array(start, pa.int64())], ["mix_source", "mix_block", "mix_phase", "mix_slot", "_start"])
+
+    schedule = spark.range(0, 1, 1, 1).mapInArrow(plan, "mix_source string, mix_block bigint, mix_phase int, mix_slot bigint, _start bigint")
     # index of each row in its source: rank in a bucket of its hash plus the sizes of the buckets before
     buckets = 1 << max(0, math.ceil(math.log2(max(1, max(sizes.values(), default=1) / BUCKET_ROWS))))
     rows = rows.withColumn("_bucket", F.shiftrightunsigned("_key", 64 - int(math.log2(buckets))) if buckets > 1 else F.lit(0).cast("bigint"))
     count = rows.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    count = count.select("mix_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    count = count.select("mix_source", "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     rank = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy(F.shiftleft("_key", int(math.log2(buckets))), "_row.doc_id"))
-    rows = rows.withColumn("_rank", rank).join(count, ["mix_source", "_bucket"])
-    index = F.col("_offset") + F.col("_rank") - 1
-    rows = rows.withColumn("_index", index).withColumn("mix_block", F.floor(index / block))
-    rows = rows.join(F.broadcast(table), "mix_source").where("mix_block >= _from AND mix_block < _upto")
-    j = F.col("mix_block") - F.col("_from")
-    slot = F.col("_base") + F.floor(j / F.col("_share")) * F.col("_period") + F.element_at("_slots", (j % F.col("_share") + 1).cast("int"))
-    out = rows.withColumn("mix_slot", slot)
-    # a slot's rows start after all rows of earlier slots: full blocks but for the last one of each source
-    short = [(s, blocks[s] - 1, block - (sizes[s] - (blocks[s] - 1) * block)) for s in sizes if sizes[s] % block]
-    ends = spark.createDataFrame(short, "mix_source string, _last bigint, _missing bigint")
-    gaps = ends.join(table, "mix_source").where("_last >= _from AND _last < _upto")
-    at = F.col("_last") - F.col("_from")
-    gap_slot = F.col("_base") + F.floor(at / F.col("_share")) * F.col("_period") + F.element_at("_slots", (at % F.col("_share") + 1).cast("int"))
-    missing = sorted((r[0], r[1]) for r in gaps.select(gap_slot, "_missing").collect())
-    position = F.col("mix_slot") * block + F.col("_index") % block
-    if missing:
-        bounds = F.array(*[F.lit(s) for s, _ in missing])
-        total, sums = 0, [0]
-        for _, n in missing:
-            total += n
-            sums.append(total)
-        lower = F.size(F.filter(bounds, lambda x: x < F.col("mix_slot")))
-        position = position - F.element_at(F.array(*[F.lit(x) for x in sums]), lower + 1)
+    # the places of each bucket's blocks; the schedule's size is unknown to the planner, so it must not be broadcast
+    first = F.floor(F.col("_offset") / block)
+    spans = count.select("mix_source", "_bucket", "_offset", F.explode(F.sequence(first, F.floor((F.col("_offset") + F.col("_n") - 1) / block))).alias("mix_block"))
+    place = F.struct("mix_block", "mix_phase", "mix_slot", "_start")
+    places = spans.join(schedule.hint("merge"), ["mix_source", "mix_block"]).groupBy("mix_source", "_bucket").agg(F.first("_offset").alias("_offset"), F.array_sort(F.collect_list(place)).alias("_places"))
+    rows = rows.withColumn("_rank", rank).join(places.hint("merge"), ["mix_source", "_bucket"])
+    rows = rows.withColumn("_index", F.col("_offset") + F.col("_rank") - 1)
+    at = F.element_at("_places", (F.floor(F.col("_index") / block) - first + 1).cast("int"))
+    out = rows.withColumn("_at", at).withColumn("mix_position", F.col("_at._start") + F.col("_index") % block)
     null_source = F.when(F.col("mix_source") != "\0null", F.col("mix_source"))
-    return out.select("_row.*", null_source.alias("mix_source"), "mix_block", "mix_phase", "mix_slot", position.cast("bigint").alias("mix_position"))
+    return out.select("_row.*", null_source.alias("mix_source"), "_at.mix_block", "_at.mix_phase", "_at.mix_slot", "mix_position")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

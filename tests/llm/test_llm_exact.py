@@ -255,6 +255,29 @@ def test_mix(spark, documents):
     assert got == slots
 
 
+@pytest.mark.parametrize("weights", [{"a": 2.0, "b": 1.0}, {"a": 0.9999, "b": 0.0001}, {"a": math.sqrt(2), "b": math.sqrt(3), "c": math.sqrt(5)}])
+def test_schedule_follows_the_weights(weights):
+    """Less than one block off the target weights, not rounded ones, over far more slots than a period."""
+    blocks = {s: math.ceil(40_000 * w / sum(weights.values())) for s, w in weights.items()}
+    p = source_mixing.phases(blocks, source_mixing.shares(weights, source_mixing.PERIOD))[0]
+    assert p.length > 30_000
+    at = np.arange(1, p.length + 1)
+    for s, w in weights.items():
+        starts = np.zeros(p.period)
+        starts[p.slots[s]] = 1
+        served = np.cumsum(starts[np.arange(p.length) % p.period])
+        assert np.abs(served - at * w / sum(weights.values())).max() < 1
+
+
+def test_mix_follows_the_weights(spark):
+    docs = spark.range(90_000).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id % 3 < 2 THEN 'a' ELSE 'b' END AS source")
+    out = source_mixing.mixed(docs, {"a": 2.0, "b": 1.0}, block=4).select("mix_source", "mix_slot", "mix_phase", "mix_position").toPandas()
+    assert sorted(out.mix_position) == list(range(90_000))
+    one = out[out.mix_phase == 0].drop_duplicates("mix_slot").sort_values("mix_slot")
+    served = (one.mix_source == "a").cumsum().to_numpy()
+    assert len(one) > 20_000 and np.abs(served - np.arange(1, len(one) + 1) * 2 / 3).max() < 1
+
+
 def test_held_out(spark):
     """Held-out accuracy of the learned operators at the middle size."""
     sf = "/root/testdata/sf0.01"
