@@ -1,18 +1,19 @@
 """Operator 4: language identification by language-bitmask n-gram filters.
 
-Every language has a Bloom filter of its n-grams; the filters are bit-sliced, so that one word of the table holds one
-bit for each language and the AND of an n-gram's words is the bitmask of all languages that may contain it. A text's
+Every language has a Bloom filter of its n-grams; the filters are bit-sliced, so that a slot of the table holds one
+bit for each language, in as many words of ``WORD_LANGS`` bits as there are languages for, and the AND of an n-gram's
+slots is the bitmask of all languages that may contain it. A text's
 hits per language are the popcounts of that bit over its n-grams, corrected for the filter's share of false positives;
 the language with the most evidence wins. An n-gram weighs by the number of languages that have it, rarer ones more.
 
 Learning counts n-grams (three and four characters of lower-cased words with their borders, and short words whole)
 over all training documents with a shuffled sum per (language, n-gram); an n-gram enters a language's filter if it
 makes up at least ``min_share`` of that language's n-grams, so a filter has at most 1 / min_share entries whatever the
-corpus' size, and the table (``slots`` words) is broadcast.
+corpus' size, and the table (``slots`` words for each ``WORD_LANGS`` languages) is broadcast.
 
 Edge cases: a null text or one without a letter gets ``und`` and 0.0; a text none of whose n-grams is known gets the
 first learned language with score 1 / languages; no training rows: ``und`` for all; rows with null lang teach nothing;
-extra columns are ignored. At most 63 languages fit a word; the most frequent ones are taken, ties by name.
+extra columns are ignored. All languages of the training rows are learned.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ._text import chunks, mix, texts_of
 
 SLOTS, MIN_SHARE, SIZES = 1 << 18, 2e-5, (3, 4)
-MAX_LANGS = 63
+WORD_LANGS = 63
 
 _BREAK = np.ones(256, bool)  # ASCII characters that are not letters
 _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
@@ -79,27 +80,26 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """``table[slot]``: bit l is set if an n-gram of language l falls there; ``false_rate[l]``: share of chance hits."""
+    """``table[w][slot]``: bit l of word w is set if an n-gram of language w * WORD_LANGS + l falls there; ``false_rate[l]``: share of chance hits."""
 
     langs: list[str]
     table: np.ndarray
     false_rate: np.ndarray
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        n = np.uint64(len(self.table) - 1)
-        return self.table[(h & n).astype(np.int64)] & self.table[((h >> np.uint64(32)) & n).astype(np.int64)]
+    def masks(self, h: np.ndarray) -> list[np.ndarray]:
+        n = np.uint64(self.table.shape[1] - 1)
+        one, two = (h & n).astype(np.int64), ((h >> np.uint64(32)) & n).astype(np.int64)
+        return [word[one] & word[two] for word in self.table]
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """Per text and language: hits, corrected for false positives, as a share of the evidence for all languages."""
         doc, h = grams(texts)
-        mask = self.masks(h)
-        count = np.zeros(len(mask))
-        bits = [((mask >> np.uint64(i)) & np.uint64(1)).astype(float) for i in range(len(self.langs))]
-        for b in bits:
-            count += b
+        masks = self.masks(h)
+        count = sum(np.bitwise_count(m).astype(float) for m in masks)
         weight = np.where(count > 0, np.maximum(len(self.langs) - count, 0.02), 0.0)
         total = np.bincount(doc, weight, len(texts))
-        hits = np.stack([np.bincount(doc, b * weight, len(texts)) for b in bits], 1)
+        bit = lambda i: (masks[i // WORD_LANGS] >> np.uint64(i % WORD_LANGS)) & np.uint64(1)
+        hits = np.stack([np.bincount(doc, bit(i) * weight, len(texts)) for i in range(len(self.langs))], 1)
         clean = np.maximum(hits - total[:, None] * self.false_rate, 0) / (1 - self.false_rate)
         power = (clean / np.maximum(total, 1e-9)[:, None]) ** 3
         s = power.sum(1, keepdims=True)
@@ -131,20 +131,18 @@ def learn(documents: DataFrame, slots: int = SLOTS, min_share: float = MIN_SHARE
     counts = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     try:
-        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-        langs = sorted(totals)
-        table, false_rate = np.zeros(slots, np.uint64), np.zeros(len(langs))
+        totals = sorted((r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect())
+        langs = [x for x, _ in totals]
+        table, false_rate = np.zeros((max(1, -(-len(langs) // WORD_LANGS)), slots), np.uint64), np.zeros(len(langs))
         if langs:
-            least = F.lit(0.0)
-            for x in langs:
-                least = F.when(F.col("lang") == x, F.lit(totals[x] * min_share)).otherwise(least)
-            for x in counts.where(F.col("lang").isin(langs) & (F.col("n") >= least)).select("lang", "gram").toArrow().to_batches():
-                h = x.column("gram").to_numpy().view(np.uint64)
-                code = np.searchsorted(langs, x.column("lang").to_pylist()).astype(np.uint64)
-                bit = np.uint64(1) << code
-                np.bitwise_or.at(table, (h & np.uint64(slots - 1)).astype(np.int64), bit)
-                np.bitwise_or.at(table, ((h >> np.uint64(32)) & np.uint64(slots - 1)).astype(np.int64), bit)
-            false_rate = np.array([((table >> np.uint64(i)) & np.uint64(1)).mean() ** 2 for i in range(len(langs))])
+            least = documents.sparkSession.createDataFrame([(x, n * min_share, i // WORD_LANGS, 1 << i % WORD_LANGS) for i, (x, n) in enumerate(totals)], "lang string, least double, word int, bit bigint")
+            kept = counts.join(F.broadcast(least), "lang").where("n >= least")
+            last = F.lit(slots - 1)
+            at = F.array(F.col("gram").bitwiseAND(last), F.shiftrightunsigned("gram", 32).bitwiseAND(last))
+            # at most one row for each word of the table reaches the driver
+            for x in kept.select("word", F.explode(at).alias("at"), "bit").groupBy("word", "at").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+                table[x.column("word").to_numpy(), x.column("at").to_numpy()] = x.column("bits").to_numpy().view(np.uint64)
+            false_rate = np.array([((table[i // WORD_LANGS] >> np.uint64(i % WORD_LANGS)) & np.uint64(1)).mean() ** 2 for i in range(len(langs))])
     finally:
         counts.unpersist()
     return LanguageFilters(langs, table, false_rate)

@@ -59,6 +59,17 @@ def test_quality(docs, empty, labels):
     assert quality_rules.apply_rules(empty, rules).count() == 0
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    """Every language of the training rows is learned, the rarest ones too."""
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26) + "qxz"[i % 3]
+    rows = [(i, f"l{i:03}", f"{word(i)}{word(i + 1)} {word(i)} " * (3 + 130 - i)) for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    filters = language_id.learn(docs)
+    assert filters.langs == [r[1] for r in rows]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, filters).collect()}
+    assert got == {i: x for i, x, _ in rows}
+
+
 def test_language(docs, empty):
     filters = language_id.learn(docs.where("doc_id <> 9"))
     got = {r[0]: r for r in language_id.identify(docs, filters).collect()}
