@@ -3,10 +3,10 @@
 The standard library's streaming parser cuts a page into lines, one per block element, each with its characters, its
 tags and its link characters. The text-to-tag ratio per line is smoothed with a Gaussian over neighbouring lines and
 split by threshold clustering (two means in one dimension) into content and other lines; runs of content lines are
-content regions. Structure corrects the ratios: lines inside menus, headers, footers, side bars, notices, adverts,
+content regions. Structure comes before the ratios: lines inside menus, headers, footers, side bars, notices, adverts,
 forms, comments, scripts and styles have ratio 0 and never enter a region; where a page marks its article (``article``
-or ``main``), the article elements that hold a content region are taken whole, short lines included. Otherwise the text
-runs from the first to the last line of the regions, without lines that are mostly links.
+or ``main``), every article element that isn't boilerplate is taken whole, short lines included, and the ratios decide
+nothing. Otherwise the text runs from the first to the last line of the regions, without lines that are mostly links.
 
 Edge cases: null or empty html gives an empty text; broken markup never fails: an article's start ends an advert left
 open; text outside any block counts as a line. Extra columns are ignored; repeated rows stay repeated.
@@ -165,14 +165,11 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
+    if any(a for *_, a in lines):
+        return "\n".join(t for t, _, _, a in lines if a)
     ratio = np.array([max(0, len(t) - k) / (1 + tags) for t, tags, k, _ in lines], float)
     smooth = smoothed(np.log1p(ratio), sigma)
     content = smooth > two_means(smooth)
-    held = {lines[i][3] for i in np.flatnonzero(content)} - {0}
-    if not held and parser.articles:
-        held = {a for *_, a in lines} - {0}
-    if held:
-        return "\n".join(t for t, _, _, a in lines if a in held)
     at = np.flatnonzero(content)  # never empty: the upper cluster, or all lines
     return "\n".join(t for t, _, k, _ in lines[at[0] : at[-1] + 1] if 2 * k <= len(t))
 

@@ -303,6 +303,14 @@ def test_html():
     assert main_text(plain).count("\n") == 4
 
 
+def test_every_article_is_kept():
+    """An article of short lines beside one of long ones; boilerplate inside and outside stays out."""
+    long = "".join(f"<p>{'many words in a row ' * 20}{i}</p>" for i in range(4))
+    short = "<article><h2>Update</h2><ul><li>One</li><li>Two</li></ul><div class='share'>Share</div></article>"
+    got = main_text(f"<body><nav>Menu</nav><article>{long}</article>{short}<footer>End</footer></body>").split("\n")
+    assert len(got) == 7 and got[-3:] == ["Update", "One", "Two"]
+
+
 def test_pages(spark):
     """The article of every page of the table, cut out by its marks."""
     import html
