@@ -78,6 +78,18 @@ def glad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crowd.crowd_labels(votes.valid(annotations(spark, sf_dir)), LABELS, "glad", n_iter=1).withColumn("prob", F.round("prob", 6))
 
 
+@query()
+def mace_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MACE with the operator's own number of iterations."""
+    return crowd.crowd_labels(votes.valid(annotations(spark, sf_dir)), LABELS, "mace")
+
+
+@query()
+def glad_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GLAD with the operator's own number of iterations, difficulty and skill included."""
+    return crowd.crowd_labels(votes.valid(annotations(spark, sf_dir)), LABELS, "glad")
+
+
 @query()
 def crowd_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skill of each model by each converged crowd model."""
@@ -94,8 +106,17 @@ maj AS (SELECT item_id, label, cnt FROM (SELECT item_id, label, count(*) AS cnt,
   FROM ann WHERE error IS NULL AND label IS NOT NULL GROUP BY item_id, label) WHERE rk = 1)
 SELECT m.item_id, m.label AS vote_label, ds.label AS crowd_label, round(ds.prob, 3) AS prob, m.label = ds.label AS same FROM maj m JOIN ds USING (item_id)""")
 def ds_vs_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The majority vote beside Dawid-Skene."""
-    ann = annotations(spark, sf_dir)
-    ds = dawid_skene(spark, sf_dir).select("item_id", F.col("label").alias("crowd_label"), F.round("prob", 3).alias("prob"))
-    j = votes.majority(ann).select("item_id", F.col("label").alias("vote_label")).join(ds, "item_id")
+    """The majority vote beside three iterations of Dawid-Skene, which SQL can unroll."""
+    return _beside_vote(spark, sf_dir, dawid_skene(spark, sf_dir))
+
+
+@query()
+def ds_vs_pipeline_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The majority vote beside converged Dawid-Skene."""
+    return _beside_vote(spark, sf_dir, dawid_skene_converged(spark, sf_dir))
+
+
+def _beside_vote(spark: SparkSession, sf_dir: str, ds: DataFrame) -> DataFrame:
+    ds = ds.select("item_id", F.col("label").alias("crowd_label"), F.round("prob", 3).alias("prob"))
+    j = votes.majority(annotations(spark, sf_dir)).select("item_id", F.col("label").alias("vote_label")).join(ds, "item_id")
     return j.withColumn("same", F.col("vote_label") == F.col("crowd_label"))

@@ -134,6 +134,60 @@ def test_dawid_skene(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def plain_posterior(rows, labels, log_likelihood):
+    out = {}
+    for i in {r[0] for r in rows}:
+        s = [sum(log_likelihood(i, w, a, k) for j, w, a in rows if j == i) for k in labels]
+        e = [math.exp(x - max(s)) for x in s]
+        out[i] = {k: x / sum(e) for k, x in zip(labels, e, strict=True)}
+    return out
+
+
+def plain_mace(rows, labels, n_iter):
+    """Item by item, as the reference states it."""
+    workers = {r[1] for r in rows}
+    theta, xi = dict.fromkeys(workers, 0.8), {(w, a): 1 / len(labels) for w in workers for a in labels}
+    for _ in range(n_iter):
+        post = plain_posterior(rows, labels, lambda i, w, a, k: math.log(theta[w] * (a == k) + (1 - theta[w]) * xi[w, a] + 1e-12))
+        good = [(w, a, post[i][a] * theta[w] / (theta[w] + (1 - theta[w]) * xi[w, a] + 1e-12)) for i, w, a in rows]
+        for w in workers:
+            own = [(a, g) for v, a, g in good if v == w]
+            theta[w] = min(max((0.5 + sum(g for _, g in own)) / (1 + len(own)), 0.01), 0.99)
+            mass = {k: 0.5 / len(labels) + sum(1 - g for a, g in own if a == k) for k in labels}
+            xi |= {(w, k): m / sum(mass.values()) for k, m in mass.items()}
+    return {i: max(p.values()) for i, p in post.items()}
+
+
+def plain_glad(rows, labels, n_iter, rate=0.1):
+    """Item by item, as the reference states it."""
+    alpha, logb = {r[1]: 1.0 for r in rows}, {r[0]: 0.0 for r in rows}
+    right = lambda i, w: 1 / (1 + math.exp(-max(min(alpha[w] * math.exp(logb[i]), 30), -30)))
+    for _ in range(n_iter):
+        post = plain_posterior(rows, labels, lambda i, w, a, k: math.log((right(i, w) if a == k else (1 - right(i, w)) / (len(labels) - 1)) + 1e-12))
+        for _ in range(5):
+            up_a, up_b = {w: 1 - x for w, x in alpha.items()}, {i: -x for i, x in logb.items()}
+            for i, w, a in rows:
+                gap, b = post[i][a] - right(i, w), math.exp(logb[i])
+                up_a[w] += gap * b
+                up_b[i] += gap * alpha[w] * b
+            alpha = {w: x + rate * up_a[w] for w, x in alpha.items()}
+            logb = {i: max(min(x + rate * up_b[i], 3.0), -3.0) for i, x in logb.items()}
+    return {i: max(p.values()) for i, p in post.items()}
+
+
+@pytest.mark.parametrize(("name", "plain", "n_iter"), [("mace_converged", plain_mace, 50), ("glad_converged", plain_glad, 30)])
+def test_registered_crowd_models_run_to_the_end(spark, monkeypatch, name, plain, n_iter):
+    from concordat.plans import crowd as plans
+
+    rng = np.random.default_rng(3)
+    rows = [(i, f"w{w}", "ANR"[i % 3 if rng.uniform() < 0.5 + w / 10 else rng.integers(0, 3)]) for i in range(12) for w in range(4)]
+    df = spark.createDataFrame(rows, "item_id long, model string, label string")
+    monkeypatch.setattr(plans, "annotations", lambda *_: df)
+    monkeypatch.setattr(plans.votes, "valid", lambda x: x)
+    got = {r["item_id"]: r["prob"] for r in plans.__dict__[name](spark, "").collect()}
+    assert got == pytest.approx(plain(rows, list("ANR"), n_iter), abs=1e-6)
+
+
 def test_glad_and_mace_rank_workers(spark):
     rng = np.random.default_rng(2)
     truth = rng.integers(0, 3, 300)
