@@ -7,7 +7,7 @@ to an exact hash join with the list, which removes the false positives. The long
 rule, a match with the block list blocks, anything else is allowed.
 
 The filter has a fixed size (``blocks`` x 64 bytes, built by a shuffled bit-or) and is broadcast; the list itself may be
-of any size and is joined by shuffling. The join runs on distinct URLs, so repeated URLs cost one row.
+of any size and is joined by shuffling. Paths are cut to every length that an entry has, up to their own. The join runs on distinct URLs, so repeated URLs cost one row.
 
 Edge cases: null or a string without ``://``: empty host and path, no rule, allowed. Repeated rows stay repeated. An
 entry listed twice counts once; of a rule listed with both actions, block wins. Extra columns are ignored.
@@ -15,6 +15,7 @@ entry listed twice counts once; of a rule listed with both actions, block wins.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +71,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, blocklist: DataFrame, block
         blocklist.select("entry", F.lit("block").alias("action"), F.lit(False).alias("is_rule"))
     ).dropna(subset=["entry"]).groupBy("entry", "is_rule").agg(F.max("action").alias("action"))
     spark = pages.sparkSession
-    lengths = [r[0] for r in listed.select(F.length(F.regexp_extract("entry", "^[^/]*(.*)$", 1))).distinct().limit(256).collect()]
+    lengths = [r[0] for r in listed.select(F.length(F.regexp_extract("entry", "^[^/]*(.*)$", 1))).distinct().collect()]
     shared = spark.sparkContext.broadcast((build_filter(listed, blocks), sorted(lengths)))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, blocklist: DataFrame, block
             urls, keys = [], []
             for i, (host, path) in enumerate(zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)):
                 parts = host.split(".")
-                ends = [path[:n] for n in cuts if n <= len(path)]
+                ends = [path[:n] for n in cuts[: bisect_right(cuts, len(path))]]
                 for j in range(len(parts)):
                     suffix = ".".join(parts[j:])
                     for p in ends:

@@ -105,6 +105,16 @@ def test_html(spark):
     assert got[2][1].startswith("a & b c")
 
 
+def test_urls_of_many_path_lengths(spark):
+    """Full URLs of 600 path lengths, none within another, all listed but for one."""
+    paths = [(i, f"/{i:03}" + "p" * i) for i in range(600)]
+    pages = spark.createDataFrame([(i, f"http://a.com{p}") for i, p in paths], "page_id long, url string")
+    listed = spark.createDataFrame([(f"a.com{p}",) for i, p in paths if i], "entry string")
+    rules = spark.createDataFrame([], "entry string, action string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.url_verdicts(pages, rules, listed).collect()}
+    assert got == {i: "block" if i else "allow" for i, _ in paths}
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, None), (2, "nothing"), (3, "HTTP://A.Com"), (4, "http://x.spam.com/"), (4, "http://x.spam.com/"), (None, "http://a.b.net/es/x?y")], "page_id long, url string")
     rules = spark.createDataFrame([("net/es/", "block"), ("net/es/", "allow"), (None, "block")], "entry string, action string")
