@@ -101,6 +101,13 @@ def doc_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.left(t, F.lit(2000)).alias("text"), (F.length(t) > 2000).alias("cut"))
 
 
+@query("SELECT doc_id, left(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), 40000) AS text, length(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g')) > 40000 AS cut FROM documents")
+def doc_truncate_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut where the feature cuts them."""
+    t = F.regexp_replace("text", "\n{3,}", "\n\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.left(t, F.lit(40000)).alias("text"), (F.length(t) > 40000).alias("cut"))
+
+
 @query("SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, min(doc_id) AS seq FROM documents WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 4 GROUP BY 1")
 def prep_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.trim(F.regexp_replace("text", r"\s+", " "))

@@ -264,3 +264,12 @@ def test_cosine_blocks(spark, monkeypatch):
         s[q] = -9
         assert [got[q, r] for r in range(1, 5)] == list(np.argsort(-s)[:4])
     assert neighbours.by_cosine(df, df.limit(0), 4).count() == 0
+
+
+def test_documents_are_cut_at_40000(spark, tmp_path):
+    from concordat.plans.catalogue import QUERIES
+
+    texts = ["a" * n for n in (1, 2_001, 40_000, 40_001)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["cut"]) for r in QUERIES["doc_truncate_full"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t[:40_000], len(t) > 40_000) for i, t in enumerate(texts)}
