@@ -145,9 +145,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; unset (tests), one is set."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Unset, a temporary folder serves where all run on one machine; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file:///tmp/{os.environ.get('USER', 'spark')}-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -165,10 +170,10 @@ def drop_tables(spark: SparkSession, tables: list[DataFrame]) -> None:
         for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(f)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    release_shuffles(spark)
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now; it does so only once the driver collects garbage."""
+    """Let Spark's cleaner drop the shuffle files of finished jobs now, for the disk; it does so only once the driver
+    collects garbage. Called once or twice in a query, after its largest shuffles."""
     gc.collect()
     spark._jvm.System.gc()

@@ -2,32 +2,36 @@
 
 A document's set holds its distinct word shingles. Shingles are ordered globally, rare ones first, and two linked sets
 must share a signature of their prefixes: a rare shingle counts alone, a frequent one only combined with another of the
-same class (frequent shingles fall into ``CLASSES`` classes). Prefixes are extended until they survive as many missing
-shingles as the threshold allows, counting x for x rare ones and x - 1 for x of one frequent class; so linked sets share
-at least one signature, whatever the order. Sets too small for that also index the shingles of their plain prefix alone.
+same class. The number of classes grows with the sets: pairs whose larger set has 16 to 63, 64 to 255, 256 to 1023 ...
+shingles use classes in proportion, so a class has a few shingles of a prefix and a set's signatures grow like its
+shingles, not like their square; a set whose partners may fall into the next range gives signatures for both. Prefixes are
+extended until they survive as many missing shingles as the threshold allows, counting x for x rare ones and x - 1 for x
+of one frequent class; so linked sets share at least one signature, whatever the order. Sets under 16 shingles index the
+shingles of their plain prefix alone.
 
 1. One pass over the texts gives each document's set size and a fingerprint of its set, and packed runs of sorted
    shingle hashes by hash range. Each range is merged alone: hashes found twice, and those found more than ``FREQUENT``
    times, go into two filters of fixed size. The filters only decide the order and skip shingles found once; false
    positives cost time, never links.
 2. A second pass emits (signature, set). Lists of rare signatures have at most ``FREQUENT`` members; others are salted.
+   Copies of a set within a task give its signatures once.
 3. Each list's least member leads it. A pair of leader and member is dropped if sizes, positions or the sets' 1024-bit
    masks (a bit set in one mask only is a missing shingle) rule the link out; for what is left the texts are read, and
    after a bound from 16-bit codes of the shingles the rest is verified exactly on whole sets. Links make components.
-   Lists of two, and those whose members are all in one component, are done; the others go on with 8, 64, 512 ...
-   further leaders against members of other components, until every pair of a list is compared or connected. No list is
-   gathered in a task.
+   Lists of two, and those whose members are all in one component, are done; the others go on with 8, 128, 2048 ...
+   further leaders against members of other components, again through sizes, positions and whole masks before a pair
+   leaves the join, until every pair of a list is compared or connected. No list is gathered in a task.
 
 Fingerprints of sets and shingles have 64 bits. Result: one row per document with the least doc_id of its component.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing, their own doc_id is the
 component; equal sets always link; repeated rows stay repeated; extra columns are ignored; a null doc_id keeps its row,
-and gets the least non-null doc_id of its component (null if there is none, or if the set is empty).
+and gets the least non-null doc_id of its component (null if there is none, or if the set is empty). ``percent`` below 50
+is refused with a ValueError.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -42,8 +46,9 @@ from .components import components
 from .seen_filters import PACKED, RUN, SeenFilters, packed, range_bits_for
 
 SHINGLE, PERCENT = 5, 75
-FREQUENT, CLASSES, SALTS, MASK_WORDS = 32, 16, 16, 16
-LIST_WORDS = 4  # of a mask, that travel with the lists
+FREQUENT, SALTS, MASK_WORDS = 32, 16, 16
+PLAIN, STEP = 16, 4  # sets under PLAIN shingles index single ones; each size range ends at STEP times its start
+STEP_OF_CLASSES = np.uint64(0x9FB21C651E98DF25)
 BROADCAST_ROWS = 200_000  # of two whole numbers each, a few megabytes
 
 
@@ -86,17 +91,18 @@ def _pass_one(size: int, range_bits: int):
         return pa.RecordBatch.from_arrays([pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))] + columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kept = [], 0
+        held, kept, seen = [], 0, set()
         for b in batches:
             for ids, texts in chunks(b.column("doc_id").to_pylist(), texts_of(b)):
                 doc, h = token_sets(Chunk(texts, lower=True), size)
                 n, k = np.bincount(doc, minlength=len(texts)), len(texts)
+                keys = set_keys(doc, h, k)
                 at = np.arange(0, MASK_WORDS * k + 1, MASK_WORDS, dtype=np.int32)
                 mask = pa.ListArray.from_arrays(pa.array(at), pa.array(set_masks(doc, h, k).reshape(-1)))
-                own = [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(set_keys(doc, h, k)), mask]
+                own = [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(keys), mask]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(k, t) for _, t in PACKED)], schema=schema)
-                held.append(h)
-                kept += len(h)
+                held.append(h[_unseen(keys, seen)[doc]])
+                kept += len(held[-1])
                 if kept >= RUN:
                     yield runs(held)
                     held, kept = [], 0
@@ -106,33 +112,60 @@ def _pass_one(size: int, range_bits: int):
     return run
 
 
+def _unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which sets are new; ``seen`` holds those before in this task and is brought up to date."""
+    out = np.zeros(len(keys), bool)
+    for i, x in enumerate(keys.tolist()):
+        if x not in seen:
+            seen.add(x)
+            out[i] = True
+    return out
+
+
+def _ranges(n: int, percent: int) -> list[int]:
+    """Where the size ranges start in which a set of ``n`` shingles may be linked: that of the larger set counts."""
+    start, out = PLAIN, []
+    while start <= n * 100 // percent:
+        if n < start * STEP:
+            out.append(start)
+        start *= STEP
+    return out
+
+
+def _classes(start: int, percent: int) -> int:
+    """So many that the least set of the range's pairs still shares twice as many shingles as there are classes."""
+    return max(1, start * percent * percent // 20_000)
+
+
+def _combined(h: np.ndarray, need: int, classes: int) -> np.ndarray:
+    """Pair signatures of the extended prefix of a set: ``h`` has its frequent shingles in order."""
+    kind = (mix(h) % np.uint64(classes)).astype(np.int64)
+    order = np.argsort(kind, kind="stable")
+    sorted_kind = kind[order]
+    nth = np.empty(len(h), np.int64)
+    nth[order] = np.arange(len(h)) - np.searchsorted(sorted_kind, sorted_kind)
+    upto = int(np.searchsorted(np.cumsum(nth > 0), need)) + 1
+    salt = np.uint64(int(STEP_OF_CLASSES) * classes % (1 << 64))
+    order = order[order < upto]
+    x, kind = h[order], kind[order]
+    out = [np.zeros(0, np.uint64)]
+    for lag in range(1, len(x)):
+        same = np.flatnonzero(kind[lag:] == kind[:-lag])
+        if not len(same):
+            break
+        out.append(mix(x[same] * np.uint64(3) + x[same + lag] + salt))
+    return np.concatenate(out)
+
+
 def _signatures(size: int, percent: int, shared):
     names = ["sig", "node", "n", "pos", "hot"]
-    small = max((n for n in range(1, 100 * CLASSES) if math.ceil(percent * n / 100) < CLASSES + 1), default=0)
-    plain_upto = small * 100 // percent
-
-    def combos(h: np.ndarray, rare: int, need: int) -> np.ndarray:
-        """Pair signatures of the extended prefix of a set: ``h`` has its frequent shingles in order."""
-        kind = (mix(h) % np.uint64(CLASSES)).astype(np.int64)
-        order = np.argsort(kind, kind="stable")
-        sorted_kind = kind[order]
-        start = np.searchsorted(sorted_kind, sorted_kind)
-        nth = np.empty(len(h), np.int64)
-        nth[order] = np.arange(len(h)) - start
-        upto = int(np.searchsorted(np.cumsum(nth > 0), need)) + 1
-        h, kind = h[:upto], kind[:upto]
-        out = []
-        for k in range(CLASSES):
-            x = h[kind == k]
-            if len(x) > 1:
-                i, j = np.triu_indices(len(x), 1)
-                out.append(mix(x[i] * np.uint64(3) + x[j] + np.uint64(k + 1)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-    def of_chunk(texts: list[bytes], filters: SeenFilters) -> list[np.ndarray]:
+
+    def of_chunk(texts: list[bytes], filters: SeenFilters, seen: set[int]) -> list[np.ndarray]:
         doc, h = token_sets(Chunk(texts, lower=True), size)
         n = np.bincount(doc, minlength=len(texts))
         key = set_keys(doc, h, len(texts))
+        new = _unseen(key, seen)[doc]
+        doc, h = doc[new], h[new]
         freq = filters.holds(filters.often, h)
         order = np.lexsort((h, freq, doc))
         doc, h, freq = doc[order], h[order], freq[order]
@@ -140,21 +173,22 @@ def _signatures(size: int, percent: int, shared):
         rank = np.arange(len(h)) - first[doc]
         need = n - (percent * n + 99) // 100 + 1
         rare = np.bincount(doc[~freq], minlength=len(texts))
-        inside = rank < need[doc]
-        single = inside & (~freq | (n[doc] <= plain_upto))
-        single &= filters.holds(filters.twice, h)
+        single = np.flatnonzero((rank < need[doc]) & (~freq | (n[doc] < PLAIN)))
+        single = single[filters.holds(filters.twice, h[single])]
         parts = [(h[single], doc[single], rank[single], freq[single])]
-        for d in np.flatnonzero((n > small) & (rare < need)):
-            s = combos(h[first[d] + rare[d] : first[d + 1]], rare[d], need[d] - rare[d])
-            parts.append((s, np.full(len(s), d), np.zeros(len(s), np.int64), np.ones(len(s), bool)))
+        for d in np.flatnonzero((first[1:] > first[:-1]) & (rare < need)):
+            for start in _ranges(int(n[d]), percent):
+                s = _combined(h[first[d] + rare[d] : first[d + 1]], need[d] - rare[d], _classes(start, percent))
+                parts.append((s, np.full(len(s), d), np.zeros(len(s), np.int64), np.ones(len(s), bool)))
         sig, d, pos, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
         return [sig.view(np.int64), key[d], n[d].astype(np.int32), pos.astype(np.int32), hot]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             texts = texts_of(b)
             for _, part in chunks(texts, texts):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in of_chunk(part, shared.value)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in of_chunk(part, shared.value, seen)], names)
 
     return run
 
@@ -174,20 +208,19 @@ def _tokens(size: int):
     return run
 
 
-def _by_masks(percent: int, n: str, n2: str, mask: str, mask2: str, words: int = MASK_WORDS):
+def _by_masks(percent: int, n: str, n2: str, mask: str, mask2: str):
     """Can two sets of n and n2 shingles link: those whose bit the other mask lacks are not shared.
 
-    Words of a mask are columns mask0, mask1 ..., so the test is plain generated code. Some of the words give a weaker
-    bound, but a true one.
+    Words of a mask are columns mask0, mask1 ..., so the test is plain generated code.
     """
-    missing = lambda x, y: reduce(add, [F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(words)])
+    missing = lambda x, y: reduce(add, [F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(MASK_WORDS)])
     n, n2 = F.col(n).cast("long"), F.col(n2).cast("long")
     shared = F.least(n - missing(mask, mask2), n2 - missing(mask2, mask))
     return (100 + percent) * shared >= percent * (n + n2)
 
 
-def _words(name: str, words: int = MASK_WORDS) -> list:
-    return [F.col("mask")[i].alias(f"{name}{i}") for i in range(words)]
+def _words(name: str) -> list:
+    return [F.col("mask")[i].alias(f"{name}{i}") for i in range(MASK_WORDS)]
 
 
 def _by_codes(percent: int):
@@ -232,14 +265,11 @@ class _Verifier:
         chosen = written(self.nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "chosen")
         new = written(self.texts.join(_if_few(chosen), "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
-        release_shuffles(new.sparkSession)
         near = written(self._joined(pairs, "codes").mapInArrow(_by_codes(self.percent), "a bigint, b bigint"), "near")
         both = self._joined(near, "tokens")
         linked = (100 + self.percent) * F.size(F.array_intersect("ta", "tb")) >= self.percent * (F.size("ta") + F.size("tb"))
         self.tables += [pairs, chosen, new, near]
-        found = written(both.where(linked).select("a", "b"), "links")
-        release_shuffles(new.sparkSession)
-        return found
+        return written(both.where(linked).select("a", "b"), "links")
 
 
 def _may_link(percent: int):
@@ -251,6 +281,8 @@ def _may_link(percent: int):
 
 def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``documents``."""
+    if percent < 50:
+        raise ValueError("percent below 50")
     spark = documents.sparkSession
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     range_bits = range_bits_for(documents.count())
@@ -284,6 +316,7 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
 
     verifier = _Verifier(texts, nodes, size, percent)
     links = verifier.links(verifier.likely(pairs))
+    release_shuffles(spark)
     old = [pairs, level, nodes]
     comp = components(links)
     # all pairs with a leader are compared; go on with lists whose other members are in several components
@@ -293,21 +326,21 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         placed = rest.join(_if_few(comp), "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
         open_lists = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         ranked = placed.join(open_lists, "sig", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node", "pos")))
-        ranked = written(ranked.join(nodes.select("node", *_words("mask", LIST_WORDS)), "node"), "open")
+        ranked = written(ranked.join(nodes.select("node", *_words("mask")), "node"), "open")
         if ranked.isEmpty():
             old += [ranked]
             break
-        a = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"), *[F.col(f"mask{i}").alias(f"other{i}") for i in range(LIST_WORDS)])
-        across = (F.col("rank") > F.col("rank2")) & (F.col("comp") != F.col("comp2")) & _may_link(percent) & _by_masks(percent, "n", "n2", "mask", "other", LIST_WORDS)
+        a = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"), *[F.col(f"mask{i}").alias(f"other{i}") for i in range(MASK_WORDS)])
+        across = (F.col("rank") > F.col("rank2")) & (F.col("comp") != F.col("comp2")) & _may_link(percent) & _by_masks(percent, "n", "n2", "mask", "other")
         more = ranked.alias("r").join(a, (F.col("r.sig") == a["sig"]) & across)
         more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        found = verifier.links(verifier.likely(more))
+        found = verifier.links(more)
         old += [ranked]
         if not found.isEmpty():
             links = written(links.union(found), "links")
             comp = components(links)
         rest = ranked.where(F.col("rank") > leaders).select("sig", "node", "n", "pos")
-        leaders *= 8
+        leaders *= 16
 
     placed = docs.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))

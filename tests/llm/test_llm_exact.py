@@ -89,6 +89,44 @@ def test_jaccard_of_near_copies(spark):
         assert got == want
 
 
+def test_jaccard_of_long_copies(spark):
+    """One text of 20,000 words, copied 40 times with few or many edits; its signatures grow like its words."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(20_000)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range((i % 8) * 120):
+            w[rnd.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.linked_components(df, frequent=4).collect()}
+    want = components(dict(rows))
+    assert got == want and 1 < len({c for _, c in want.values()}) < 40
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 20_000).astype(np.uint64))
+    for n in (20, 300, 5_000, 20_000):
+        made = sum(len(jaccard_join._combined(h[:n], n // 4 + 1, jaccard_join._classes(start, 75))) for start in jaccard_join._ranges(n, 75))
+        assert made < 4 * n
+
+
+@pytest.mark.parametrize("percent", [50, 90])
+def test_jaccard_at_other_thresholds(spark, percent):
+    rnd = random.Random(percent)
+    rows = []
+    for g in range(10):
+        base = [rnd.choice("abcdefgh") for _ in range(12 + 9 * g)]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rnd.randrange(5)):
+                w[rnd.randrange(len(w))] = rnd.choice("xyz")
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.linked_components(df, percent=percent, frequent=2).collect()}
+    assert got == components(dict(rows), percent)
+    with pytest.raises(ValueError):
+        jaccard_join.linked_components(df, percent=40)
+
+
 def removal(texts, n=100):
     seen, out = set(), {}
     for i in sorted(texts):
