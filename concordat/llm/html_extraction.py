@@ -2,19 +2,22 @@
 
 The standard library's streaming parser cuts a page into lines, one per block element, each with its characters, its
 tags and its link characters. The text-to-tag ratio per line is smoothed with a Gaussian over neighbouring lines and
-split by threshold clustering (two means in one dimension) into content and other lines; runs of content lines are
-content regions. Structure comes before the ratios: lines inside menus, headers, footers, side bars, notices, adverts,
-forms, comments, scripts and styles have ratio 0 and never enter a region; where a page marks its article (``article``
-or ``main``), every article element that isn't boilerplate is taken whole, short lines included, and the ratios decide
-nothing. Otherwise the text runs from the first to the last line of the regions, without lines that are mostly links.
-
-Edge cases: null or empty html gives an empty text; broken markup never fails: an article's start ends an advert left
-open; text outside any block counts as a line. Extra columns are ignored; repeated rows stay repeated.
+split by threshold clustering (two means in one dimension) into content and other lines, on every page. Structure only
+lowers ratios and widens regions: menus, headers, footers, side bars, notices, adverts, forms and comments are lines of
+ratio 0 and never enter the text (scripts and styles are no lines). If most characters of the content lines stand in
+marked articles (``article`` or ``main``), the regions widen to all article elements, short lines included, and what is
+outside goes. Otherwise they widen to the other lines of the elements that hold them, and the text runs from the first
+to the last such line, without lines that are mostly links.
+
+Edge cases: null or empty html gives an empty text; broken markup never fails: marked sections are comments that end at
+the next ``>``, an open comment takes the rest of the page, an article's start ends an advert left open; text outside any
+block counts as a line. Extra columns are ignored; repeated rows stay repeated.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,6 +35,8 @@ DROPPED = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea iframe svg canvas "
     "object dialog menu audio video map".split()
 )
+HOLDER = frozenset("article body dd div li main section td".split())
+UNSEEN = frozenset("script style noscript template head title iframe svg canvas object audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation "
@@ -45,22 +50,56 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page: (text, tags, link characters, article number or 0)."""
+    """Collects the lines of a page: (text, tags, link characters, article number or 0, number of the holding element).
+
+    A boilerplate element is one line without text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.ending = False
+        self.holders: list[tuple[str, int]] = [("", 0)]  # open elements that hold lines, with their numbers
+        self.open: Counter[str] = Counter()
+        self.numbers = 0
         self.buffer: list[str] = []
         self.tags = self.links = self.in_link = 0
         self.skip: list[list] = []  # [tag, depth of the same tag, may an article end it]
         self.article = self.articles = self.article_depth = 0
 
+    def close(self) -> None:
+        self.ending = True
+        super().close()
+        self.flush()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self._upto(">", i + 3)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._upto("-->", i + 4)
+
+    def _upto(self, mark: str, i: int) -> int:
+        at = self.rawdata.find(mark, i)
+        return at + len(mark) if at >= 0 else len(self.rawdata) if self.ending else -1
+
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            self.lines.append((text, self.tags, min(self.links, len(text)), self.article))
+            self.lines.append((text, self.tags, min(self.links, len(text)), self.article, self.holders[-1][1]))
         self.buffer, self.tags, self.links = [], 0, 0
 
+    def hold(self, tag: str) -> None:
+        self.numbers += 1
+        self.open[tag] += 1
+        self.holders.append((tag, self.numbers))
+
+    def release(self, tag: str) -> None:
+        while self.open[tag]:
+            last = self.holders.pop()[0]
+            self.open[last] -= 1
+            if last == tag:
+                return
+
     def boilerplate(self, tag: str, attrs: list) -> bool:
         if tag in DROPPED or tag == "header" and not self.article:
             return True
@@ -92,8 +131,12 @@ class Lines(HTMLParser):
         if self.boilerplate(tag, attrs):
             words = " ".join(v or "" for n, v in attrs if n in ("class", "id")).lower()
             self.flush()
+            if tag not in UNSEEN:
+                self.lines.append(("", 1, 0, self.article, self.holders[-1][1]))
             self.skip.append([tag, 1, tag not in ("aside", "script", "style", "noscript", "template") and not re.search("comment|repl|respond|disqus|related|recommend", words)])
             return
+        if tag in HOLDER:
+            self.hold(tag)
         if tag in ("article", "main"):
             self.article_depth += 1
             if self.article_depth == 1:
@@ -122,6 +165,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
+        if tag in HOLDER:
+            self.release(tag)
         if tag in ("article", "main") and self.article_depth:
             self.article_depth -= 1
             if not self.article_depth:
@@ -161,17 +206,21 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    parser.flush()
     lines = parser.lines
-    if not lines:
+    if not any(t for t, *_ in lines):
         return ""
-    if any(a for *_, a in lines):
-        return "\n".join(t for t, _, _, a in lines if a)
-    ratio = np.array([max(0, len(t) - k) / (1 + tags) for t, tags, k, _ in lines], float)
+    ratio = np.array([max(0, len(t) - k) / (1 + tags) for t, tags, k, *_ in lines], float)
     smooth = smoothed(np.log1p(ratio), sigma)
-    content = smooth > two_means(smooth)
-    at = np.flatnonzero(content)  # never empty: the upper cluster, or all lines
-    return "\n".join(t for t, _, k, _ in lines[at[0] : at[-1] + 1] if 2 * k <= len(t))
+    content = (smooth > two_means(smooth)) & np.array([bool(t) for t, *_ in lines])
+    if not content.any():  # the upper cluster lies between lines of text only
+        content = np.array([bool(t) for t, *_ in lines])
+    inside = sum(len(t) for (t, _, _, a, _), c in zip(lines, content, strict=True) if c and a)
+    outside = sum(len(t) for (t, _, _, a, _), c in zip(lines, content, strict=True) if c and not a)
+    if inside >= outside:
+        return "\n".join(t for t, _, _, a, _ in lines if t and a)
+    held = {h for (*_, h), c in zip(lines, content, strict=True) if c}
+    at = [i for i, (t, _, k, _, h) in enumerate(lines) if t and h in held and 2 * k <= len(t)] or np.flatnonzero(content).tolist()
+    return "\n".join(t for t, _, k, *_ in lines[at[0] : at[-1] + 1] if t and 2 * k <= len(t))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -349,6 +349,39 @@ def test_every_article_is_kept():
     assert len(got) == 7 and got[-3:] == ["Update", "One", "Two"]
 
 
+def test_pages_without_marks(spark):
+    """Clusters find the same text where no element marks the article."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages = [h for h in pages if h]
+    assert len(pages) > 20
+    for h in pages:
+        assert main_text(re.sub("</?article[^>]*>", "", h)) == main_text(h)
+
+
+def test_clusters_decide_about_articles():
+    """Cards marked as articles don't take the place of a long text outside them."""
+    body = "".join(f"<p>{'many words in a row ' * 20}{i}</p>" for i in range(6))
+    cards = "".join(f"<article><a href=x>Card {i}</a></article>" for i in range(3))
+    got = main_text(f"<body><div>{cards}</div><div>{body}</div></body>").split("\n")
+    assert len(got) == 6 and all(x.startswith("many words") for x in got)
+
+
+MARKUP = ["<p>", "</p>", "<![foo[", "<![ x", "<![%foo;[", "]]>", "<!--", "-->", "<!", "<?", "</", "<", ">", "&", "&#", "&#x41;", "&amp", "<article>", "</article>",
+          "<div class='ad'>", "</div>", "<script>", "</script>", "<a href=\"", "<br/>", "text", " words here ", "\n", "<![CDATA[", "é", "\0", "<!DOCTYPE", "<!ELEMENT x [", "<textarea>", "<table><td>"]
+
+
+@given(st.lists(st.sampled_from(MARKUP), max_size=25))
+@settings(max_examples=1500, deadline=None)
+def test_any_markup(parts):
+    assert isinstance(main_text("".join(parts)), str)
+
+
+def test_broken_markup():
+    for x in ("<![foo[x]]>", "<![ x", "<![%foo;[", "<!--"):
+        assert main_text(f"<p>a</p>{x}").startswith("a") and "<!" not in main_text(f"<p>a</p>{x}")
+    assert main_text("<p>a</p><![foo[x]]><p>b</p>") == "a\nb" and main_text("<p>x<!--") == "x"
+
+
 def test_pages(spark):
     """The article of every page of the table, cut out by its marks."""
     import html
