@@ -15,8 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+BROADCAST_ROWS = 200_000  # of two whole numbers each, a few megabytes
 
 _rng = np.random.default_rng(20240601)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -164,6 +166,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_few(table: DataFrame) -> DataFrame:
+    """Broadcast a written table of narrow rows if it has at most ``BROADCAST_ROWS``; otherwise Spark joins it by shuffling."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def drop_tables(spark: SparkSession, tables: list[DataFrame]) -> None:
     """Delete tables made by ``written`` that no result depends on any more."""
     for t in tables:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import Chunk, chunks, drop_tables, mix, release_shuffles, texts_of, written
+from ._text import BROADCAST_ROWS, Chunk, chunks, drop_tables, if_few, mix, release_shuffles, texts_of, written
 from .components import components
 from .seen_filters import PACKED, RUN, SeenFilters, packed, range_bits_for
 
@@ -49,12 +49,6 @@ SHINGLE, PERCENT = 5, 75
 FREQUENT, SALTS, MASK_WORDS = 32, 16, 16
 PLAIN, STEP = 16, 4  # sets under PLAIN shingles index single ones; each size range ends at STEP times its start
 STEP_OF_CLASSES = np.uint64(0x9FB21C651E98DF25)
-BROADCAST_ROWS = 200_000  # of two whole numbers each, a few megabytes
-
-
-def _if_few(table: DataFrame) -> DataFrame:
-    """Broadcast a written table of narrow rows if it has at most ``BROADCAST_ROWS``; otherwise Spark joins it by shuffling."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def token_sets(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +257,7 @@ class _Verifier:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         chosen = written(self.nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "chosen")
-        new = written(self.texts.join(_if_few(chosen), "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
+        new = written(self.texts.join(if_few(chosen), "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         near = written(self._joined(pairs, "codes").mapInArrow(_by_codes(self.percent), "a bigint, b bigint"), "near")
         both = self._joined(near, "tokens")
@@ -323,7 +317,7 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     rest = level.where("head.node <> node AND NOT pair").select("sig", "node", "n", "pos").unionByName(level.where("hot AND head.node = node").select("sig", "node", "n", "pos"))
     leaders = 8
     while True:
-        placed = rest.join(_if_few(comp), "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
+        placed = rest.join(if_few(comp), "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
         open_lists = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         ranked = placed.join(open_lists, "sig", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node", "pos")))
         ranked = written(ranked.join(nodes.select("node", *_words("mask")), "node"), "open")

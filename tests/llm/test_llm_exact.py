@@ -256,11 +256,54 @@ def test_decontamination_by_edits(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r[0]: r["edits"] for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     flat = lambda t: re.sub(" +", " ", t)
-    budget = int(len(flat(item)) * decontamination.EDITS)
+    budget = int(decontamination.GramIndex.build([(1, item)]).budget[0])
+    assert budget >= 9
     want = {i: d for i, t in rows if (d := distance(flat(item), flat(t))) <= budget}
     assert got == want and 5 < len(want) < 35
 
 
+def test_decontamination_across_pieces():
+    """Passages with wide blanks at and around the border of two pieces of a long text."""
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    index = decontamination.GramIndex.build([(1, " ".join(words))])
+    wide = (" " * 60).join(words).encode()
+    for at in (0, 5_000, decontamination.PIECE - len(wide) - 10, decontamination.PIECE - 1_000, decontamination.PIECE - 1, decontamination.PIECE):
+        text = (b"xy z" * (at // 4 + 1))[:at] + b" " + wide + b" tail"
+        assert decontamination.matches([b"other", text], index) == [(1, 1, 0, at + 1, at + 1 + len(wide))]
+
+
+def test_decontamination_of_common_phrases():
+    """Thousands of short items with one phrase, and periodic items and texts: bounded work, right results."""
+    rnd = random.Random(4)
+    phrase = "the common phrase of all "
+    items = [(i, phrase + "".join(rnd.choice("abcdefghij") for _ in range(20))) for i in range(3_000)]
+    index = decontamination.GramIndex.build(items)
+    text = (phrase + "and more words " + items[77][1] + " ") * 8
+    assert [r[:3] for r in decontamination.matches([text.encode()], index)] == [(0, 77, 0)]
+    periodic = decontamination.GramIndex.build([(1, "ab" * 150), (2, "ab" * 60 + "x" + "ab" * 60)])
+    got = decontamination.matches([b"ab" * 30_000, b"zz" + b"ab" * 149, b"cd" * 500], periodic)
+    assert [r[:3] for r in got] == [(0, 1, 0), (0, 2, 1), (1, 1, 2), (1, 2, 1)]
+
+
+@given(st.text("ab ", min_size=24, max_size=60), st.lists(st.tuples(st.integers(0, 59), st.sampled_from(["", "c", "ab"])), max_size=2), st.text("abd ", max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_banded_alignment(item, edits, around):
+    """The least edits within the budget, as the full table gives them."""
+    index = decontamination.GramIndex.build([(1, item)])
+    if index is None:
+        return
+    w = list(index.patterns[0].decode())
+    for at, new in edits:
+        if at < len(w):
+            w[at] = new
+    text = around + "".join(w) + around
+    flat = re.sub(" +", " ", text)
+    d = distance(index.patterns[0].decode(), flat)
+    got = decontamination.matches([text.encode()], index)
+    assert [r[2] for r in got] == ([d] if d <= index.budget[0] else [])
+
+
 def test_schedule():
     """Every block within its window, and less than one block off at every slot."""
     for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.97, "b": 0.01, "c": 0.01, "d": 0.01}, {str(i): i + 1.0 for i in range(23)}):
