@@ -15,7 +15,7 @@ is sorted in one task.
 
 Edge cases: a null source is a source of its own; a weight of 0 or a source without weight comes after all others;
 repeated rows and null ids are scheduled like others; an empty table gives an empty result; extra columns are kept by
-``mixed``.
+``mixed``, those with the name of a new column under that name and ``_before``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+COLUMNS = ("mix_source", "mix_block", "mix_phase", "mix_slot", "mix_position")
 BLOCK, PERIOD, MAX_SOURCES, BUCKET_ROWS, PLAN_ROWS = 16, 1000, 1000, 4_000, 8_192
+RANGE_BITS = 12  # buckets in a range of buckets, whose sizes are added up first
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, Fraction]:
@@ -110,16 +112,27 @@ def phases(blocks: dict[str, int], share: dict[str, float]) -> list[Phase]:
     return out
 
 
-def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 0) -> DataFrame:
+def _kept_names(columns: list[str]) -> dict[str, str]:
+    """Each column's name beside the new ones."""
+    out: dict[str, str] = {}
+    for c in columns:
+        name = f"{c}_before" if c in COLUMNS else c
+        while name != c and name in columns:
+            name += "_"
+        out[c] = name
+    return out
+
+
+def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
     """``documents`` with mix_source, mix_block (of its source), mix_phase, mix_slot and mix_position.
 
-    ``mix_position`` numbers all rows of the mix: blocks by slot, rows in a block by their order in the source.
+    ``keep``: the columns that go with the places, all by default; others don't travel. ``mix_position`` numbers all rows of the mix: blocks by slot, rows in a block by their order in the source.
     """
     spark = documents.sparkSession
-    own = [c for c in documents.columns if not c.startswith("mix_")]
+    own = [F.col(f"`{c}`").alias(name) for c, name in _kept_names(documents.columns if keep is None else keep).items()]
     source = F.coalesce("source", F.lit("\0null"))
     key = F.xxhash64("doc_id", "text", F.lit(seed))
-    rows = documents.select(F.struct(*own).alias("_row"), source.alias("mix_source"), key.alias("_key"))
+    rows = documents.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), source.alias("mix_source"), key.alias("_key"))
     sizes = {r[0]: r[1] for r in rows.groupBy("mix_source").count().limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -144,9 +157,15 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
     buckets = 1 << max(0, math.ceil(math.log2(max(1, max(sizes.values(), default=1) / BUCKET_ROWS))))
     rows = rows.withColumn("_bucket", F.shiftrightunsigned("_key", 64 - int(math.log2(buckets))) if buckets > 1 else F.lit(0).cast("bigint"))
     count = rows.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    count = count.select("mix_source", "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy(F.shiftleft("_key", int(math.log2(buckets))), "_row.doc_id"))
+    # offsets by ranges of buckets, then within each range, so that no task adds up all of a source's buckets
+    upto = lambda w: w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wide = F.shiftright("_bucket", RANGE_BITS)
+    ranges = count.groupBy("mix_source", wide.alias("_bucket")).agg(F.sum("_n").alias("_n"))
+    ranges = ranges.select("mix_source", F.col("_bucket").alias("_range"), F.coalesce(F.sum("_n").over(upto(Window.partitionBy("mix_source"))), F.lit(0)).alias("_start"))
+    count = count.withColumn("_range", wide).join(ranges, ["mix_source", "_range"])
+    within = F.coalesce(F.sum("_n").over(upto(Window.partitionBy("mix_source", "_range"))), F.lit(0))
+    count = count.select("mix_source", "_bucket", "_n", (F.col("_start") + within).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy(F.shiftleft("_key", int(math.log2(buckets))), "_id"))
     # the places of each bucket's blocks; the schedule's size is unknown to the planner, so it must not be broadcast
     first = F.floor(F.col("_offset") / block)
     spans = count.select("mix_source", "_bucket", "_offset", F.explode(F.sequence(first, F.floor((F.col("_offset") + F.col("_n") - 1) / block))).alias("mix_block"))
@@ -161,5 +180,5 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
     return out.select("doc_id", "mix_source", "mix_block", "mix_phase", "mix_slot", "mix_position")

@@ -140,7 +140,10 @@ def test_jaccard(docs, empty):
 def test_mixing(docs, empty):
     out = source_mixing.mixed(docs)
     assert sorted(r["mix_position"] for r in out.collect()) == list(range(len(ROWS)))
-    assert [c for c in out.columns if not c.startswith("mix_")] == [c for c in docs.columns if not c.startswith("mix_")]
+    assert out.columns == [f"{c}_before" if c == "mix_slot" else c for c in docs.columns] + list(source_mixing.COLUMNS)
+    more = source_mixing.mixed(docs.withColumn("mix_own", docs.n).withColumn("mix_slot_before", docs.n))
+    assert {"mix_own", "mix_slot_before", "mix_slot_before_"} <= set(more.columns) and {r["mix_slot_before_"] for r in more.collect()} == {4}
+    assert source_mixing.mixed(docs, keep=["doc_id"]).columns == ["doc_id", *source_mixing.COLUMNS]
     assert source_mixing.mixed(empty).count() == 0
     tail = source_mixing.mixed(docs, {"a": 1.0}, block=1).where("mix_source IS NULL").agg({"mix_slot": "min"}).first()[0]
     assert tail == docs.where("source = 'a'").count()
