@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Characters stripped around a label; ranges that count as CJK.
 LABEL_EDGE = " \t\n\"'“”‘’「」『』[]【】"
-CJK = "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
+CJK = "\\u3000-\\u303f\\u3400-\\u9fff\\uf900-\\ufaff\\uff00-\\uffef"
 
 
 def clip(text: Column, n: int) -> Column:

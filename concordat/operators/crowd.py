@@ -1,18 +1,26 @@
 """Crowd models: latent labels and annotator skill without gold.
 
 The likelihood of an item depends only on its *pattern*, the set of (model, label) it got. Patterns are counted in one
-shuffled aggregation; their number is bounded by (labels + 1) ** models, whatever the number of items. The iterations
-run over the counted patterns, and posteriors come back by joining patterns to items. More than ``MAX_PATTERNS``
-patterns are refused.
+shuffled aggregation, and posteriors come back by joining patterns to items. Every iteration is a pass over the counted
+patterns that sums a few statistics (of a size given by models and labels) under the parameters of the last one. Up to
+``LOCAL_PATTERNS`` patterns the passes run on the driver; more of them stay a written table, over which each pass is a
+Spark job: tasks sum the statistics of their patterns, Spark adds them up, only parameters reach the driver. Both ways
+use the same functions and give the same result.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PATTERNS = 200_000
+from ..sources.shared import shared_dir
+
+LOCAL_PATTERNS = 200_000
 
 
 def patterned(votes: DataFrame, labels: list[str]) -> DataFrame:
@@ -22,19 +30,15 @@ def patterned(votes: DataFrame, labels: list[str]) -> DataFrame:
 
 
 class Patterns:
-    """Counted patterns as arrays: pattern p has votes (worker w, label a) at rows of ``at``."""
-
-    def __init__(self, items: DataFrame, labels: list[str]):
-        rows = items.groupBy("pattern").count().limit(MAX_PATTERNS + 1).collect()
-        if len(rows) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} vote patterns")
-        rows = sorted((r["pattern"], r["count"]) for r in rows)
-        self.labels, self.names = labels, [r[0] for r in rows]
-        self.count = np.array([r[1] for r in rows], float)
-        votes = [(p, *x.rsplit("=", 1)) for p, (name, _) in enumerate(rows) for x in name.split("\x1f")]
-        self.workers = sorted({w for _, w, _ in votes})
+    """Counted patterns as arrays: pattern p has votes (worker w, label a) at rows of ``at``; ``state`` is a number each."""
+
+    def __init__(self, rows: pd.DataFrame, labels: list[str], workers: list[str]):
+        self.labels, self.workers, self.names = labels, workers, rows["pattern"].tolist()
+        self.count, self.state = rows["count"].to_numpy(float), rows["state"].to_numpy(float).copy()
+        number = {w: i for i, w in enumerate(workers)}
+        votes = [(p, *x.rsplit("=", 1)) for p, name in enumerate(self.names) for x in name.split("\x1f")]
         self.p = np.array([v[0] for v in votes], int)
-        self.w = np.array([self.workers.index(v[1]) for v in votes], int)
+        self.w = np.array([number[v[1]] for v in votes], int)
         self.a = np.array([labels.index(v[2]) for v in votes], int)
 
     def gather(self, per_vote: np.ndarray) -> np.ndarray:
@@ -43,89 +47,226 @@ class Patterns:
         np.add.at(out, self.p, per_vote)
         return out
 
+    def by_worker(self, per_vote: np.ndarray) -> np.ndarray:
+        return np.bincount(self.w, per_vote * self.count[self.p], len(self.workers))
+
     def shares(self, weight: np.ndarray) -> np.ndarray:
         s = self.gather(np.eye(len(self.labels))[self.a] * weight[self.w][:, None])
         total = s.sum(1, keepdims=True)
         return s / np.where(total == 0, 1, total)
 
 
+class LocalPatterns:
+    """Passes over patterns that the driver holds."""
+
+    def __init__(self, d: Patterns):
+        self.d, self.labels, self.workers = d, d.labels, d.workers
+
+    def sums(self, f: Callable[[Patterns], np.ndarray], largest: bool = False) -> np.ndarray:
+        return f(self.d)
+
+    def change(self, f: Callable[[Patterns], None]) -> None:
+        f(self.d)
+
+    def posteriors(self, f: Callable[[Patterns], np.ndarray], session) -> DataFrame:
+        rows = _best(self.d, f(self.d))
+        return session.createDataFrame(rows, BEST) if len(rows) else session.createDataFrame([], BEST)
+
+
+class SparkPatterns:
+    """Passes over patterns in a written table; a changed state is written as a new table."""
+
+    def __init__(self, table: DataFrame, labels: list[str], workers: list[str]):
+        self.table, self.labels, self.workers = table, labels, workers
+
+    def _mapped(self, f: Callable[[Patterns], pd.DataFrame], schema: str) -> DataFrame:
+        labels, workers = self.labels, self.workers
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield f(Patterns(b, labels, workers))
+
+        return self.table.mapInPandas(run, schema)
+
+    def sums(self, f: Callable[[Patterns], np.ndarray], largest: bool = False) -> np.ndarray:
+        """``f`` of all patterns, added up over the tasks (or the largest of theirs)."""
+        parts = self._mapped(lambda d: pd.DataFrame({"at": np.arange(len(v := f(d))), "v": v}), "at int, v double")
+        out = parts.groupBy("at").agg((F.max if largest else F.sum)("v").alias("v")).toPandas()
+        return out.sort_values("at")["v"].to_numpy()
+
+    def change(self, f: Callable[[Patterns], None]) -> None:
+        def changed(d: Patterns) -> pd.DataFrame:
+            f(d)
+            return pd.DataFrame({"pattern": d.names, "count": d.count.astype(int), "state": d.state})
+
+        self.table = _written(self._mapped(changed, TABLE))
+
+    def posteriors(self, f: Callable[[Patterns], np.ndarray], session) -> DataFrame:
+        return self._mapped(lambda d: _best(d, f(d)), BEST)
+
+
+TABLE, BEST = "pattern string, count bigint, state double", "pattern string, label string, prob double"
+
+
+def _best(d: Patterns, post: np.ndarray) -> pd.DataFrame:
+    """Each pattern's label and its probability; ties go to the first label."""
+    best = np.round(post, 9).argmax(1)
+    return pd.DataFrame({"pattern": d.names, "label": [d.labels[b] for b in best], "prob": post[np.arange(len(best)), best]})
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = shared_dir(df.sparkSession, f"patterns-{uuid.uuid4().hex[:8]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(items: DataFrame, labels: list[str], local: int) -> LocalPatterns | SparkPatterns:
+    """The patterns of ``items`` with their counts, on the driver if there are at most ``local``."""
+    table = items.groupBy("pattern").agg(F.count("*").alias("count")).withColumn("state", F.lit(0.0))
+    rows = table.limit(local + 1).toPandas()
+    if len(rows) <= local:
+        workers = sorted({x.rsplit("=", 1)[0] for name in rows["pattern"] for x in name.split("\x1f")})
+        return LocalPatterns(Patterns(rows.sort_values("pattern"), labels, workers))
+    table = _written(table)
+    entry = F.explode(F.split("pattern", "\x1f"))
+    models = table.select(entry.alias("e")).select(F.regexp_extract("e", "(?s)^(.*)=[^=]*$", 1).alias("w")).distinct().collect()
+    return SparkPatterns(table, labels, sorted(r["w"] for r in models))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def dawid_skene(d: Patterns, n_iter: int = 100, smoothing: float = 0.01, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior by pattern, accuracy by worker)."""
-    k, t = len(d.labels), d.shares(np.ones(len(d.workers)))
+Fitted = tuple[Callable[[Patterns], np.ndarray], np.ndarray]  # posterior by pattern, skill by worker
+
+
+def dawid_skene(d: LocalPatterns | SparkPatterns, n_iter: int = 100, smoothing: float = 0.01, tol: float = 1e-6) -> Fitted:
+    k, n = len(d.labels), len(d.workers)
+
+    def by(prior: np.ndarray, conf: np.ndarray) -> Callable[[Patterns], np.ndarray]:
+        return lambda x: softmax(np.log(prior) + x.gather(np.log(conf[x.w, :, x.a])))
+
+    def statistics(x: Patterns, post: Callable[[Patterns], np.ndarray]) -> np.ndarray:
+        t, conf = post(x), np.zeros((n, k, k))
+        np.add.at(conf, (x.w, slice(None), x.a), t[x.p] * x.count[x.p][:, None])
+        return np.concatenate(((t * x.count[:, None]).sum(0), [x.count.sum()], conf.ravel()))
+
+    post: Callable[[Patterns], np.ndarray] = lambda x: x.shares(np.ones(n))
     for _ in range(n_iter):
-        prior = ((t * d.count[:, None]).sum(0) + smoothing) / (d.count.sum() + k * smoothing)
-        conf = np.full((len(d.workers), k, k), smoothing)
-        np.add.at(conf, (d.w, slice(None), d.a), t[d.p] * d.count[d.p][:, None])
+        s = d.sums(lambda x, post=post: statistics(x, post))
+        prior = (s[:k] + smoothing) / (s[k] + k * smoothing)
+        conf = s[k + 1 :].reshape(n, k, k) + smoothing
         conf /= conf.sum(2, keepdims=True)
-        new = softmax(np.log(prior) + d.gather(np.log(conf[d.w, :, d.a])))
-        change, t = np.abs(new - t).max(initial=0), new
-        if change < tol:
+        last, post = post, by(prior, conf)
+        if tol and d.sums(lambda x, last=last, post=post: np.array([np.abs(post(x) - last(x)).max(initial=0)]), largest=True)[0] < tol:
             break
-    return t, (prior[None, :] * np.diagonal(conf, axis1=1, axis2=2)).sum(1)
+    return post, (prior[None, :] * np.diagonal(conf, axis1=1, axis2=2)).sum(1)
+
 
+def wawa(d: LocalPatterns | SparkPatterns) -> Fitted:
+    n = len(d.workers)
 
-def wawa(d: Patterns) -> tuple[np.ndarray, np.ndarray]:
-    best = d.shares(np.ones(len(d.workers))).argmax(1)
-    hit = np.bincount(d.w, (best[d.p] == d.a) * d.count[d.p], len(d.workers))
-    skill = hit / np.maximum(np.bincount(d.w, d.count[d.p], len(d.workers)), 1)
-    return d.shares(skill), skill
+    def statistics(x: Patterns) -> np.ndarray:
+        best = x.shares(np.ones(n)).argmax(1)
+        return np.concatenate((x.by_worker((best[x.p] == x.a).astype(float)), x.by_worker(np.ones(len(x.w)))))
 
+    s = d.sums(statistics)
+    skill = s[:n] / np.maximum(s[n:], 1)
+    return lambda x: x.shares(skill), skill
 
-def mace(d: Patterns, n_iter: int = 50, smoothing: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+
+def mace(d: LocalPatterns | SparkPatterns, n_iter: int = 50, smoothing: float = 0.5) -> Fitted:
     k, n = len(d.labels), len(d.workers)
-    theta, xi = np.full(n, 0.8), np.full((n, k), 1 / k)
-    eye = np.eye(k)
+    theta, xi, eye = np.full(n, 0.8), np.full((n, k), 1 / k), np.eye(k)
+
+    def by(theta: np.ndarray, xi: np.ndarray) -> Callable[[Patterns], np.ndarray]:
+        return lambda x: softmax(x.gather(np.log(theta[x.w][:, None] * eye[x.a] + ((1 - theta[x.w]) * xi[x.w, x.a])[:, None] + 1e-12)))
+
+    def statistics(x: Patterns, theta: np.ndarray, xi: np.ndarray) -> np.ndarray:
+        good = by(theta, xi)(x)[x.p, x.a] * theta[x.w] / (theta[x.w] + (1 - theta[x.w]) * xi[x.w, x.a] + 1e-12)
+        spam = np.zeros((n, k))
+        np.add.at(spam, (x.w, x.a), (1 - good) * x.count[x.p])
+        return np.concatenate((x.by_worker(good), x.by_worker(np.ones(len(x.w))), spam.ravel()))
+
     for _ in range(n_iter):
-        guess = (1 - theta[d.w]) * xi[d.w, d.a]
-        post = softmax(d.gather(np.log(theta[d.w][:, None] * eye[d.a] + guess[:, None] + 1e-12)))
-        good = post[d.p, d.a] * theta[d.w] / (theta[d.w] + guess + 1e-12)
-        m = d.count[d.p]
-        theta = np.clip((smoothing + np.bincount(d.w, good * m, n)) / (2 * smoothing + np.bincount(d.w, m, n)), 0.01, 0.99)
-        xi = np.full((n, k), smoothing / k)
-        np.add.at(xi, (d.w, d.a), (1 - good) * m)
+        post = by(theta, xi)
+        s = d.sums(lambda x, theta=theta, xi=xi: statistics(x, theta, xi))
+        theta = np.clip((smoothing + s[:n]) / (2 * smoothing + s[n : 2 * n]), 0.01, 0.99)
+        xi = s[2 * n :].reshape(n, k) + smoothing / k
         xi /= xi.sum(1, keepdims=True)
     return post, theta
 
 
-def glad(d: Patterns, n_iter: int = 30, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def glad(d: LocalPatterns | SparkPatterns, n_iter: int = 30, rate: float = 0.1) -> Fitted:
+    """``state`` of a pattern is the logarithm of its items' easiness.
+
+    A gradient step is ``rate`` long, but no longer than a Newton step (the gradient over its curvature): sums over many
+    items would overshoot otherwise. The fixed point doesn't depend on it.
+    """
     k, n = len(d.labels), len(d.workers)
-    alpha, logb, eye = np.ones(n), np.zeros(len(d.count)), np.eye(k)
-    right = lambda: 1 / (1 + np.exp(-np.clip(alpha[d.w] * np.exp(logb)[d.p], -30, 30)))
-    for _ in range(n_iter):
-        s = right()
-        post = softmax(d.gather(np.log(np.where(eye[d.a] == 1, s[:, None], (1 - s[:, None]) / (k - 1)) + 1e-12)))
+    eye = np.eye(k)
+
+    def right(x: Patterns, alpha: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(alpha[x.w] * np.exp(x.state)[x.p], -30, 30)))
+
+    def by(alpha: np.ndarray) -> Callable[[Patterns], np.ndarray]:
+        def post(x: Patterns) -> np.ndarray:
+            s = right(x, alpha)[:, None]
+            return softmax(x.gather(np.log(np.where(eye[x.a] == 1, s, (1 - s) / (k - 1)) + 1e-12)))
+
+        return post
+
+    def stepped(x: Patterns, start: np.ndarray, steps: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior of each vote's label at the round's start, and the state after a step under each skill in ``steps``."""
+        given, kept = by(start)(x)[x.p, x.a], x.state.copy()
+        for alpha in steps:
+            s, product = right(x, alpha), alpha[x.w] * np.exp(x.state)[x.p]
+            slope = np.bincount(x.p, (given - s) * product, len(x.count)) - x.state
+            curve = np.bincount(x.p, s * (1 - s) * product**2, len(x.count)) + 1
+            x.state = np.clip(x.state + slope * np.minimum(rate, 1 / curve), -3, 3)
+        after, x.state = x.state, kept
+        return given, after
+
+    def statistics(x: Patterns, start: np.ndarray, steps: tuple, alpha: np.ndarray) -> np.ndarray:
+        """Slope and curvature of each skill, over the items of all patterns."""
+        given, after = stepped(x, start, steps)
+        kept, x.state = x.state, after
+        s, b = right(x, alpha), np.exp(x.state)[x.p]
+        x.state = kept
+        return np.concatenate((x.by_worker((given - s) * b), x.by_worker(s * (1 - s) * b * b)))
+
+    def advance(x: Patterns, start: np.ndarray, steps: tuple) -> None:
+        x.state = stepped(x, start, steps)[1]
+
+    alpha = np.ones(n)
+    for i in range(n_iter):
+        start, steps = alpha, ()
         for _ in range(5):
-            gap, b = post[d.p, d.a] - right(), np.exp(logb)[d.p]
-            # an item's own gradient is not multiplied by its pattern's count, a model's is
-            up_a = np.bincount(d.w, gap * b * d.count[d.p], n) - (alpha - 1)
-            up_b = np.bincount(d.p, gap * alpha[d.w] * b, len(d.count)) - logb
-            alpha, logb = alpha + rate * up_a, np.clip(logb + rate * up_b, -3, 3)
-    return post, alpha
+            s = d.sums(lambda x, start=start, steps=steps, alpha=alpha: statistics(x, start, steps, alpha))
+            steps += (alpha,)
+            alpha = alpha + (s[:n] - (alpha - 1)) * np.minimum(rate, 1 / (s[n:] + 1))
+        if i + 1 < n_iter:  # the result is the posterior at the last round's start
+            d.change(lambda x, start=start, steps=steps: advance(x, start, steps))
+    return by(start), alpha
 
 
 METHODS = {"dawid_skene": dawid_skene, "wawa": wawa, "mace": mace, "glad": glad}
 
 
-def crowd_labels(votes: DataFrame, labels: list[str], method: str, **options) -> DataFrame:
+def crowd_labels(votes: DataFrame, labels: list[str], method: str, local: int = LOCAL_PATTERNS, **options) -> DataFrame:
     """(item_id, label, prob) by a crowd model; ties go to the first label."""
-    spark = votes.sparkSession
     items = patterned(votes, labels)
-    d = Patterns(items, labels)
-    if not d.names:
-        return spark.createDataFrame([], "item_id bigint, label string, prob double")
+    d = counted(items, labels, local)
+    if not d.workers:
+        return votes.sparkSession.createDataFrame([], "item_id bigint, label string, prob double")
     post, _ = METHODS[method](d, **options)
-    best = np.round(post, 9).argmax(1)
-    table = spark.createDataFrame([(n, labels[b], float(p[b])) for n, b, p in zip(d.names, best, post, strict=True)], "pattern string, label string, prob double")
-    return items.join(table, "pattern").select("item_id", "label", "prob")
+    return items.join(d.posteriors(post, votes.sparkSession), "pattern").select("item_id", "label", "prob")
 
 
-def worker_skill(votes: DataFrame, labels: list[str], method: str, **options) -> DataFrame:
+def worker_skill(votes: DataFrame, labels: list[str], method: str, local: int = LOCAL_PATTERNS, **options) -> DataFrame:
     """(model, skill) by a crowd model."""
-    d = Patterns(patterned(votes, labels), labels)
-    _, skill = METHODS[method](d, **options) if d.names else (None, [])
+    d = counted(patterned(votes, labels), labels, local)
+    _, skill = METHODS[method](d, **options) if d.workers else (None, [])
     return votes.sparkSession.createDataFrame([(w, float(s)) for w, s in zip(d.workers, skill, strict=True)], "model string, skill double")

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.shared import shared_dir
 
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,13 +26,16 @@ def first_replies(replies: DataFrame, key: str, ts: str, late: str) -> DataFrame
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Process what is there now and give the resulting table. Progress is kept in a checkpoint, so a lost run resumes."""
+    """Process what is there now and give the resulting table. Progress is kept in a checkpoint, so a lost run resumes.
+
+    A batch that runs again after a failure writes its own folder again, so no row comes twice.
+    """
     spark = stream.sparkSession
     out = shared_dir(spark, name)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/data")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data" if mode == "complete" else f"{out}/data/batch-{number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/data")

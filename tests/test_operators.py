@@ -199,6 +199,34 @@ def test_glad_and_mace_rank_workers(spark):
         assert skill["w0"] > skill["w2"] > skill["w4"]
 
 
+@pytest.mark.parametrize("method", ["dawid_skene", "wawa", "mace", "glad"])
+def test_crowd_models_over_many_patterns(spark, method):
+    """The same labels and skills whether patterns are on the driver or stay in a table."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"w={w}", "xyz"[i % 3 if rng.uniform() < 0.5 + w / 10 else rng.integers(0, 3)]) for i in range(40) for w in range(4) if rng.uniform() < 0.8]
+    df = spark.createDataFrame(rows, "item_id long, model string, label string")
+    options = {} if method == "wawa" else {"n_iter": 3}
+    by_local = [{r[0]: (r[1], r[2]) for r in crowd.crowd_labels(df, list("xyz"), method, local=n, **options).collect()} for n in (1000, 0)]
+    assert {i: x[0] for i, x in by_local[0].items()} == {i: x[0] for i, x in by_local[1].items()} and len(by_local[0]) == len({r[0] for r in rows})
+    assert [x[1] for _, x in sorted(by_local[0].items())] == pytest.approx([x[1] for _, x in sorted(by_local[1].items())], abs=1e-9)
+    skills = [{r[0]: r[1] for r in crowd.worker_skill(df, list("xyz"), method, local=n, **options).collect()} for n in (1000, 0)]
+    assert skills[0] == pytest.approx(skills[1], abs=1e-9)
+
+
+def test_glad_at_any_size(spark):
+    """Skills stay in order and finite when the same votes come many times."""
+    rng = np.random.default_rng(6)
+    truth = rng.integers(0, 3, 4000)
+    rows = [(int(i), f"w{w}", "xyz"[truth[i] if rng.uniform() < 0.9 - w / 5 else rng.integers(0, 3)]) for i in range(4000) for w in range(4)]
+    skill = {r[0]: r[1] for r in crowd.worker_skill(spark.createDataFrame(rows, "item_id long, model string, label string"), list("xyz"), "glad").collect()}
+    assert 10 > skill["w0"] > skill["w1"] > skill["w2"] > skill["w3"] > -1
+
+
+def test_token_estimate_of_wide_characters(spark):
+    df = spark.createDataFrame([("、。！？",), ("漢字䷀a",), ("",), ("abcdefghij",)], "t string")
+    assert [r[0] for r in df.select(T.estimate_tokens(F.col("t"))).collect()] == [3, 3, 1, 4]
+
+
 def test_labels(spark):
     r = spark.createDataFrame([("“Refund”",), ("refund",), ("it is Refund now",), ("Refund or Return",), ("other",), (None,)], "v string")
     got = [x[0] for x in r.select(T.normalize_label(F.col("v"), ["Refund", "Return"])).collect()]
