@@ -60,29 +60,26 @@ def rule_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def active_queue(spark: SparkSession, sf_dir: str, most: int = 3000, alike: float = 0.9) -> DataFrame:
+def active_queue(spark: SparkSession, sf_dir: str, alike: float = 0.9) -> DataFrame:
     """The most uncertain items first; an item too similar to one chosen before comes after all chosen ones.
 
-    As in the operator's definition the diversity step applies up to ``most`` items; more are only sorted by the score.
+    The greedy choice holds for any number of items. Of equal texts only the first can be chosen, as all others are like
+    what it is like, and it.
     """
     v = rule_votes(spark, sf_dir)
     items = v.select("item_id", "text").distinct()
-    score = sampling.uncertainty(votes.valid(v), items)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.col("item_id").cast("string"))
-    if items.count() > most:
-        return score.orderBy(F.desc("score"), F.col("item_id").cast("string")).withColumn("similar", F.lit(False)).select("item_id", "score", "similar")
-    ranked = score.withColumn("rank", F.row_number().over(w)).persist()
-    texts = items.select(F.col("item_id").alias("id"), "text")
-    pairs = neighbours.by_tfidf(texts, texts, most, 2, 3).where(F.col("sim") >= alike).select("query", "neighbour")
-    of = ranked.select("item_id", "rank")
-    pairs = pairs.join(of.toDF("query", "rq"), "query").join(of.toDF("neighbour", "rn"), "neighbour").where("rq < rn").select("rq", "rn")
-    blocked: set[int] = set()  # at most ``most`` ranks
-    for r in sorted(pairs.collect()):
-        if r[0] not in blocked:
-            blocked.add(r[1])
-    held = spark.createDataFrame([(x,) for x in sorted(blocked)], "rank int").withColumn("similar", F.lit(True))
-    out = ranked.join(F.broadcast(held), "rank", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
-    return out.orderBy("similar", "rank").select("item_id", "score", "similar")
+    score = sampling.uncertainty(votes.valid(v), items).join(items.groupBy("item_id").agg(F.min("text").alias("text")), "item_id")
+    order = F.struct((-F.col("score")).alias("s"), F.col("item_id").cast("string").alias("i"))
+    score = score.withColumn("order", order)
+    first = score.groupBy("text").agg(F.min("order").alias("first"))
+    score = score.join(first, "text").withColumn("copy", F.col("order") > F.col("first"))
+    of = score.where("NOT copy").select("item_id", "order")
+    pairs = neighbours.alike(score.where("NOT copy").select(F.col("item_id").alias("id"), "text"), alike)
+    pairs = pairs.join(of.toDF("a", "oa"), "a").join(of.toDF("b", "ob"), "b")
+    held = neighbours.held_back(pairs.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("first"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("then")))
+    out = score.join(held.withColumnRenamed("id", "item_id").withColumn("like", F.lit(True)), "item_id", "left")
+    out = out.withColumn("similar", F.col("copy") | F.coalesce("like", F.lit(False)))
+    return out.orderBy("similar", "order").select("item_id", "score", "similar")
 
 
 @query()
