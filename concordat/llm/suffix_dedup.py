@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._text import BYTE_CODE, chunks, drop_tables, mix, powers, release_shuffles, texts_of, written
@@ -243,8 +243,11 @@ def lost_ranges(documents: DataFrame, hot: int = HOT) -> DataFrame:
         segs = _with_bytes(texts, first.select("anchor", "f.*").join(often, "anchor", "left_semi"))
         windows = written(segs.select("doc_id", "start", "seg").mapInArrow(_windows, "w1 bigint, w2 bigint, doc_id bigint, place bigint"), "windows")
         least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "f")
-        again = windows.join(least, ["w1", "w2"]).where("doc_id <> f.doc_id OR place <> f.place")
-        tables.append(written(again.select("doc_id", F.col("place").alias("lo"), (F.col("place") + LENGTH).alias("hi")), "ranges"))
+        again = windows.join(least, ["w1", "w2"]).where("doc_id <> f.doc_id OR place <> f.place").select("doc_id", "place").distinct()
+        # neighbouring windows are one range; a document has no more windows than bytes
+        run = F.col("place") - F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
+        runs = again.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("place").alias("lo"), (F.max("place") + LENGTH).alias("hi"))
+        tables.append(written(runs.select("doc_id", "lo", "hi"), "ranges"))
         drop_tables(spark, [windows])
     drop_tables(spark, [first, several])
     out = tables[0]

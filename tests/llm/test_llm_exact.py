@@ -12,7 +12,15 @@ from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from concordat.llm import decontamination, jaccard_join, source_mixing, suffix_dedup
+from concordat.llm import (
+    decontamination,
+    jaccard_join,
+    language_id,
+    quality_classifier,
+    quality_rules,
+    source_mixing,
+    suffix_dedup,
+)
 from concordat.llm.html_extraction import main_text
 from concordat.llm.queries import ORACLE_SQL, QUERIES
 from concordat.llm.stats import measure
@@ -158,15 +166,17 @@ def test_suffix_periodic(spark):
         assert got == removal(dict(rows))
 
 
-@given(st.lists(st.text("ab", min_size=6, max_size=6), min_size=1, max_size=12))
-@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.text("ab", min_size=6, max_size=10)), min_size=1, max_size=12))
+@settings(max_examples=150, deadline=None)
 def test_columns(parts):
-    """Windows of 6 around an anchor of 2, all segments with their anchor at offset 0."""
-    segs = [p.encode() for p in parts]
-    lost = suffix_dedup.lost_windows(np.zeros(len(segs), np.int64), segs, 6, 2)
-    for i, s in enumerate(segs):
-        want = any(o[:6] == s[:6] for o in segs[:i])
-        assert lost[i, 4] == want
+    """Every window of 6 around an anchor of 2, at every column, for anchors at all offsets."""
+    parts = [(o, p[: o + 6]) for o, p in parts]  # a segment's last window starts at its anchor or before
+    off, segs = np.array([o for o, _ in parts]), [p.encode() for _, p in parts]
+    lost = suffix_dedup.lost_windows(off, segs, 6, 2)
+    windows = [{4 - o + j: s[j : j + 6] for j in range(len(s) - 5) if 4 - o + j <= 4} for o, s in zip(off.tolist(), segs, strict=True)]
+    for i, own in enumerate(windows):
+        for column in range(5):
+            assert lost[i, column] == (column in own and any(w.get(column) == own[column] for w in windows[:i]))
 
 
 def test_stats(texts):
@@ -378,6 +388,73 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var x="</p><p>no
 <aside>Related things</aside><form><input>Search</form><p>End.</p><div id="comments"><p>A reader says hello there.</p></div></article><footer>&copy; us</footer></body></html>"""
 
 
+def test_forest_against_a_recursive_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(quality_rules.RULES)))
+    forest = quality_rules.IsolationForest.fit(x, x.min(0), x.max(0), trees=20)
+
+    def depth(t, row, i=0):
+        f = forest.feature[t, i]
+        return forest.length[t, i] if f < 0 else depth(t, row, 2 * i + (2 if row[f] > forest.cut[t, i] else 1))
+
+    want = [2 ** (-np.mean([depth(t, row) for t in range(20)]) / forest.norm) for row in x]
+    assert forest.anomaly(x) == pytest.approx(want, abs=1e-12)
+    score, good = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.8, 0.9]), np.array([1, 1, 1, 1, 1, 0, 0], bool)
+    assert 0.5 <= quality_rules.calibrated(score, good) < 0.8
+
+
+def test_kept_by_rules(spark, documents):
+    """``kept`` is the base rules and the walk's verdict, document by document."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = quality_rules.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    text = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    for r in quality_rules.apply_rules(documents, rules).collect():
+        base, f = measure([text[r["doc_id"]].encode()])
+        failed = base[0][0] < 50 or 100 * base[0][4] > 50 * base[0][0]
+        assert r["base_failed"] == failed and r["kept"] == (not failed and rules.anomaly(f)[0] <= rules.threshold)
+
+
+def test_additive_score_is_a_sum_of_table_entries():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(int)
+    m = quality_classifier.fit(x, y, rounds=20, pair_rounds=20)
+    for row, got in zip(x[:60], m.score(x[:60]), strict=True):
+        b = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges, strict=True)]
+        raw = m.intercept + sum(t[i] for t, i in zip(m.tables, b, strict=True))
+        raw += sum(t[b[f] // m.coarse][b[g] // m.coarse] for (f, g), t in zip(m.pairs, m.pair_tables, strict=True))
+        assert got == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-12)
+    assert m.pairs[0] == (0, 1) and np.mean((m.score(x) >= 0.5) == y) > 0.9
+
+
+@given(st.lists(st.tuples(st.integers(-5, 5), st.integers(1, 4)), min_size=1, max_size=9))
+@settings(max_examples=100, deadline=None)
+def test_best_leaves_start_with_the_best_cut(bins):
+    """The first cut is the best of all; a second one only adds to the gain."""
+    r, h = (np.array(v, float) for v in zip(*bins, strict=True))
+    gain = lambda cuts: sum(r[i:j].sum() ** 2 / (h[i:j].sum() + 1) for i, j in zip([0, *cuts], [*cuts, len(r)], strict=True))
+    best = max([gain([c]) for c in range(1, len(r))], default=gain([]))
+    leaves = quality_classifier._best_leaves(r, h, 1.0)
+    cuts = [i for i in range(1, len(r)) if leaves[i] != leaves[i - 1]]
+    assert len(cuts) <= 2 and gain(cuts) >= max(best, gain([])) - 1e-6
+
+
+def test_language_masks_against_plain_sets(spark):
+    rows = [(1, "x", "abra cadabra abra"), (2, "y", "simsala bim bam bra"), (3, "z", "hokus pokus bra"), (5, "y", "bim bim")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    filters = language_id.learn(docs, min_share=0.0)
+    sets = {k: set(language_id.grams([t.encode() for _, lang, t in rows if lang == k])[1].tolist()) for k in "xyz"}
+    every = np.array(sorted(set().union(*sets.values())), np.uint64)
+    mask = filters.masks(every)[0]
+    for h, m in zip(every.tolist(), mask.tolist(), strict=True):
+        for i, k in enumerate(filters.langs):
+            assert h not in sets[k] or m >> i & 1
+    chance = sum(int(m).bit_count() for m in mask) - sum(len(s) for s in sets.values())
+    assert 0 <= chance <= 2 and (filters.false_rate < 0.01).all()
+    evidence = filters.evidence([b"abra cadabra", b"bim bam", b"pokus"])
+    assert evidence.argmax(1).tolist() == [0, 1, 2] and evidence.sum(1) == pytest.approx(1)
+
+
 def test_html():
     assert main_text(PAGE) == "Head & line\nFirst long paragraph with words and bold ones, long enough.\nSecond paragraph, linked as well, with more words.\nEnd."
     plain = "<body><ul><li><a>a</a><li><a>b</a></ul>" + "".join(f"<p>{'words and words ' * 20}{i}</p>" for i in range(5)) + "<p><a>x</a></p></body>"
@@ -446,3 +523,18 @@ def test_pipeline(spark):
     rows = out.collect()
     assert 0 < len(rows) < docs.count() and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert [r["mix_position"] for r in rows] == list(range(len(rows)))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    """Empty documents, labels or benchmark, and columns that clash with the stages' own."""
+    import corpus_pipeline
+
+    read = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+    docs = read["documents"].limit(60).selectExpr("*", "1 AS mix_slot", "doc_id AS node", "text AS seg")
+    for empty in (("documents",), ("labels", "benchmark")):
+        folder = f"{tmp_path}/{'-'.join(empty)}"
+        for t, df in (read | {"documents": docs}).items():
+            (df.limit(0) if t in empty else df).write.parquet(f"{folder}/{t}.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.count() == 0 if "documents" in empty else 0 < out.count() <= 60
+        assert {"node", "seg", "mix_slot_before", "mix_slot"} <= set(out.columns)
