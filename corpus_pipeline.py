@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm._text import written
+from concordat.llm._text import drop_tables, written
 from concordat.llm.decontamination import uncontaminated
 from concordat.llm.jaccard_join import first_of_groups
 from concordat.llm.quality_classifier import accepted, train
@@ -65,7 +65,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"pipeline-{name}")
+            if k:
+                drop_tables(spark, [before])
     return docs
