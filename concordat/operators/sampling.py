@@ -21,14 +21,28 @@ def per_label(rows: DataFrame, n: int, key: str, label: str, seed: int = 0) -> D
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def _placed(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """``rows`` with ``_rn``, the place in the label's order by lot, and ``_n``, the label's size.
+
+    The place is counted within the first three digits of the lot, with the sizes of the parts before; so a label that
+    holds most rows is dealt over 4,096 groups.
+    """
+    r = rows.withColumn("_lot", lot(seed, key)).withColumn("_part", F.left("_lot", F.lit(3)))
+    w = Window.partitionBy("_label")
+    c = r.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_of")).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.select("_label", "_of", before.alias("_before"), F.sum("_c").over(w).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_lot", key))
+    r = r.withColumn("_own", own).join(c, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
+    return r.withColumn("_rn", F.col("_before") + F.col("_own")).drop("_lot", "_part", "_label", "_of", "_before", "_own")
+
+
 def split(rows: DataFrame, ratio: float, key: str, label: str, seed: int = 0) -> DataFrame:
     """Column ``part``: dev for round(n * ratio) rows of each label (half to even; 1 to n - 1 where n > 1), else test."""
-    w = Window.partitionBy(label)
-    n = F.count("*").over(w)
+    n = F.col("_n")
     size = F.bround(n * ratio, 0)
     size = F.when(n >= 2, F.least(F.greatest(size, F.lit(1)), n - 1)).otherwise(size)
-    rn = F.row_number().over(w.orderBy(lot(seed, key), key))
-    return rows.withColumn("part", F.when(rn <= size, "dev").otherwise("test"))
+    return _placed(rows, key, label, seed).withColumn("part", F.when(F.col("_rn") <= size, "dev").otherwise("test")).drop("_rn", "_n")
 
 
 def allocation(rows: DataFrame, n: int, label: str) -> DataFrame:
@@ -42,8 +56,8 @@ def allocation(rows: DataFrame, n: int, label: str) -> DataFrame:
 
 
 def take(rows: DataFrame, n: int, key: str, label: str, seed: int = 0) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(lot(seed, key), key))
-    return rows.withColumn("_rn", rn).join(F.broadcast(allocation(rows, n, label).select(label, "size")), label).where("_rn <= size").drop("_rn", "size")
+    placed = _placed(rows, key, label, seed).join(allocation(rows, n, label).select(label, "size"), label)
+    return placed.where("_rn <= size").select(rows.columns)
 
 
 def uncertainty(valid_votes: DataFrame, items: DataFrame) -> DataFrame:

@@ -37,9 +37,14 @@ def read_items(spark: SparkSession, path: str, text: str = "text", key: str = "i
     return out.where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
+def _place():
+    """Order of lines by file, part of the file, then place in that part (ids rise within a part)."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result records, one JSON object per line; broken lines (a run cut off) are left out, the last record of an id wins."""
-    r = spark.read.schema(RESULT).option("mode", "DROPMALFORMED").json(path).withColumn("_at", F.monotonically_increasing_id())
+    r = spark.read.schema(RESULT).option("mode", "DROPMALFORMED").json(path).withColumn("_at", _place())
     last = r.groupBy("id").agg(F.max_by(F.struct(*[c for c in r.columns if c != "_at"]), "_at").alias("r"))
     return last.select("r.*").where("id IS NOT NULL")
 
@@ -58,5 +63,5 @@ def write_wide(annotations: DataFrame, models: list[str], path: str) -> None:
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """(key, response, in_tok, out_tok, prob) of a reply cache; the last line of a key wins, broken lines are left out."""
     c = spark.read.schema("key string, response string, in_tok int, out_tok int, prob double").option("mode", "DROPMALFORMED").json(path)
-    c = c.where("key IS NOT NULL").withColumn("_at", F.monotonically_increasing_id())
+    c = c.where("key IS NOT NULL").withColumn("_at", _place())
     return c.groupBy("key").agg(F.max_by(F.struct("response", "in_tok", "out_tok", "prob"), "_at").alias("r")).select("key", "r.*")

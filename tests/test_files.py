@@ -7,6 +7,7 @@ import shutil
 import subprocess
 import sys
 
+import pytest
 from conftest import REPO, SF
 from pyspark.sql import functions as F
 
@@ -86,3 +87,18 @@ def test_votes_scan_is_narrow(spark):
     schema = plan[plan.index("ReadSchema") :].split("\n")[0]
     assert "l_tax" not in schema and "l_discount" not in schema
     assert F is not None
+
+
+def test_runs(spark, tmp_path):
+    from concordat.sources import runs
+
+    root = f"file://{tmp_path}/runs"
+    one = spark.createDataFrame([(1, "A")], "item_id long, label string")
+    runs.write_run(one, root, "first")
+    runs.write_run(one, root, "second", "eval")
+    assert [(r["run"], r["kind"]) for r in runs.list_runs(spark, root).collect()][:2] == [("second", "eval"), ("first", "results")]
+    assert runs.delete_run(spark, root, "first") and not runs.delete_run(spark, root, "first")
+    for bad in ("", "..", "a/b"):
+        with pytest.raises(ValueError):
+            runs.delete_run(spark, root, bad)
+    assert runs.without_secrets({"jury": [{"api_key": "x", "name": "a"}], "arbiter": {"api_key": "y"}, "n": 1}) == {"jury": [{"name": "a"}], "arbiter": {}, "n": 1}
