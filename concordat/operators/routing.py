@@ -50,46 +50,78 @@ def acceptable(policy: RoutingPolicy) -> Column:
     return F.lit(policy.action == "review") & (F.col("total") >= policy.min_votes) & (F.col("agree") * 2 > F.col("total")) & (F.col("share") >= policy.accept_threshold)
 
 
-def route(ann: DataFrame, weights: dict[str, float], policy: RoutingPolicy, arbiter: DataFrame | None = None) -> DataFrame:
-    """item_id, label, status, confidence. ``arbiter(item_id, arb_label, arb_conf)`` decides what votes don't.
+def by_item(ann: DataFrame, weights: dict[str, float], evidence_penalty: float, first: tuple[str, ...] = ()) -> DataFrame:
+    """All that routing asks of an item's votes, in one pass over them: two aggregations and no join.
 
-    Unanimous valid votes give consensus; failed models don't break it. An item handed to a person carries the arbiter's
-    label as a suggestion, or the vote's.
+    valid, n_labels, first_label, mean_conf of valid votes; label, agree, share, total of the weighted vote; calls; and
+    tier1, a struct of the same kind over the votes of the models in ``first``.
     """
-    base = unanimity(ann).join(votes.weighted(ann, weights, policy.evidence_penalty), "item_id", "left")
-    if arbiter is None:
-        base = base.withColumn("arb_label", F.lit(None).cast("string")).withColumn("arb_conf", F.lit(None).cast("double"))
-    else:
-        base = base.join(arbiter, "item_id", "left")
+    ok = F.col("error").isNull() & F.col("label").isNotNull()
+    early = F.col("model").isin(list(first)) if first else F.lit(False)
+    n_conf = F.count(F.when(early, F.col("confidence")))
+    t = ann.groupBy("item_id", F.when(ok, F.col("label")).alias("label")).agg(
+        F.count("*").alias("cnt"), F.min("model_ord").alias("ord"), F.sum(votes.vote_score(weights, evidence_penalty)).alias("score"),
+        F.sum("confidence").alias("conf"), F.count("confidence").alias("n_conf"),
+        F.count_if(early).alias("asked1"), F.min(F.when(early, F.col("confidence"))).alias("least1"), F.sum(F.when(early, F.col("confidence"))).alias("conf1"), n_conf.alias("n_conf1"),
+    )
+    known = F.col("label").isNotNull()
+    mine = lambda c: F.sum(F.when(known, F.col(c)))
+    best = F.max(F.when(known, F.struct("score", (-F.col("ord")).alias("o"), "label", "cnt")))
+    tier1 = F.struct(
+        F.sum("asked1").alias("asked"), F.coalesce(mine("asked1"), F.lit(0)).alias("valid"), F.count_if(known & (F.col("asked1") > 0)).alias("n_labels"),
+        F.min(F.when(F.col("asked1") > 0, F.col("label"))).alias("label"), F.min("least1").alias("least"), F.try_divide(F.sum("conf1"), F.sum("n_conf1")).alias("mean_conf"),
+    )
+    out = t.groupBy("item_id").agg(
+        F.coalesce(mine("cnt"), F.lit(0)).alias("valid"), F.count("label").alias("n_labels"), F.min("label").alias("first_label"),
+        F.try_divide(mine("conf"), mine("n_conf")).alias("mean_conf"), best.alias("best"), mine("score").alias("all"), mine("cnt").alias("total"), F.sum("cnt").alias("calls"), tier1.alias("tier1"),
+    )
+    return out.select("item_id", "valid", "n_labels", "first_label", "mean_conf", "best.label", F.col("best.cnt").alias("agree"), F.try_divide("best.score", "all").alias("share"), "total", "calls", "tier1")
+
+
+def _decided(items: DataFrame, policy: RoutingPolicy) -> tuple[Column, Column, Column]:
+    """Label, status and confidence of rows of ``by_item`` with arb_label and arb_conf."""
     consensus = (F.col("valid") >= policy.min_votes) & (F.col("n_labels") == 1)
     arbitrated = F.col("arb_label").isNotNull() & (F.col("arb_conf") >= policy.arbiter_threshold)
     accept = F.coalesce(acceptable(policy), F.lit(False))
     pick = lambda a, b, c, d: F.when(consensus, a).when(accept, b).when(arbitrated, c).otherwise(d)
-    return base.select(
-        "item_id",
-        pick(F.col("first_label"), F.col("label"), F.col("arb_label"), F.coalesce("arb_label", "label")).alias("label"),
-        pick(*[F.lit(x) for x in STATUSES]).alias("status"),
-        pick(F.col("mean_conf"), F.col("share"), F.col("arb_conf"), F.coalesce("share", F.lit(0.0))).alias("confidence"),
-    )
+    return (
+        pick(F.col("first_label"), F.col("label"), F.col("arb_label"), F.coalesce("arb_label", "label")),
+        pick(*[F.lit(x) for x in STATUSES]),
+        pick(F.col("mean_conf"), F.col("share"), F.col("arb_conf"), F.coalesce("share", F.lit(0.0))),
+    )
+
+
+def _no_arbiter(items: DataFrame) -> DataFrame:
+    return items.withColumn("arb_label", F.lit(None).cast("string")).withColumn("arb_conf", F.lit(None).cast("double"))
+
+
+def route(ann: DataFrame, weights: dict[str, float], policy: RoutingPolicy, arbiter: DataFrame | None = None) -> DataFrame:
+    """item_id, label, status, confidence. ``arbiter(item_id, arb_label, arb_conf)`` decides what votes don't.
+
+    Unanimous valid votes give consensus; failed models don't break it. An item handed to a person carries the arbiter's
+    label as a suggestion, or the vote's.
+    """
+    items = by_item(ann, weights, policy.evidence_penalty)
+    items = _no_arbiter(items) if arbiter is None else items.join(arbiter, "item_id", "left")
+    label, status, confidence = _decided(items, policy)
+    return items.select("item_id", label.alias("label"), status.alias("status"), confidence.alias("confidence"))
 
 
 def cascade(ann: DataFrame, weights: dict[str, float], policy: RoutingPolicy) -> DataFrame:
     """As ``route``, with a first tier: items on which its models all agree with enough confidence stop there.
 
-    Adds ``tier`` (1 or 2) and ``calls`` (models asked). The second tier aggregates only what escalates.
+    Adds ``tier`` (1 or 2) and ``calls`` (models asked). Both tiers come from one pass over the votes.
     """
-    first = ann.where(F.col("model").isin(list(policy.cascade)))
-    ok = F.col("error").isNull() & F.col("label").isNotNull()
-    tier1 = first.groupBy("item_id").agg(
-        F.count("*").alias("asked"), F.count_if(ok).alias("valid"), F.count_distinct(F.when(ok, F.col("label"))).alias("n"),
-        F.min("label").alias("label"), F.min("confidence").alias("least"), F.avg("confidence").alias("mean_conf"),
+    items = _no_arbiter(by_item(ann, weights, policy.evidence_penalty, policy.cascade))
+    one = F.col("tier1")
+    done = (one["asked"] == len(policy.cascade)) & (one["valid"] == one["asked"]) & (one["n_labels"] == 1) & (one["least"] >= policy.cascade_min_confidence)
+    done = F.coalesce(done, F.lit(False))
+    label, status, confidence = _decided(items, policy)
+    return items.select(
+        "item_id", F.when(done, one["label"]).otherwise(label).alias("label"), F.when(done, "consensus").otherwise(status).alias("status"),
+        F.when(done, F.round(one["mean_conf"], 3)).otherwise(confidence).alias("confidence"),
+        F.when(done, 1).otherwise(2).alias("tier"), F.when(done, one["asked"]).otherwise(F.col("calls")).alias("calls"),
     )
-    done = tier1.where((F.col("asked") == len(policy.cascade)) & (F.col("valid") == F.col("asked")) & (F.col("n") == 1) & (F.col("least") >= policy.cascade_min_confidence))
-    accepted = done.select("item_id", "label", F.lit("consensus").alias("status"), F.round("mean_conf", 3).alias("confidence"), F.lit(1).alias("tier"), F.col("asked").alias("calls"))
-    rest = ann.join(done.select("item_id"), "item_id", "left_anti")
-    calls = rest.groupBy("item_id").agg(F.count("*").alias("calls"))
-    second = route(rest, weights, policy).join(calls, "item_id").select("item_id", "label", "status", "confidence", F.lit(2).alias("tier"), "calls")
-    return accepted.unionByName(second)
 
 
 def gate(unanimous: DataFrame, voted: DataFrame, policy: RoutingPolicy) -> DataFrame:
@@ -105,16 +137,25 @@ def merge_rounds(ann: DataFrame) -> DataFrame:
     return ann.withColumn("error", F.when(F.col("label2").isNull(), F.col("error"))).withColumn("label", F.coalesce("label2", "label"))
 
 
+def _answered(reply: str, replies: list[str]):
+    """A vote after a round: the reply in its place if the item is open and the reply is valid."""
+
+    def after(x: Column) -> Column:
+        take = F.col("open") & x[reply].isNotNull()
+        return F.struct(F.when(take, x[reply]).otherwise(x["label"]).alias("label"), F.when(~take, x["error"]).alias("error"), *[x[c].alias(c) for c in replies])
+
+    return after
+
+
 def debate(ann: DataFrame, replies: list[str], min_votes: int = 2) -> DataFrame:
     """Rounds of review over columns ``replies``: a failed reply keeps the old vote, unanimous items stop early.
 
-    Gives item_id, rounds (those held), valid, n_labels.
+    Gives item_id, rounds (those held), valid, n_labels. An item's few votes are one array, so no round shuffles.
     """
-    now = ann.withColumn("rounds", F.lit(0)).withColumn("open", F.lit(True))
+    held = ann.groupBy("item_id").agg(F.collect_list(F.struct("label", "error", *replies)).alias("v")).withColumn("rounds", F.lit(0))
+    good = lambda: F.filter("v", lambda x: x["error"].isNull() & x["label"].isNotNull())
+    state = lambda d: d.withColumn("valid", F.size(good()).cast("bigint")).withColumn("n_labels", F.size(F.array_distinct(F.transform(good(), lambda x: x["label"]))).cast("bigint"))
     for r in replies:
-        state = unanimity(now).select("item_id", ((F.col("valid") >= min_votes) & (F.col("n_labels") == 1)).alias("done"))
-        now = now.join(state, "item_id").withColumn("open", ~F.col("done")).drop("done")
-        take = F.col("open") & F.col(r).isNotNull()
-        now = now.withColumn("label", F.when(take, F.col(r)).otherwise(F.col("label"))).withColumn("error", F.when(~take, F.col("error")))
-        now = now.withColumn("rounds", F.col("rounds") + F.col("open").cast("int"))
-    return unanimity(now).join(now.groupBy("item_id").agg(F.max("rounds").alias("rounds")), "item_id").select("item_id", "rounds", "valid", "n_labels")
+        held = state(held).withColumn("open", ~((F.col("valid") >= min_votes) & (F.col("n_labels") == 1)))
+        held = held.withColumn("v", F.transform("v", _answered(r, replies))).withColumn("rounds", F.col("rounds") + F.col("open").cast("int"))
+    return state(held).select("item_id", "rounds", "valid", "n_labels")

@@ -38,9 +38,15 @@ def majority(ann: DataFrame) -> DataFrame:
     return best(tally(valid(ann)), F.desc("cnt"), F.desc("conf"), F.asc("first_ord")).drop("first_ord")
 
 
+def vote_score(weights: dict[str, float], evidence_penalty: float) -> Column:
+    """A vote's weight x confidence, less where its evidence was refuted."""
+    weight = literal_map(weights, F.col("model"), 1.0) * F.greatest("confidence", F.lit(0.05))
+    return weight * F.when(F.col("evidence_ok").eqNullSafe(False), evidence_penalty).otherwise(1.0)
+
+
 def weighted(ann: DataFrame, weights: dict[str, float], evidence_penalty: float = 0.5) -> DataFrame:
     """item_id, label, share, agree, total: sums of weight x confidence, less where evidence was refuted."""
-    score = literal_map(weights, F.col("model"), 1.0) * F.greatest("confidence", F.lit(0.05)) * F.when(F.col("evidence_ok").eqNullSafe(False), evidence_penalty).otherwise(1.0)
+    score = vote_score(weights, evidence_penalty)
     t = valid(ann).groupBy("item_id", "label").agg(F.count("*").alias("cnt"), F.min("model_ord").alias("first_ord"), F.sum(score).alias("score"))
     item = Window.partitionBy("item_id")
     t = t.withColumn("all", F.sum("score").over(item)).withColumn("total", F.sum("cnt").over(item))
