@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op13_byte_bpe
+from .centroid_clustering import OP11_SQL, op11_centroid_clustering
 from .decontamination import op6_decontamination
 from .html_extraction import op7_html_extraction
 from .jaccard_join import OP8_SQL, op8_jaccard_join
@@ -27,7 +28,8 @@ QUERIES = {
         op8_jaccard_join,
         op9_source_mixing,
         op10_quality_classifier,
+        op11_centroid_clustering,
         op13_byte_bpe,
     )
 }
-ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op8_jaccard_join": OP8_SQL}
+ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op8_jaccard_join": OP8_SQL, "op11_centroid_clustering": OP11_SQL}
