@@ -26,7 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEPT_PIECES, KEPT_PAIRS, KEPT_CHARS = 300_000, 1_000_000, 64
+KEPT_PIECES, KEPT_PAIRS, KEPT_CHARS, OUT_BYTES = 150_000, 300_000, 64, 4 << 20
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -102,6 +102,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.ranks = v.tokens | v.whole
         self.pieces = regex.compile(v.pattern)
+        self.decode = _decoder(v)
         self.known: dict[int, bool] = {}
         self.seen: dict[str, bytes] = {}
         self.seen_before: dict[str, bytes] = {}
@@ -198,40 +199,63 @@ def encoder_for(key: str, vocabulary: Vocabulary) -> Encoder:
     return _encoders[key]
 
 
-def _with_binary(table: DataFrame, source: str, kind: str, target: str, make) -> DataFrame:
-    """``table`` with a binary column that ``make`` (called once per task) computes from a ``source`` column."""
-    out = [c for c in table.columns if c.lower() != target.lower()]
-    schema = table.select(*[F.col(f"`{c}`") for c in out]).schema.add(target, "binary")
+def _decoder(vocabulary: Vocabulary) -> Callable[[bytes | None], bytes | None]:
+    name = {i: t for t, i in (vocabulary.tokens | vocabulary.whole).items()}.get
+    none = b""
+    return lambda packed: None if packed is None else b"".join([name(i, none) for i in np.frombuffer(packed, "<u4").tolist()])
+
+
+def _with_binary(table: DataFrame, source: str, kind: str, targets: list[str], make: Callable[[], Callable]) -> DataFrame:
+    """``table`` with binary columns: the tuple that a function, made once per task, gives of a ``source`` value. Rows leave
+    in batches of a few megabytes of values."""
+    out = [c for c in table.columns if c.lower() not in {t.lower() for t in targets}]
+    schema = table.select(*[F.col(f"`{c}`") for c in out]).schema
+    for t in targets:
+        schema = schema.add(t, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            values = pa.array([f(x) for x in b.column("_value").cast(kind).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], values], [*out, target])
+            lo, held, size = 0, [], 0
+            for hi, x in enumerate(b.column("_value").cast(kind), 1):
+                held.append(f(x.as_py()))
+                size += sum(len(v or b"") for v in held[-1])
+                if size >= OUT_BYTES or hi == b.num_rows:
+                    values = [pa.array([r[k] for r in held], pa.binary()) for k in range(len(targets))]
+                    yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[: len(out)]], *values], [*out, *targets])
+                    lo, held, size = hi, [], 0
 
     return table.select(*[F.col(f"`{c}`") for c in out], F.col(f"`{source}`").alias("_value")).mapInArrow(run, schema)
 
 
-def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """The documents with ``ids``: the ids of the whole text, packed as little-endian unsigned 32-bit integers."""
+def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", decode: bool = False) -> DataFrame:
+    """The documents with ``ids``: the ids of the whole text, packed as little-endian unsigned 32-bit integers. With
+    ``decode`` also ``decoded``, the bytes that the ids stand for, in the same pass."""
     shared, key = documents.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.digest
-    return _with_binary(documents, text, "string", "ids", lambda: encoder_for(key, shared.value).text)
+
+    def make():
+        encoder = encoder_for(key, shared.value)
+        if not decode:
+            return lambda t: (encoder.text(t),)
+
+        def both(t: str | None) -> tuple[bytes, bytes]:
+            ids = encoder.text(t)
+            return ids, encoder.decode(ids)
+
+        return both
+
+    return _with_binary(documents, text, "string", ["ids", "decoded"][: 1 + decode], make)
 
 
 def decoded(table: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
     """The table with ``decoded``: the bytes that packed ids stand for."""
-    names = {i: t for t, i in (vocabulary.tokens | vocabulary.whole).items()}
-    shared = table.sparkSession.sparkContext.broadcast(names)
+    shared = table.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        name = shared.value
-
-        def one(packed: bytes | None) -> bytes | None:
-            return None if packed is None else b"".join([name.get(i, b"") for i in np.frombuffer(packed, "<u4").tolist()])
-
-        return one
+        decode = _decoder(shared.value)
+        return lambda packed: (decode(packed),)
 
-    return _with_binary(table, ids, "binary", "decoded", make)
+    return _with_binary(table, ids, "binary", ["decoded"], make)
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -242,8 +266,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None
         rank_file, pattern = rank_file or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     vocabulary = Vocabulary.load(rank_file, pattern)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decoded(encoded(documents, vocabulary).drop("text"), vocabulary)
-    return both.select(
+    return encoded(documents, vocabulary, decode=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

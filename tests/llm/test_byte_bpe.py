@@ -33,6 +33,10 @@ def pair(request):
     return byte_bpe.Encoder(byte_bpe.Vocabulary.load(public_tokenizers.path(request.param), public_tokenizers.PATTERN)), library(ranks)
 
 
+def v_name(v, i):
+    return {n: t for t, n in v.tokens.items()}[i]
+
+
 def ids(packed):
     return np.frombuffer(packed, "<u4").tolist()
 
@@ -136,4 +140,7 @@ def test_edges(spark, tmp_path):
     both = byte_bpe.decoded(byte_bpe.encoded(table, v), v)
     assert both.columns == ["doc_id", "text", "ids", "decoded"]
     assert both.where("coalesce(text, '') <> cast(decoded AS string)").count() == 0
+    assert both.exceptAll(byte_bpe.encoded(table, v, decode=True).select(both.columns)).count() == 0
     assert byte_bpe.encoded(table.limit(0), v).count() == 0
+    odd = spark.sql("SELECT cast(null AS binary) AS ids UNION ALL SELECT X'ffffffff41000000' UNION ALL SELECT X''")
+    assert {r[1] for r in byte_bpe.decoded(odd, v).collect()} == {None, v_name(v, 65), b""}
