@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op13_byte_bpe
 from .centroid_clustering import OP11_SQL, op11_centroid_clustering
+from .conversation_trie import OP12_SQL, op12_conversation_trie
 from .decontamination import op6_decontamination
 from .html_extraction import op7_html_extraction
 from .jaccard_join import OP8_SQL, op8_jaccard_join
@@ -29,7 +30,8 @@ QUERIES = {
         op9_source_mixing,
         op10_quality_classifier,
         op11_centroid_clustering,
+        op12_conversation_trie,
         op13_byte_bpe,
     )
 }
-ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op8_jaccard_join": OP8_SQL, "op11_centroid_clustering": OP11_SQL}
+ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op8_jaccard_join": OP8_SQL, "op11_centroid_clustering": OP11_SQL, "op12_conversation_trie": OP12_SQL}
