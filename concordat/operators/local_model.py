@@ -8,7 +8,13 @@ from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import char_grams
+
+def char_grams(text, lo: int = 2, hi: int = 4):
+    """Character n-grams within words padded by a blank on both sides, as an array with repeats."""
+    padded = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    starts = lambda p, n: F.sequence(F.lit(1), F.length(p) - n + 1)
+    of = lambda p, n: F.when(F.length(p) >= n, F.transform(starts(p, n), lambda i: F.substr(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[F.flatten(F.transform(padded, lambda p, n=n: of(p, n))) for n in range(lo, hi + 1)])
 
 
 def features(rows: DataFrame) -> DataFrame:

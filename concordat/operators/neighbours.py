@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
-
-BLOCK, TEXT_BLOCK, SALTS = 2_000, 500, 16
+BLOCK = 2_000
 
 
 def by_cosine(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -56,124 +54,3 @@ def by_cosine(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
         return spark.createDataFrame([], "query bigint, neighbour bigint, sim double, rank int")
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "neighbour")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def char_grams(text, lo: int = 2, hi: int = 4):
-    """Character n-grams within words padded by a blank on both sides, as an array with repeats."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    of = lambda n: F.flatten(F.transform(padded, lambda p: F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: F.substr(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
-    return F.concat(*[of(n) for n in range(lo, hi + 1)])
-
-
-def tfidf_vectors(rows: DataFrame, lo: int = 2, hi: int = 4) -> DataFrame:
-    """(id, v): unit vectors of ``rows(id, text)`` as lists of (df, g, w), the rarest n-gram first; g is a 64-bit hash.
-
-    An n-gram's frequency goes to the texts by a join that splits every n-gram over ``SALTS`` tasks, so a frequent one,
-    which nearly all texts have, doesn't meet in one. A list is as long as its text allows. Written to the shared folder.
-    """
-    n = rows.count()
-    rows = rows.where("id IS NOT NULL").select("id", char_grams(F.coalesce("text", F.lit("")), lo, hi).alias("grams"))
-    df = rows.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy(F.xxhash64("g").alias("g")).agg(F.count("*").alias("df"))
-    tf = rows.select("id", F.explode("grams").alias("g")).groupBy("id", F.xxhash64("g").alias("g")).agg(F.count("*").alias("c"))
-    tf = tf.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    dealt = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
-    weight = (1 + F.log(F.col("c").cast("double"))) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
-    v = tf.join(dealt, ["g", "salt"]).select("id", F.struct("df", "g", weight.alias("w")).alias("x")).groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    v = v.withColumn("norm", norm).select("id", F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
-    path = shared_dir(rows.sparkSession, "tfidf")
-    v.write.parquet(path)
-    return rows.sparkSession.read.schema(v.schema).parquet(path)
-
-
-def by_tfidf(rows: DataFrame, queries: DataFrame, k: int, lo: int = 2, hi: int = 4) -> DataFrame:
-    """(query, neighbour, sim, rank) by cosine of TF-IDF n-grams: ``queries(id)``, some of ``rows(id, text)``, against all.
-
-    As in ``by_cosine`` queries go to all rows in blocks, and a task keeps its own k best of each query.
-    """
-    spark = rows.sparkSession
-    vectors = tfidf_vectors(rows, lo, hi)
-    blocks = max(1, -(-queries.count() // TEXT_BLOCK))
-    asked = vectors.join(queries.select("id").distinct(), "id", "left_semi")
-    out = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v.g", "v.w").orderBy("id").toArrow()
-        if not part.num_rows:
-            continue
-        ids, g = part["id"].to_numpy(), part["g"].combine_chunks()
-        which = np.repeat(np.arange(len(ids)), np.diff(g.offsets.to_numpy()))
-        gram, weight = g.flatten().to_numpy(), part["w"].combine_chunks().flatten().to_numpy()
-        order = np.lexsort((which, gram))
-        shared = spark.sparkContext.broadcast((ids, gram[order], which[order], weight[order]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, gram, which, weight = shared.value
-            best_id, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
-            for x in batches:
-                i, g = x.column("id").to_numpy(), x.column("g")
-                at, each, w = g.offsets.to_numpy() - g.offsets[0].as_py(), g.flatten().to_numpy(), x.column("w").flatten().to_numpy()
-                s = np.full((len(own), len(i)), -np.inf)
-                for j in range(len(i)):
-                    mine = each[at[j] : at[j + 1]]
-                    lo, hi = np.searchsorted(gram, mine), np.searchsorted(gram, mine, "right")
-                    n = hi - lo
-                    entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    dot = np.round(np.bincount(which[entry], weight[entry] * np.repeat(w[at[j] : at[j + 1]], n), len(own)), 6)
-                    s[:, j] = np.where((dot > 0) & (own != i[j]), dot, -np.inf)
-                best_id = np.concatenate([best_id, np.broadcast_to(i, s.shape)], 1)
-                best = np.concatenate([best, s], 1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
-            keep = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(own[np.nonzero(keep)[0]]), pa.array(best_id[keep]), pa.array(best[keep])], ["query", "neighbour", "sim"])
-
-        found = vectors.select("id", "v.g", "v.w").mapInArrow(run, "query bigint, neighbour bigint, sim double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query bigint, neighbour bigint, sim double, rank int")
-    w = Window.partitionBy("query").orderBy(F.desc("sim"), "neighbour")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def alike(rows: DataFrame, least: float, lo: int = 2, hi: int = 3) -> DataFrame:
-    """(a, b) with a < b: all pairs of ``rows(id, text)`` whose TF-IDF cosine is at least ``least``, exactly.
-
-    Of two such vectors the prefixes share an n-gram, when a prefix takes the rarest n-grams until the rest is shorter
-    than ``least``. So lists are joined by rare n-grams only.
-    """
-    v = tfidf_vectors(rows, lo, hi).where(F.size("v") > 0)
-    rest = F.aggregate("v", F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("n")), lambda acc, x: F.struct((acc["left"] - x["w"] * x["w"]).alias("left"), (acc["n"] + F.when(acc["left"] >= least * least - 1e-9, 1).otherwise(0)).alias("n")))
-    v = v.withColumn("n", rest["n"])
-    lists = v.select("id", F.explode(F.slice("v", F.lit(1), F.greatest("n", F.lit(1)))).alias("x")).select("id", "x.g")
-    pairs = lists.toDF("a", "g").join(lists.toDF("b", "g"), "g").where("a < b").select("a", "b").distinct()
-    side = lambda c: v.select(F.col("id").alias(c), F.map_from_entries(F.transform("v", lambda x: F.struct(x["g"], x["w"]))).alias(f"v{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
-    return both.where(dot >= least - 1e-9).select("a", "b")
-
-
-def held_back(pairs: DataFrame) -> DataFrame:
-    """The ids that a greedy pass in order would hold back.
-
-    ``pairs(first, then)``: like items, ``first`` comes first. The greedy pass takes an item unless an item taken before is
-    like it. All items whose like ones before are all decided are decided in one round, so rounds are as many as the
-    longest chain of undecided items, each over the undecided pairs only.
-    """
-    spark = pairs.sparkSession
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = shared_dir(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    left, held = kept(pairs, "pairs"), None
-    while not left.isEmpty():
-        # taken: nothing undecided stands before it; what is like a taken item is held back
-        taken = left.select(F.col("first").alias("id")).distinct().join(left.select(F.col("then").alias("id")).distinct(), "id", "left_anti")
-        back = kept(left.join(taken.withColumnRenamed("id", "first"), "first", "left_semi").select(F.col("then").alias("id")).distinct(), "held")
-        held = back if held is None else held.unionByName(back)
-        gone = back.unionByName(taken)
-        left = left.join(gone.withColumnRenamed("id", "first"), "first", "left_anti").join(back.withColumnRenamed("id", "then"), "then", "left_anti")
-        left = kept(left, "pairs")
-    return spark.createDataFrame([], "id bigint") if held is None else held

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, crowd, local_model, neighbours, sampling, votes
+from ..operators import calibration, crowd, local_model, sampling, text_neighbours, votes
 from ..operators.metrics import rate
 from ..sources.tables import LABELS, WEIGHTS, annotations, gold, table
 from .calibration import crossfit, points
@@ -72,11 +72,8 @@ def active_queue(spark: SparkSession, sf_dir: str, alike: float = 0.9) -> DataFr
     order = F.struct((-F.col("score")).alias("s"), F.col("item_id").cast("string").alias("i"))
     score = score.withColumn("order", order)
     first = score.groupBy("text").agg(F.min("order").alias("first"))
-    score = score.join(first, "text").withColumn("copy", F.col("order") > F.col("first"))
-    of = score.where("NOT copy").select("item_id", "order")
-    pairs = neighbours.alike(score.where("NOT copy").select(F.col("item_id").alias("id"), "text"), alike)
-    pairs = pairs.join(of.toDF("a", "oa"), "a").join(of.toDF("b", "ob"), "b")
-    held = neighbours.held_back(pairs.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("first"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("then")))
+    score = text_neighbours.kept(score.join(first, "text").withColumn("copy", F.col("order") > F.col("first")), "queue")
+    held = text_neighbours.held_back(score.where("NOT copy").select(F.col("item_id").alias("id"), "order", "text"), alike)
     out = score.join(held.withColumnRenamed("id", "item_id").withColumn("like", F.lit(True)), "item_id", "left")
     out = out.withColumn("similar", F.col("copy") | F.coalesce("like", F.lit(False)))
     return out.orderBy("similar", "order").select("item_id", "score", "similar")

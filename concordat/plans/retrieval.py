@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import neighbours
+from ..operators import neighbours, text_neighbours
 from ..operators.metrics import rate
 from ..sources.tables import table
 from .registry import query
@@ -43,5 +43,5 @@ def knn_label_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def knn_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set, every fiftieth document, against all documents; SQL is too slow for it on whole texts."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
-    return neighbours.by_tfidf(d, d.where("id % 50 = 0"), 6)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return text_neighbours.by_tfidf(d, d.where("id % 50 = 0"), 6)

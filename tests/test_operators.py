@@ -301,60 +301,3 @@ def test_documents_are_cut_at_40000(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["text"], r["cut"]) for r in QUERIES["doc_truncate_full"](spark, str(tmp_path)).collect()}
     assert got == {i: (t[:40_000], len(t) > 40_000) for i, t in enumerate(texts)}
-
-
-def plain_vectors(texts, lo, hi):
-    """Unit TF-IDF vectors of character n-grams within padded words."""
-    import collections
-
-    tf = {i: collections.Counter(p[j : j + n] for w in t.lower().split() for p in [f" {w} "] for n in range(lo, hi + 1) for j in range(len(p) - n + 1)) for i, t in texts.items()}
-    df = collections.Counter(g for c in tf.values() for g in c)
-    out = {}
-    for i, c in tf.items():
-        v = {g: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, n in c.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        out[i] = {g: x / norm for g, x in v.items()}
-    return out
-
-
-def texts_alike():
-    rng = np.random.default_rng(9)
-    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(60)]
-    base = [[words[x] for x in rng.integers(0, 60, 25)] for _ in range(8)]
-    out = {}
-    for i in range(60):
-        w = list(base[i % 8])
-        for _ in range(i % 5):
-            w[rng.integers(0, 25)] = words[rng.integers(0, 60)]
-        out[i] = " ".join(w)
-    return out | {60: "", 61: "a", 62: out[3]}
-
-
-def test_text_neighbours(spark):
-    texts = texts_alike()
-    v = plain_vectors(texts, 2, 4)
-    df = spark.createDataFrame([*texts.items(), (None, "a b")], "id long, text string").where("id IS NOT NULL")
-    got = {}
-    for r in neighbours.by_tfidf(df, df.where("id % 5 = 0"), 4).collect():
-        got.setdefault(r["query"], {})[r["rank"]] = (r["sim"], r["neighbour"])
-    for q in range(0, 60, 5):
-        sims = sorted(((-round(sum(x * v[j].get(g, 0) for g, x in v[q].items()), 6), j) for j in texts if j != q))[:4]
-        assert [got[q][k + 1][0] for k in range(4)] == pytest.approx([-s for s, _ in sims], abs=2e-6)
-    assert 60 not in got
-
-
-def test_alike_and_held_back(spark):
-    texts = texts_alike()
-    v = plain_vectors(texts, 2, 3)
-    df = spark.createDataFrame(list(texts.items()), "id long, text string")
-    got = {tuple(r) for r in neighbours.alike(df, 0.8).collect()}
-    ids = sorted(texts)
-    want = {(a, b) for a in ids for b in ids if a < b and sum(x * v[b].get(g, 0) for g, x in v[a].items()) >= 0.8 - 1e-9}
-    assert got == want and len(want) > 20
-    taken, back = [], set()
-    for i in ids:
-        if any((j, i) in want for j in taken):
-            back.add(i)
-        else:
-            taken.append(i)
-    assert {r[0] for r in neighbours.held_back(spark.createDataFrame(sorted(want), "first long, then long")).collect()} == back
