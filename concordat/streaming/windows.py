@@ -25,17 +25,26 @@ def first_replies(replies: DataFrame, key: str, ts: str, late: str) -> DataFrame
     return replies.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Process what is there now and give the resulting table. Progress is kept in a checkpoint, so a lost run resumes.
+def run_to_table(stream: DataFrame, name: str, mode: str, out: str | None = None) -> DataFrame:
+    """Process what is there now and give the resulting table; ``out`` names the folder of a run to go on with.
 
-    A batch that runs again after a failure writes its own folder again, so no row comes twice.
+    Progress is kept in a checkpoint, so a lost run resumes. A batch that runs again after a failure writes its own folder
+    again, so no row comes twice; the same holds for its row of ``progress``.
     """
     spark = stream.sparkSession
-    out = shared_dir(spark, name)
+    out = out or shared_dir(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data" if mode == "complete" else f"{out}/data/batch-{number}")
+        data = f"{out}/data" if mode == "complete" else f"{out}/data/batch-{number}"
+        batch.write.mode("overwrite").parquet(data)
+        n = spark.read.schema(batch.schema).parquet(data).count()
+        spark.createDataFrame([(number, n)], "batch bigint, n bigint").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{out}/progress/batch-{number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/data")
+
+
+def progress(spark: SparkSession, out: str) -> DataFrame:
+    """(batch, n, at): what each finished batch of a run has written."""
+    return spark.read.schema("batch bigint, n bigint, at timestamp").option("recursiveFileLookup", "true").parquet(f"{out}/progress")
