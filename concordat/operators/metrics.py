@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +53,52 @@ def shares(rows: DataFrame, column: str, *by: str) -> DataFrame:
     return t.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*[F.col(b) for b in by] or [F.lit(0)])), 6))
 
 
+#: By how much Stirling's formula falls short of log n! for small n; beyond, four terms of its series do.
+_SHORT = [0.0] + [math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) for n in range(1, 16)]
+TERMS, LARGE = 1_000, 50_000  # terms that the sum of a tail takes at most, and the count beyond which it isn't summed
+
+
+def _fold(n: int, start: dict[str, Column], step: Callable[[dict[str, Column], Column], dict[str, Column]], out: str) -> Column:
+    """``n`` steps over named numbers, in constant memory."""
+    struct = lambda x: F.struct(*[v.alias(k) for k, v in x.items()])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), struct(start), lambda a, i: struct(step({k: a[k] for k in start}, i)), lambda a: a[out])
+
+
+def _short(n: Column) -> Column:
+    x = F.greatest(n, F.lit(1.0))
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    return F.when(n < 16, F.element_at(F.array(*[F.lit(v) for v in _SHORT]), (F.least(n, F.lit(15.0)) + 1).cast("int"))).otherwise(series)
+
+
+def _deviance(d: Column, m: Column) -> Column:
+    """m/2 ((1-d) log(1-d) + (1+d) log(1+d)), without loss of digits for small d."""
+    low = F.when(d >= 1, 0.0).otherwise((1 - d) * F.log1p(F.when(d < 1, -d)))
+    return m / 2 * (low + (1 + d) * F.log1p(d))
+
+
+def normal_tail(w: Column) -> Column:
+    """P(Z > w) of a standard normal Z for w >= 0: the series of the distribution function near 0, a continued fraction beyond."""
+    density = F.exp(-w * w / 2) / math.sqrt(2 * math.pi)
+    near = _fold(60, {"t": w, "s": w}, lambda a, i: {"t": a["t"] * w * w / (2 * i + 1), "s": a["s"] + a["t"] * w * w / (2 * i + 1)}, "s")
+    far = _fold(60, {"f": w}, lambda a, i: {"f": w + (61 - i) / F.greatest(a["f"], F.lit(1e-300))}, "f")
+    return F.when(w < 3, 0.5 - density * near).otherwise(density / far)
+
+
 def mcnemar(a_only: Column, b_only: Column) -> Column:
-    """Exact two-sided p of discordant counts: twice the lower binomial tail at 1/2, at most 1; 1 without any.
+    """Two-sided p of discordant counts: twice the lower binomial tail at 1/2, at most 1; 1 without any.
 
-    Summed from logarithms, so that counts of thousands don't overflow.
+    The tail is the probability of the smaller count, from its deviance, times the sum of the ratios of those below it. Beyond
+    ``LARGE`` counts, where that sum gets long, it is the saddlepoint tail with the continuity correction (Lugannani and Rice,
+    1980; Daniels, 1987), whose relative error falls with the counts (some 1e-6 there).
     """
-    m, k = a_only + b_only, F.least(a_only, b_only)
-    # log C(m, i) - m log 2, term by term by the ratio of neighbours
-    step = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1))),
-        F.struct((-m * F.log(F.lit(2.0))).alias("l"), F.exp(-m * F.log(F.lit(2.0))).alias("s")),
-        lambda acc, i: F.when(i <= k, F.struct(
-            (acc["l"] + F.log((m - i + 1).cast("double") / i)).alias("l"),
-            (acc["s"] + F.exp(acc["l"] + F.log((m - i + 1).cast("double") / i))).alias("s"),
-        )).otherwise(acc),
-        lambda acc: acc["s"],
-    )
-    return F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * step))
+    m, k = (a_only + b_only).cast("double"), F.least(a_only, b_only).cast("double")
+    d = (m - 2 * k) / m
+    at_k = F.exp(-_deviance(d, m) + _short(m) - _short(k) - _short(m - k)) * F.when(k == 0, 1.0).otherwise(F.sqrt(m / (2 * math.pi * k * (m - k))))
+    step = lambda a, i: {"t": a["t"] * F.greatest(k - i + 1, F.lit(0.0)) / (m - k + i), "s": a["s"] + a["t"] * F.greatest(k - i + 1, F.lit(0.0)) / (m - k + i)}
+    summed = at_k * _fold(TERMS, {"t": F.lit(1.0), "s": F.lit(1.0)}, step, "s")
+    e = (m - 2 * k - 1) / m  # half a count nearer to the middle
+    w = F.sqrt(2 * _deviance(e, m))
+    # log((1+e)/(1-e)) is the saddlepoint, 2 sinh of its half is 2e / sqrt(1-e*e)
+    u = 2 * e / F.sqrt(1 - e * e) * F.sqrt(m * (1 - e * e)) / 2
+    saddle = normal_tail(w) + F.exp(-w * w / 2) / math.sqrt(2 * math.pi) * (1 / u - 1 / w)
+    return F.when(m == 0, 1.0).when(2 * k + 1 >= m, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(m > LARGE, saddle).otherwise(summed)))
