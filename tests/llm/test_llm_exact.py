@@ -538,3 +538,42 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
         out = corpus_pipeline.run(spark, folder)
         assert out.count() == 0 if "documents" in empty else 0 < out.count() <= 60
         assert {"node", "seg", "mix_slot_before", "mix_slot"} <= set(out.columns)
+
+
+LONG = "\n".join(f"<div>{'Some long sentence of an article that goes on. ' * 9}{i}</div>" for i in range(6))
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="layout has-sidebar">', '<div class="post no-comments">', '<div class="legal news">', '<form id="aspnetForm">'])
+def test_html_wrappers(wrapper):
+    """A class word on what holds the article loses nothing of it, and what stands beside it stays out."""
+    tag = wrapper[1:].split()[0]
+    around = lambda x: f'<body><nav><a href="x">Home</a></nav>{x}<div class="comments">{"A reader says so. " * 9}</div><footer>us</footer></body>'
+    assert main_text(around(f"{wrapper}{LONG}</{tag}>")) == main_text(around(f"<div>{LONG}</div>"))
+    assert main_text(around(f"{wrapper}{LONG}</{tag}>")).count("\n") == 5
+
+
+def test_html_clusters_decide(spark):
+    """Without marks, class words and boilerplate elements the clusters alone find the article; with no threshold they don't."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    bare = lambda p: re.sub(r"</?(article|main|nav|footer|aside|header|form)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", re.sub(r'\s(class|id|role)="[^"]*"', "", p))
+    got = want = off = 0
+    for p in pages:
+        lines = main_text(p).split("\n")
+        found, every = (main_text(bare(p), **k).split("\n") for k in ({}, {"threshold": lambda x: -1.0}))
+        want += sum(map(len, lines))
+        got += sum(len(x) for x in found if x in lines)
+        off += sum(len(x) for x in every if x not in lines) > sum(len(x) for x in found if x not in lines)
+    assert got >= 0.9 * want and off >= 0.5 * len(pages)
+
+
+def test_html_threshold_matters(spark):
+    """With article marks taken away, switching the threshold off lets lowered lines in, nearly everywhere."""
+    pages = [re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    assert sum(main_text(p, threshold=lambda x: -1.0) != main_text(p) for p in pages) > 0.9 * len(pages)
+
+
+def test_html_deep_and_long():
+    deep = "<div>" * 3000 + "text in the deep " * 50 + "</div>" * 3000
+    assert main_text(deep).startswith("text in the deep")
+    long = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(4000))
+    assert main_text(long).count("\n") == 3999
