@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,13 +127,31 @@ def cited_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class _Blocks(HTMLParser):
-    """Text between closing block tags; scripts and styles left out."""
+    """Text between closing block tags; scripts and styles left out. Broken markup never fails: a marked section is a comment
+    up to the next ``>``, and an open comment takes the rest of the page."""
 
     FLUSH = frozenset(("p", "div", "li", "h1", "h2", "h3", "h4", "br", "tr"))
 
     def __init__(self):
         super().__init__()
-        self.out, self.buffer, self.mute = [], [], 0
+        self.out, self.buffer, self.mute, self.ending = [], [], 0, False
+
+    def close(self) -> None:
+        self.ending = True
+        super().close()
+        self.flush(False)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self._past(">", i + 3)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._past("-->", i + 4)
+
+    def _past(self, mark: str, i: int) -> int:
+        at = self.rawdata.find(mark, i)
+        if at < 0:
+            return len(self.rawdata) if self.ending else -1
+        return at + len(mark)
 
     def flush(self, heading: bool) -> None:
         text = " ".join("".join(self.buffer).split())
@@ -157,17 +175,17 @@ class _Blocks(HTMLParser):
 
 @query()
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of pages; HTML needs a parser, which runs in Arrow batches."""
+    """Blocks of pages; HTML needs a parser, which runs in Arrow batches. A page's rows leave before the next is parsed."""
+    names = ["page_id", "pos", "text", "heading"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for page, html in zip(f["page_id"], f["html"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page, html in zip(b.column("page_id"), b.column("html"), strict=True):
                 p = _Blocks()
-                p.feed(html or "")
+                p.feed(html.as_py() or "")
                 p.close()
-                p.flush(False)
-                rows += [(page, i, t, h) for i, (t, h) in enumerate(p.out)]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "text", "heading"])
+                n = len(p.out)
+                columns = [pa.array([page.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([t for t, _ in p.out], pa.string()), pa.array([h for _, h in p.out], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id bigint, pos int, text string, heading boolean")
+    return table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, pos int, text string, heading boolean")
