@@ -16,8 +16,11 @@ broadcast with its q-gram index against all documents, so what is broadcast is b
 written before the next begins. Items longer than ``PATTERN`` bytes are cut into overlapping patterns, of which one is
 enough. Long texts are scanned in pieces that overlap after white space is reduced.
 
-Edge cases: null or empty texts and items never match; an item of fewer than q bytes is never found, one of fewer than
-2 * q + ``LEAST`` - 1 bytes only without edits; repeated rows give repeated results only if their doc_id differs; a null
+Items of fewer than q bytes, which have no q-gram, are found by an Aho-Corasick automaton, without edits and only where no
+letter or digit stands next to them.
+
+Edge cases: null or empty texts and items never match; an item of fewer than 2 * q + ``LEAST`` - 1 bytes is found only
+without edits; repeated rows give repeated results only if their doc_id differs; a null
 doc_id is kept by ``uncontaminated`` and not searched; extra columns are ignored.
 """
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +39,8 @@ from ._text import LOWER, SPACE, chunks, if_few, mix, texts_of, written
 
 Q, EDITS, PATTERN, BLOCK_CHARS, PIECE, LEAST = 16, 0.05, 400, 4_000_000, 1 << 20, 4
 TABLE_BITS = 22
+WORD = np.zeros(256, bool)  # ASCII letters and digits, and bytes of other characters
+WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 ENTRIES, CELLS = 1 << 21, 1 << 20  # of shared q-grams, and of a row of alignments, held at a time
 
 
@@ -215,6 +221,43 @@ def matches(texts: list[bytes], index: GramIndex) -> list[tuple[int, int, int, i
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
+class ShortItems:
+    """Items without a q-gram: an automaton over their reduced bytes as Latin-1 characters."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items: dict[str, list[int]] = {}
+        for i, text in items:
+            a, _ = normalised(np.frombuffer(text.encode().strip(), np.uint8))
+            if 0 < len(a) < Q:
+                self.items.setdefault(a.tobytes().decode("latin-1"), []).append(i)
+
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for t, ids in self.items.items():
+            out.add_word(t, (len(t), ids))
+        out.make_automaton()
+        return out
+
+
+def short_matches(texts: list[bytes], automaton: ahocorasick.Automaton) -> list[tuple[int, int, int, int, int]]:
+    """As ``matches``: (document, item, 0, start, end) of the first place of each short item in each text."""
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for a, doc, place, first in _pieces(texts):
+        if not len(a):
+            continue
+        joins = WORD[a]
+        # a neighbour counts if it is of the same text
+        edge = np.zeros(len(a) + 1, bool)
+        edge[first[(first > 0) & (first <= len(a))]] = edge[0] = edge[-1] = True
+        for end, (n, ids) in automaton.iter(a.tobytes().decode("latin-1")):
+            start = end + 1 - n
+            if doc[start] != doc[end] or joins[start] and not edge[start] and joins[start - 1] or joins[end] and not edge[end + 1] and joins[end + 1]:
+                continue
+            for i in ids:
+                best.setdefault((int(doc[start]), i), (int(place[start]), int(place[end]) + 1))
+    return [(d, i, 0, *v) for (d, i), v in sorted(best.items())]
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, start, end): the passages of benchmark items found in documents."""
     spark = documents.sparkSession
@@ -225,14 +268,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block_chars: int =
     out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").distinct()
-        index = GramIndex.build([(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()])
-        if index is None:
+        pairs = [(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()]
+        index, short = GramIndex.build(pairs), ShortItems(pairs)
+        if index is None and not short.items:
             continue
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast((index, short))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, short = shared.value
+            automaton = short.automaton() if short.items else None
             for b in batches:
-                rows = matches(texts_of(b), shared.value)
+                texts = texts_of(b)
+                rows = matches(texts, index) if index else []
+                rows += short_matches(texts, automaton) if automaton else []
                 ids = b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
                 rest = [pa.array([r[j] for r in rows], pa.int64()) for j in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([ids, *rest], ["doc_id", "item_id", "edits", "start", "end"])

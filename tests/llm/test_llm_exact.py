@@ -577,3 +577,42 @@ def test_html_deep_and_long():
     assert main_text(deep).startswith("text in the deep")
     long = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(4000))
     assert main_text(long).count("\n") == 3999
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_mixing_pools(spark, monkeypatch, weighted):
+    """More sources than one schedule takes: every row once, in one order, each source within two blocks of its weight."""
+    monkeypatch.setattr(source_mixing, "MAX_SOURCES", 8)
+    rnd = random.Random(4)
+    sizes = {f"s{i}": rnd.randint(1, 9) for i in range(40)} | {"big": 300, None: 7}
+    rows = [(i, f"t{i}", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {f"s{i}": 1.0 + i % 3 for i in range(0, 40, 2)} | {"big": 5.0} if weighted else None
+    out = source_mixing.mixed(docs, weights, block=2).orderBy("mix_position").collect()
+    assert [r["mix_position"] for r in out] == list(range(len(rows))) and len({r["doc_id"] for r in out}) == len(rows)
+    assert all(r["mix_source"] == r["source"] for r in out)
+    slots = sorted({(r["mix_slot"], r["mix_source"] or "", r["mix_block"]) for r in out})
+    assert [s for s, *_ in slots] == list(range(len(slots)))
+    by = {}
+    for _, s, j in slots:
+        assert by.setdefault(s, 0) == j
+        by[s] += 1
+    w = {s or "": math.sqrt(n) if weights is None else weights.get(s, 0.0) for s, n in sizes.items()}
+    total, served = sum(w.values()), dict.fromkeys(w, 0)
+    for t, (_, s, _) in enumerate(slots, 1):  # until the first source runs out
+        served[s] += 1
+        assert all(abs(served[x] - t * w[x] / total) < 2 for x in w)
+        if served[s] == by[s]:
+            break
+    if weights:
+        last = max(t for t, s, _ in slots if w[s] > 0)
+        assert all(w[s] > 0 for t, s, _ in slots if t <= last)
+
+
+def test_short_benchmark_items(spark):
+    docs = spark.createDataFrame([(1, "The  Cat\tsat."), (2, "concatenate"), (3, "cat"), (4, "a b"), (5, None), (6, "x" * 2_000_000 + " cat")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " the cat "), (11, "cat"), (12, "CAT"), (13, ""), (14, None), (15, "é"), (16, ".")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["edits"], r["start"], r["end"]) for r in decontamination.contaminated(docs, bench).collect()}
+    far = 2_000_001
+    assert got == {(1, 10, 0, 0, 8), (1, 11, 0, 5, 8), (1, 12, 0, 5, 8), (3, 11, 0, 0, 3), (3, 12, 0, 0, 3), (1, 16, 0, 12, 13), (6, 11, 0, far, far + 3), (6, 12, 0, far, far + 3)}
+    assert {r["doc_id"] for r in decontamination.uncontaminated(docs, bench).collect()} == {2, 4, 5}
