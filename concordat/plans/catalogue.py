@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, crowd, evaluation, history, learning, reshaping, retrieval, routing, runs, sampling, scalars, streams, voting  # noqa: F401
+from . import calibration, crowd, evaluation, files, history, learning, reshaping, retrieval, routing, runs, sampling, scalars, streams, voting  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

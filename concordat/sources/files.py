@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import office
+
 ANNOTATION = "struct<model: string, label: string, confidence: double, reason: string, error: string, prob: double, evidence: string, evidence_ok: boolean>"
 RESULT = f"id string, text string, label string, status string, confidence double, note string, gold string, round1 array<{ANNOTATION}>, round2 array<{ANNOTATION}>, arbiter {ANNOTATION}"
 
@@ -16,18 +18,22 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 
 
 def read_items(spark: SparkSession, path: str, text: str = "text", key: str = "id", label: str | None = None) -> DataFrame:
-    """(seq, id, text, label) of a CSV or JSON-lines path.
+    """(seq, id, text, label) of a CSV or JSON-lines path, or of the first sheets of workbooks.
 
     seq numbers all rows in file order, also blank ones; rows with blank text then go; an empty id is replaced by seq.
     """
-    if path.rstrip("/").endswith((".jsonl", ".json")):
+    place = ["_metadata.file_path", F.monotonically_increasing_id()]
+    if path.rstrip("/").endswith(".xlsx"):
+        raw, place = office.table_of(office.sheet_rows(office.files(spark, path), first_only=True)), ["_path", "_row"]
+        raw = raw.repartitionByRange(*place)
+    elif path.rstrip("/").endswith((".jsonl", ".json")):
         raw = spark.read.option("primitivesAsString", True).json(path)
     else:
         raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding_of(spark, path))
     missing = [c for c in (text, *([label] if label else [])) if c not in raw.columns]
     if missing:
         raise ValueError(f"{path} has no column {missing[0]!r}; it has {raw.columns}")
-    rows = raw.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    rows = raw.withColumn("_at", F.struct(*place))
     parts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
     before = parts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per partition
     numbered = rows.withColumn("p", F.spark_partition_id()).withColumn("rn", F.row_number().over(Window.partitionBy("p").orderBy("_at")))

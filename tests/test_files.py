@@ -11,7 +11,7 @@ import pytest
 from conftest import REPO, SF
 from pyspark.sql import functions as F
 
-from concordat.sources import files
+from concordat.sources import files, office
 
 
 def test_items(spark, tmp_path):
@@ -26,6 +26,12 @@ def test_items(spark, tmp_path):
         assert "body" in str(e)
 
 
+def test_workbook_items(spark, tmp_path):
+    p = tmp_path / "items.xlsx"
+    p.write_bytes(office.workbook({"s": [["id", "text", "label"], ["7", "a", "x"], [None, "  ", "y"], [None, "c"]], "other": [["no"]]}))
+    assert sorted(tuple(r) for r in files.read_items(spark, str(p), label="label").collect()) == [(1, "7", "a", "x"), (3, "3", "c", None)]
+
+
 def test_gbk(spark, tmp_path):
     (tmp_path / "g.csv").write_bytes("id,text\n1,中文\n".encode("gbk"))
     assert files.encoding_of(spark, str(tmp_path / "g.csv")) == "GBK"
