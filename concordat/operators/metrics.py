@@ -53,6 +53,21 @@ def shares(rows: DataFrame, column: str, *by: str) -> DataFrame:
     return t.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*[F.col(b) for b in by] or [F.lit(0)])), 6))
 
 
+#: Changes between two runs that alert (fixed values).
+HUMAN_UP, AUTO_DOWN, ACC_DOWN, LABELS_MOVED = 0.08, 0.10, 0.05, 0.15
+
+
+def drift(runs: DataFrame) -> DataFrame:
+    """``runs(run, human_rate, auto_rate, acc, criteria, tv)`` with alerts against the run before, and whether both had the
+    same criteria; one row a run, so one window over all is small."""
+    w = Window.partitionBy(F.lit(0)).orderBy("run")
+    rise = lambda c: F.round(F.col(c) - F.lag(c).over(w), 6)
+    return runs.withColumns({
+        "human_up": rise("human_rate") >= HUMAN_UP, "auto_down": rise("auto_rate") <= -AUTO_DOWN, "acc_down": rise("acc") <= -ACC_DOWN,
+        "labels_moved": F.col("tv") >= LABELS_MOVED, "same_criteria": F.col("criteria") == F.lag("criteria").over(w),
+    })
+
+
 #: By how much Stirling's formula falls short of log n! for small n; beyond, four terms of its series do.
 _SHORT = [0.0] + [math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) for n in range(1, 16)]
 TERMS, LARGE = 1_000, 50_000  # terms that the sum of a tail takes at most, and the count beyond which it isn't summed

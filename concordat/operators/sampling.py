@@ -68,6 +68,14 @@ def uncertainty(valid_votes: DataFrame, items: DataFrame) -> DataFrame:
     return items.select("item_id").distinct().join(t, "item_id", "left").select("item_id", F.when(F.coalesce("n", F.lit(0)) < 2, 1.0).otherwise(score).alias("score"))
 
 
+def reasons(valid_votes: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, reason): in words, why an item stands where it does in a queue by uncertainty."""
+    t = valid_votes.groupBy("item_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("k"), F.round(F.avg("confidence") * 100).cast("int").alias("pct"))
+    t = items.select("item_id").distinct().join(t, "item_id", "left")
+    some = F.when(F.col("k") > 1, F.format_string("%d models gave %d labels, mean confidence %d%%", "n", "k", "pct")).otherwise(F.format_string("models agree, mean confidence %d%%", "pct"))
+    return t.select("item_id", F.when(F.coalesce("n", F.lit(0)) < 2, "fewer than 2 valid answers").otherwise(some).alias("reason"))
+
+
 def suspects(valid_votes: DataFrame, gold: DataFrame, min_agree: int = 2, min_conf: float = 0.75) -> DataFrame:
     """Items on which several confident votes agree on a label that isn't gold."""
     v = valid_votes.join(gold, "item_id")

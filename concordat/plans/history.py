@@ -105,14 +105,13 @@ def tv_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(known, "run", "left_semi").join(known.select((F.col("run") + 1).alias("run")), "run", "left_semi")
 
 
-@query(f"""WITH {_TV}, l AS (SELECT run, human_rate, acc, lag(human_rate) OVER (ORDER BY run) AS ph, lag(acc) OVER (ORDER BY run) AS pa FROM rs)
-SELECT run, human_rate, acc, human_rate - ph >= 0.08 AS human_up, pa - acc >= 0.05 AS acc_down, tv >= 0.15 AS labels_moved FROM l JOIN tv USING (run)""")
+@query(f"""WITH {_TV}, l AS (SELECT run, human_rate, round(1 - human_rate, 6) AS auto_rate, acc, md5(CAST(run // 3 AS varchar)) AS criteria, lag(human_rate) OVER (ORDER BY run) AS ph, lag(acc) OVER (ORDER BY run) AS pa, lag(run) OVER (ORDER BY run) AS pr FROM rs)
+SELECT run, human_rate, auto_rate, acc, round(human_rate - ph, 6) >= 0.08 AS human_up, round(human_rate - ph, 6) >= 0.10 AS auto_down, round(pa - acc, 6) >= 0.05 AS acc_down, tv >= 0.15 AS labels_moved, criteria = md5(CAST(pr // 3 AS varchar)) AS same_criteria FROM l JOIN tv USING (run)""")
 def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run against the one before; one row a run, so the window over all runs is small."""
+    """Each run against the one before; the criteria change every third week, and then moves may come from them."""
     r = weekly(spark, sf_dir).groupBy("run").agg(rate(F.count_if(F.col("value") < 20), F.count("*")).alias("human_rate"), F.round(F.avg((F.col("user_id") % 3 > 0).cast("double")), 6).alias("acc"))
-    w = Window.partitionBy(F.lit(0)).orderBy("run")
-    r = r.withColumn("ph", F.lag("human_rate").over(w)).withColumn("pa", F.lag("acc").over(w)).join(tv_distance(spark, sf_dir), "run")
-    return r.select("run", "human_rate", "acc", (F.col("human_rate") - F.col("ph") >= 0.08).alias("human_up"), (F.col("pa") - F.col("acc") >= 0.05).alias("acc_down"), (F.col("tv") >= 0.15).alias("labels_moved"))
+    r = r.withColumn("auto_rate", F.round(1 - F.col("human_rate"), 6)).withColumn("criteria", F.md5(F.floor(F.col("run") / 3).cast("string")))
+    return metrics.drift(r.join(tv_distance(spark, sf_dir), "run", "left")).where("tv IS NOT NULL").select("run", "human_rate", "auto_rate", "acc", "human_up", "auto_down", "acc_down", "labels_moved", "same_criteria")
 
 
 @query(f"""WITH {ANN_SQL}, v AS (SELECT item_id, model, label FROM ann WHERE {OK}), c AS (SELECT item_id FROM v GROUP BY item_id HAVING count(DISTINCT model) = 4)
@@ -124,16 +123,30 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("n = 4").drop("n")
 
 
-@query(f"""{BASE}, {REVIEW_SQL}, r1 AS (SELECT item_id, count(*) FILTER (WHERE model <> 'm3') AS c FROM ann GROUP BY item_id), r2 AS (SELECT item_id, count(*) FILTER (WHERE model <> 'm3' AND label2 IS NOT NULL) AS c FROM ann GROUP BY item_id)
-SELECT count(*) AS n, round(CAST(count(*) FILTER (WHERE status <> 'need_human') AS double) / count(*), 6) AS auto_rate, count(*) FILTER (WHERE status = 'need_human') AS human,
-  CAST(sum(r1.c + CASE WHEN status <> 'consensus' THEN r2.c ELSE 0 END) AS bigint) AS llm_calls, round(CAST(sum(r1.c + CASE WHEN status <> 'consensus' THEN r2.c ELSE 0 END) AS double) / count(*), 6) AS calls_per_item FROM routed JOIN r1 USING (item_id) JOIN r2 USING (item_id)""")
+@query(f"""{BASE}, pr AS (SELECT item_id, model, (40 + item_id % 50) * 0.5 + out_tokens AS units, label2, CASE model WHEN 'm0' THEN 2.0 WHEN 'm1' THEN 4.0 WHEN 'm2' THEN 8.0 ELSE 0.0 END AS price FROM ann),
+c AS (SELECT item_id, count(*) FILTER (WHERE model <> 'm3') AS c1, count(*) FILTER (WHERE model <> 'm3' AND label2 IS NOT NULL) AS c2, CAST(sum(units * price) AS double) / 1e6 AS k1, CAST(coalesce(sum(units * price) FILTER (WHERE label2 IS NOT NULL), 0) AS double) / 1e6 AS k2 FROM pr GROUP BY item_id),
+j AS (SELECT r.item_id, r.status, r.label, gold, status <> 'need_human' AS auto, c1 + CASE WHEN status <> 'consensus' THEN c2 ELSE 0 END AS calls, k1 + CASE WHEN status <> 'consensus' THEN k2 ELSE 0 END AS cost FROM routed r JOIN c USING (item_id) LEFT JOIN gold USING (item_id))
+SELECT count(*) AS n, round(CAST(count(*) FILTER (WHERE auto) AS double) / count(*), 6) AS auto_rate, count(*) FILTER (WHERE NOT auto) AS human, CAST(sum(calls) AS bigint) AS llm_calls,
+  round(CAST(sum(calls) AS double) / count(*), 6) AS calls_per_item, round(sum(cost), 5) AS cost, count(gold) AS gold_n, round(CAST(count(*) FILTER (WHERE label = gold) AS double) / count(gold), 6) AS acc,
+  round(CAST(count(*) FILTER (WHERE auto AND label = gold) AS double) / count(*) FILTER (WHERE auto AND gold IS NOT NULL), 6) AS auto_acc,
+  round(CAST(count(*) FILTER (WHERE gold IS NOT NULL AND (NOT auto OR label = gold)) AS double) / count(gold), 6) AS with_human FROM j""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run's totals; m3 is local and costs no call, reviews happen where the first round disagrees."""
-    c = annotations(spark, sf_dir).where("model <> 'm3'").groupBy("item_id").agg(F.count("*").alias("c1"), F.count("label2").alias("c2"))
-    j = routed(spark, sf_dir).join(c, "item_id", "left")
-    auto = F.col("status") != "need_human"
-    calls = F.sum(F.coalesce("c1", F.lit(0)) + F.when(F.col("status") != "consensus", F.coalesce("c2", F.lit(0))).otherwise(0))
-    return j.agg(F.count("*").alias("n"), rate(F.count_if(auto), F.count("*")).alias("auto_rate"), F.count_if(~auto).alias("human"), calls.alias("llm_calls"), rate(calls, F.count("*")).alias("calls_per_item"))
+    """A run's totals: calls, cost and accuracy. m3 is local and costs nothing; reviews happen where the first round disagrees."""
+    ann = annotations(spark, sf_dir)
+    spent = ((40 + F.col("item_id") % 50) * 0.5 + F.col("out_tokens")) * _price(F.col("model")) / 1e6
+    paid = F.col("model") != "m3"
+    c = ann.groupBy("item_id").agg(
+        F.count_if(paid).alias("c1"), F.count_if(paid & F.col("label2").isNotNull()).alias("c2"), F.sum(spent).alias("k1"), F.sum(F.when(F.col("label2").isNotNull(), spent).otherwise(0.0)).alias("k2")
+    )
+    j = routed(spark, sf_dir).join(c, "item_id", "left").join(gold(spark, sf_dir), "item_id", "left")
+    again = F.col("status") != "consensus"
+    j = j.withColumn("calls", F.col("c1") + F.when(again, F.col("c2")).otherwise(0)).withColumn("spent", F.col("k1") + F.when(again, F.col("k2")).otherwise(0.0))
+    auto, right, known = F.col("status") != "need_human", F.col("label") == F.col("gold"), F.col("gold").isNotNull()
+    return j.agg(
+        F.count("*").alias("n"), rate(F.count_if(auto), F.count("*")).alias("auto_rate"), F.count_if(~auto).alias("human"), F.sum("calls").alias("llm_calls"), rate(F.sum("calls"), F.count("*")).alias("calls_per_item"),
+        F.round(F.sum("spent"), 5).alias("cost"), F.count("gold").alias("gold_n"), rate(F.count_if(right), F.count("gold")).alias("acc"),
+        rate(F.count_if(auto & right), F.count_if(auto & known)).alias("auto_acc"), rate(F.count_if(known & (~auto | right)), F.count("gold")).alias("with_human"),
+    )
 
 
 _EX_SQL = "ex AS (SELECT doc_id AS seq, text, lang AS label FROM documents WHERE doc_id % 3 <> 0), nw AS (SELECT doc_id AS seq, text, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS label FROM documents WHERE doc_id % 2 = 0)"
@@ -225,9 +238,20 @@ def need_human_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRICE_SQL = "CASE model WHEN 'm0' THEN 2.0 WHEN 'm1' THEN 4.0 WHEN 'm2' THEN 8.0 ELSE 0.0 END"
 
 
-@query(f"""WITH {ANN_SQL} SELECT model, count(*) AS calls, count(*) FILTER (WHERE error IS NOT NULL) AS errors, CAST(sum(out_tokens) AS bigint) AS out_tokens, round(CAST(sum(out_tokens) AS double) * {_PRICE_SQL} / 1e6, 6) AS cost FROM ann GROUP BY model""")
+@query(f"""WITH {ANN_SQL}, k AS (SELECT model, error, out_tokens, 40 + item_id % 50 AS in_tokens, substr({_KEY}, 1, 1) < '8' AS hit, ((40 + item_id % 50) * 0.5 + out_tokens) * {_PRICE_SQL} / 1e6 AS cost FROM ann)
+SELECT model, count(*) AS asked, count(*) FILTER (WHERE hit) AS cache_hits, count(*) FILTER (WHERE NOT hit) AS calls, count(*) FILTER (WHERE NOT hit AND error IS NOT NULL) AS errors,
+CAST(sum(CASE WHEN hit THEN 0 ELSE in_tokens END) AS bigint) AS in_tokens, CAST(sum(CASE WHEN hit THEN 0 ELSE out_tokens END) AS bigint) AS out_tokens,
+round(CAST(sum(CASE WHEN hit THEN 0 ELSE cost END) AS double), 5) AS cost, round(CAST(sum(CASE WHEN hit THEN cost ELSE 0 END) AS double), 5) AS saved FROM k GROUP BY model""")
 def usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cost_by_model(spark, sf_dir)
+    """Calls, cache hits, errors, tokens, cost and what the cache saved, by model; a prompt has 40 tokens and those of its item."""
+    k = annotations(spark, sf_dir).withColumn("key", T.chain_hash(F.lit("p"), F.col("model"), F.col("item_id").cast("string"))).withColumn("in_tokens", 40 + F.col("item_id") % 50)
+    k = k.select("model", "error", "in_tokens", "out_tokens", "key", T.cost(F.col("in_tokens"), F.col("out_tokens"), _price(F.col("model")) / 2, _price(F.col("model"))).alias("cost"))
+    k = k.join(k.where(F.substring("key", 1, 1) < "8").select("key").distinct().withColumn("hit", F.lit(True)), "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    new = lambda c: F.sum(F.when(F.col("hit"), 0).otherwise(F.col(c)))
+    return k.groupBy("model").agg(
+        F.count("*").alias("asked"), F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("calls"), F.count_if(~F.col("hit") & F.col("error").isNotNull()).alias("errors"),
+        new("in_tokens").alias("in_tokens"), new("out_tokens").alias("out_tokens"), F.round(new("cost"), 5).alias("cost"), F.round(F.sum(F.when(F.col("hit"), F.col("cost")).otherwise(0.0)), 5).alias("saved"),
+    )
 
 
 def _price(model):

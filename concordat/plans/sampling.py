@@ -78,15 +78,25 @@ def noise_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.suspects(votes.valid(annotations(spark, sf_dir)), gold(spark, sf_dir), min_conf=0.5)
 
 
-@query(f"""{BASE}, x AS (SELECT item_id, count(DISTINCT CASE WHEN error IS NULL THEN label END) > 1 OR count(*) FILTER (WHERE error IS NOT NULL OR label IS NULL) > 0 AS dis FROM ann GROUP BY item_id),
+@query(f"""{BASE}, {_UNC}, x AS (SELECT item_id, count(DISTINCT CASE WHEN error IS NULL THEN label END) > 1 OR count(*) FILTER (WHERE error IS NOT NULL OR label IS NULL) > 0 AS dis FROM ann GROUP BY item_id),
 spot AS (SELECT item_id FROM routed WHERE status = 'consensus' ORDER BY md5(concat('0|', CAST(item_id AS varchar))), item_id LIMIT 30)
-SELECT 'need_human' AS scope, item_id FROM routed WHERE status = 'need_human' UNION ALL SELECT 'disagree', item_id FROM x WHERE dis UNION ALL SELECT 'spot', item_id FROM spot""")
+SELECT 'need_human' AS scope, item_id, CAST(NULL AS double) AS score FROM routed WHERE status = 'need_human' UNION ALL SELECT 'disagree', item_id, NULL FROM x WHERE dis UNION ALL SELECT 'spot', item_id, NULL FROM spot
+UNION ALL SELECT 'active', item_id, score FROM unc UNION ALL SELECT 'all', item_id, NULL FROM routed""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = routed(spark, sf_dir)
-    need = r.where("status = 'need_human'").select(F.lit("need_human").alias("scope"), "item_id")
-    dis = votes.disagreement(annotations(spark, sf_dir)).where("disagree").select(F.lit("disagree").alias("scope"), "item_id")
-    spot = sampling.sample(r.where("status = 'consensus'"), 30, "item_id").select(F.lit("spot").alias("scope"), "item_id")
-    return need.unionByName(dis).unionByName(spot)
+    """Items by scope of review; the active scope's order is by falling score, then by id as text."""
+    r, ann = routed(spark, sf_dir), annotations(spark, sf_dir)
+    one = lambda df, scope: df.select(F.lit(scope).alias("scope"), "item_id", F.lit(None).cast("double").alias("score"))
+    out = one(r.where("status = 'need_human'"), "need_human").unionByName(one(votes.disagreement(ann).where("disagree"), "disagree"))
+    out = out.unionByName(one(sampling.sample(r.where("status = 'consensus'"), 30, "item_id"), "spot")).unionByName(one(r, "all"))
+    return out.unionByName(sampling.uncertainty(votes.valid(ann), ann).select(F.lit("active").alias("scope"), "item_id", "score"))
+
+
+@query(f"""WITH {ANN_SQL}, t AS (SELECT i.item_id, count(v.label) AS n, count(DISTINCT v.label) AS k, CAST(round(avg(v.confidence) * 100) AS int) AS pct
+FROM (SELECT DISTINCT item_id FROM ann) i LEFT JOIN (SELECT * FROM ann WHERE {OK}) v USING (item_id) GROUP BY i.item_id)
+SELECT item_id, CASE WHEN n < 2 THEN 'fewer than 2 valid answers' WHEN k > 1 THEN concat(n, ' models gave ', k, ' labels, mean confidence ', pct, '%') ELSE concat('models agree, mean confidence ', pct, '%') END AS reason FROM t""")
+def queue_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ann = annotations(spark, sf_dir)
+    return sampling.reasons(votes.valid(ann), ann)
 
 
 @query(f"""WITH {ANN_SQL}, p AS (SELECT item_id, string_agg(DISTINCT label, '|' ORDER BY label) AS pair, count(DISTINCT label) AS n FROM ann WHERE {OK} GROUP BY item_id),
@@ -96,9 +106,9 @@ def disagreement_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round robin over the sets of labels that items disagree on; no set gives more rows than the limit."""
     p = votes.valid(annotations(spark, sf_dir)).groupBy("item_id").agg(F.array_sort(F.collect_set("label")).alias("l")).where(F.size("l") > 1)
     p = p.select("item_id", F.array_join("l", "|").alias("pair"))
-    w = Window.partitionBy("pair").orderBy("item_id")
-    r = p.withColumn("pass", F.row_number().over(w)).withColumn("seen", F.first("item_id").over(w)).where("pass <= 20")
-    return r.orderBy("pass", "seen").limit(20).select("item_id", "pair", "pass")
+    first = p.groupBy("pair").agg(F.min("item_id").alias("seen"))  # one row a set of labels
+    r = p.withColumn("pass", F.row_number().over(Window.partitionBy("pair").orderBy("item_id"))).where("pass <= 20")
+    return r.join(F.broadcast(first), "pair").orderBy("pass", "seen").limit(20).select("item_id", "pair", "pass")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE trim(text) <> '' ORDER BY doc_id LIMIT 25")
