@@ -5,7 +5,8 @@ shuffled aggregation, and posteriors come back by joining patterns to items. Eve
 patterns that sums a few statistics (of a size given by models and labels) under the parameters of the last one. Up to
 ``LOCAL_PATTERNS`` patterns the passes run on the driver; more of them stay a written table, over which each pass is a
 Spark job: tasks sum the statistics of their patterns, Spark adds them up, only parameters reach the driver. Both ways
-use the same functions and give the same result.
+use the same functions and give the same result. Beyond ``DENSE_WORKERS`` annotators, where parameters are too many for the
+driver or a closure, they are tables: see ``crowd_keyed``, whose results are the same too.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
+from . import crowd_keyed
 
-LOCAL_PATTERNS = 200_000
+LOCAL_PATTERNS, DENSE_WORKERS = 200_000, 1_000
 
 
 def patterned(votes: DataFrame, labels: list[str]) -> DataFrame:
@@ -255,8 +257,15 @@ def glad(d: LocalPatterns | SparkPatterns, n_iter: int = 30, rate: float = 0.1)
 METHODS = {"dawid_skene": dawid_skene, "wawa": wawa, "mace": mace, "glad": glad}
 
 
-def crowd_labels(votes: DataFrame, labels: list[str], method: str, local: int = LOCAL_PATTERNS, **options) -> DataFrame:
+def _many(votes: DataFrame, labels: list[str], most: int) -> bool:
+    """Are there more than ``most`` annotators?"""
+    return votes.where(F.col("label").isin(labels)).select("model").distinct().limit(most + 1).count() > most
+
+
+def crowd_labels(votes: DataFrame, labels: list[str], method: str, local: int = LOCAL_PATTERNS, workers: int = DENSE_WORKERS, **options) -> DataFrame:
     """(item_id, label, prob) by a crowd model; ties go to the first label."""
+    if _many(votes, labels, workers):
+        return crowd_keyed.labelled(crowd_keyed.METHODS[method](crowd_keyed.Votes(votes, labels), **options)[0], labels)
     items = patterned(votes, labels)
     d = counted(items, labels, local)
     if not d.workers:
@@ -265,8 +274,10 @@ def crowd_labels(votes: DataFrame, labels: list[str], method: str, local: int =
     return items.join(d.posteriors(post, votes.sparkSession), "pattern").select("item_id", "label", "prob")
 
 
-def worker_skill(votes: DataFrame, labels: list[str], method: str, local: int = LOCAL_PATTERNS, **options) -> DataFrame:
+def worker_skill(votes: DataFrame, labels: list[str], method: str, local: int = LOCAL_PATTERNS, workers: int = DENSE_WORKERS, **options) -> DataFrame:
     """(model, skill) by a crowd model."""
+    if _many(votes, labels, workers):
+        return crowd_keyed.METHODS[method](crowd_keyed.Votes(votes, labels), **options)[1]
     d = counted(patterned(votes, labels), labels, local)
     _, skill = METHODS[method](d, **options) if d.workers else (None, [])
     return votes.sparkSession.createDataFrame([(w, float(s)) for w, s in zip(d.workers, skill, strict=True)], "model string, skill double")
