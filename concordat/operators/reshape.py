@@ -114,3 +114,24 @@ def neighbours(p: DataFrame, n: int = 160) -> DataFrame:
     w = Window.partitionBy("doc").orderBy("n")
     side = lambda f: F.coalesce(F.left(f("text").over(w), F.lit(n)), F.lit(""))
     return p.withColumn("prev", side(F.lag)).withColumn("next", side(F.lead))
+
+
+#: Merging of scanned lines (fixed values): least score, gap in line heights and at least in points, least height, first height.
+SCORE, GAP_HEIGHTS, GAP, HEIGHT, FIRST_HEIGHT = 0.5, 0.8, 10.0, 8.0, 16.0
+
+
+def merged_lines(lines: DataFrame) -> DataFrame:
+    """(page, n, text): paragraphs of recognised ``lines(page, top, bottom, left, text, score)``.
+
+    Lines go from top to bottom, then by bottom, left and text; one that begins lower than the line before ends by more than
+    a share of that line's height begins a paragraph. Blank and doubtful lines are left out, a null score counts as sure;
+    n counts paragraphs that have text after cleaning, from 1.
+    """
+    kept = lines.where((F.trim("text") != "") & (F.coalesce("score", F.lit(1.0)) >= SCORE)).withColumn("text", F.trim("text"))
+    w = Window.partitionBy("page").orderBy("top", "bottom", "left", "text")
+    height = F.greatest(F.coalesce(F.lag(F.col("bottom") - F.col("top")).over(w), F.lit(FIRST_HEIGHT)), F.lit(HEIGHT))
+    far = F.coalesce(F.col("top") - F.lag("bottom").over(w) > F.greatest(height * GAP_HEIGHTS, F.lit(GAP)), F.lit(False))
+    kept = kept.withColumn("far", far.cast("int")).withColumn("part", F.sum("far").over(w)).withColumn("at", F.row_number().over(w))
+    parts = kept.groupBy("page", "part").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x"))
+    parts = parts.select("page", "part", clean(F.array_join(F.transform("x", lambda x: x["text"]), "")).alias("text")).where("text <> ''")
+    return parts.select("page", F.row_number().over(Window.partitionBy("page").orderBy("part")).alias("n"), "text")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import calibration, crowd, local_model, sampling, text_neighbours, votes
+from ..operators import rule_search as rule_searches
 from ..operators.metrics import rate
 from ..sources.tables import LABELS, WEIGHTS, annotations, gold, table
 from .calibration import crossfit, points
@@ -82,5 +83,25 @@ def active_queue(spark: SparkSession, sf_dir: str, alike: float = 0.9) -> DataFr
 @query()
 def local_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of the local model on the rest as labelled documents are added."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").dropDuplicates(["doc_id"])
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = d.groupBy("doc_id").agg(F.min_by("text", F.struct("text", "quality")).alias("text"), F.min_by("quality", F.struct("text", "quality")).alias("quality"))
     return local_model.gain(d.select(F.col("doc_id").alias("seq"), "text", F.col("quality").alias("label")), [20, 50], 30)
+
+
+def quality_rules() -> dict[str, Column]:
+    """Rules on a document's text that give a quality label or nothing."""
+    words = F.split("text", r"\s+")
+    share = lambda p: F.length(F.regexp_replace("text", p, "")) / F.greatest(F.length("text"), F.lit(1))
+    return {
+        "short": F.when(F.size(words) < 50, "0"), "repeats": F.when(F.size(F.array_distinct(words)) / F.size(words) < 0.3, "0"), "signs": F.when(share("[^#*$%&|<>]") > 0.02, "0"),
+        "capitals": F.when(share("[^A-Z]") > 0.06, "0"), "sentences": F.when(F.regexp_count("text", F.lit(r"[.!?]\s")) >= 3, "1"), "long": F.when(F.size(words) >= 200, "1"),
+    }
+
+
+@query()
+def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search for rules of quality, from one rule on; two thirds of the labelled documents tune, the others are held out."""
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("string").alias("gold"))
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").join(labels, "doc_id")
+    out = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return rule_searches.search(rows.where(~out), rows.where(out), quality_rules(), ("long",), "gold", "0")

@@ -189,3 +189,20 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, pos int, text string, heading boolean")
+
+
+_LINES_SQL = """ln AS (SELECT doc_id AS page, i, trim(t) AS t, 30.0 * i + CASE WHEN len(t) % 3 = 0 THEN 14 ELSE 0 END AS top, 30.0 * i + 16 + len(t) % 12 AS bottom, CASE WHEN len(t) % 11 = 0 THEN 0.4 ELSE 0.9 END AS score
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"""
+
+
+@query(f"""WITH {_LINES_SQL}, k AS (SELECT *, lag(bottom) OVER w AS pb, greatest(coalesce(lag(bottom - top) OVER w, 16.0), 8.0) AS ph FROM ln WHERE t <> '' AND score >= 0.5 WINDOW w AS (PARTITION BY page ORDER BY top, bottom, t)),
+s AS (SELECT *, sum(CASE WHEN top - pb > greatest(ph * 0.8, 10.0) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY top, bottom, t) AS part FROM k)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY part) AS int) AS n, lines FROM (SELECT page, part, count(*) AS lines FROM s GROUP BY page, part)""")
+def scan_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents set out on pages as a scanner would give them, merged to paragraphs; each one's number of lines."""
+    at = F.posexplode(F.split("text", "\n")).alias("i", "t")
+    t = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page"), at)
+    n = F.length("t")
+    top, bottom = 30.0 * F.col("i") + F.when(n % 3 == 0, 14).otherwise(0), 30.0 * F.col("i") + 16 + n % 12
+    lines = t.select("page", top.alias("top"), bottom.alias("bottom"), F.lit(0.0).alias("left"), F.when(F.trim("t") != "", F.concat(F.regexp_replace(F.trim("t"), "(?s).+", "x"), F.lit(""))).otherwise("").alias("text"), F.when(n % 11 == 0, 0.4).otherwise(0.9).alias("score"))
+    return reshape.merged_lines(lines).select("page", "n", F.length("text").cast("bigint").alias("lines"))
