@@ -6,8 +6,11 @@ whose bits for one key all fall into one 512-bit block drops the expressions tha
 to an exact hash join with the list, which removes the false positives. The longest matching rule decides; without a
 rule, a match with the block list blocks, anything else is allowed.
 
-The filter has a fixed size (``blocks`` x 64 bytes, built by a shuffled bit-or) and is broadcast; the list itself may be
-of any size and is joined by shuffling. Paths are cut to every length that an entry has, up to their own. The join runs on distinct URLs, so repeated URLs cost one row.
+The filter has some twelve bits an entry, within bounds (``blocks`` x 64 bytes, 16 MB at most, built by a shuffled bit-or),
+and is broadcast; beyond that bound more URLs pass it and the join drops them. A list counted as small is broadcast too. A
+longer one is joined by shuffling, but for entries with more than a thousandth of the hits (a thousand at most), which are
+broadcast, so that a rule for a whole domain doesn't send its URLs to one task. Paths are cut to every length that an entry
+has, up to their own. The join runs on distinct URLs, so repeated URLs cost one row.
 
 Edge cases: null or a string without ``://``: empty host and path, no rule, allowed. Repeated rows stay repeated. An
 entry listed twice counts once; of a rule listed with both actions, block wins. Extra columns are ignored.
@@ -24,7 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKS, BITS = 1 << 12, 6
+from ._text import written
+
+BLOCKS, MOST_BLOCKS, KEY_BITS, BITS, HOT_SHARE = 1 << 12, 1 << 18, 12, 6, 1000
+BROADCAST_ENTRIES = 50_000  # of some hundred bytes each
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: Hosts of the default block list, subdomains included.
 BLOCKED_HOSTS = ["ads-track.example.com", "adult-x.example.net", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.com"]
@@ -50,6 +56,11 @@ def _places(keys: list[str], blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block, mask
 
 
+def blocks_for(n: int) -> int:
+    """How many blocks a filter of n keys gets: a power of two."""
+    return min(MOST_BLOCKS, max(BLOCKS, 1 << max(0, n * KEY_BITS // 512).bit_length()))
+
+
 def build_filter(listed: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
     """The filter of column ``entry`` as blocks x 8 words; at most that many rows reach the driver."""
 
@@ -65,14 +76,26 @@ def build_filter(listed: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
     return out.reshape(blocks, 8)
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, blocklist: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def _joined(hits: DataFrame, listed: DataFrame, few: bool) -> DataFrame:
+    """Hits with their entries: by broadcast if these are few or hit by many URLs, the others by shuffling."""
+    if few:
+        return hits.join(F.broadcast(listed), "entry")
+    hits = written(hits, "hits")
+    often = hits.groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > hits.count()).select("entry")
+    hot = listed.join(F.broadcast(often), "entry", "left_semi")
+    rest = hits.join(F.broadcast(often), "entry", "left_anti")
+    return hits.join(F.broadcast(hot), "entry").unionByName(rest.join(listed, "entry"))
+
+
+def url_verdicts(pages: DataFrame, rules: DataFrame, blocklist: DataFrame, blocks: int | None = None, few: int = BROADCAST_ENTRIES) -> DataFrame:
     """page_id, host, path, rule and verdict of every row. ``rules(entry, action)``, ``blocklist(entry)``."""
     listed = rules.select("entry", F.col("action").alias("action"), F.lit(True).alias("is_rule")).unionByName(
         blocklist.select("entry", F.lit("block").alias("action"), F.lit(False).alias("is_rule"))
     ).dropna(subset=["entry"]).groupBy("entry", "is_rule").agg(F.max("action").alias("action"))
     spark = pages.sparkSession
     lengths = [r[0] for r in listed.select(F.length(F.regexp_extract("entry", "^[^/]*(.*)$", 1))).distinct().collect()]
-    shared = spark.sparkContext.broadcast((build_filter(listed, blocks), sorted(lengths)))
+    n = listed.count()
+    shared = spark.sparkContext.broadcast((build_filter(listed, blocks or blocks_for(n)), sorted(lengths)))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, cuts = shared.value
@@ -99,7 +122,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, blocklist: DataFrame, block
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     hits = rows.where("host <> ''").select("host", "path").distinct().mapInArrow(possible, "host string, path string, entry string")
     size = F.when(F.col("is_rule"), F.length("entry"))
-    found = hits.join(listed.hint("shuffle_hash"), "entry").groupBy("host", "path").agg(
+    found = _joined(hits, listed, n <= few).groupBy("host", "path").agg(
         F.max_by(F.when(F.col("is_rule"), F.col("entry")), size).alias("rule"),
         F.max_by(F.when(F.col("is_rule"), F.col("action")), size).alias("action"),
         F.max(~F.col("is_rule")).alias("on_list"),
