@@ -1,23 +1,24 @@
 """Byte-level helpers that the operators run inside Arrow batches.
 
-All of them work on a *chunk*: a list of UTF-8 byte strings of about one megabyte in total, so that the memory of a
+All of them work on a *chunk*: a list of UTF-8 byte strings of about half a megabyte in total, so that the memory of a
 task does not depend on the number of documents. A document is never cut: one longer than the limit is a chunk alone.
 White space is ASCII 9-13 and 32, as in ``[^\\x20\\x09-\\x0D]+``.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BROADCAST_ROWS = 200_000  # of two whole numbers each, a few megabytes
 
 _rng = np.random.default_rng(20240601)
@@ -179,6 +180,25 @@ def drop_tables(spark: SparkSession, tables: list[DataFrame]) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches, giving back to the system afterwards what the task had in memory: Python workers stay for
+    the next tasks, and what they hold meanwhile counts for the executor."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs now, for the disk; it does so only once the driver
     collects garbage. Called once or twice in a query, after its largest shuffles."""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import LOWER, SPACE, chunks, if_few, mix, texts_of, written
+from ._text import LOWER, SPACE, chunks, if_few, mix, texts_of, tidy, written
 
 Q, EDITS, PATTERN, BLOCK_CHARS, PIECE, LEAST = 16, 0.05, 400, 4_000_000, 1 << 20, 4
 TABLE_BITS = 22
@@ -285,7 +285,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block_chars: int =
                 rest = [pa.array([r[j] for r in rows], pa.int64()) for j in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([ids, *rest], ["doc_id", "item_id", "edits", "start", "end"])
 
-        part = texts.mapInArrow(run, schema)
+        part = texts.mapInArrow(tidy(run), schema)
         if blocks > 1:
             part = written(part, "passages")
             shared.unpersist()

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import BROADCAST_ROWS, Chunk, chunks, drop_tables, if_few, mix, release_shuffles, texts_of, written
+from ._text import BROADCAST_ROWS, Chunk, chunks, drop_tables, if_few, mix, release_shuffles, texts_of, tidy, written
 from .components import components
 from .seen_filters import PACKED, RUN, SeenFilters, packed, range_bits_for
 
@@ -257,7 +257,7 @@ class _Verifier:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         chosen = written(self.nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "chosen")
-        new = written(self.texts.join(if_few(chosen), "doc_id").mapInArrow(_tokens(self.size), "node bigint, codes binary, tokens array<bigint>"), "tokens")
+        new = written(self.texts.join(if_few(chosen), "doc_id").mapInArrow(tidy(_tokens(self.size)), "node bigint, codes binary, tokens array<bigint>"), "tokens")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         near = written(self._joined(pairs, "codes").mapInArrow(_by_codes(self.percent), "a bigint, b bigint"), "near")
         both = self._joined(near, "tokens")
@@ -280,7 +280,7 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     spark = documents.sparkSession
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     range_bits = range_bits_for(documents.count())
-    first = written(texts.mapInArrow(_pass_one(size, range_bits), "doc_id bigint, n int, node bigint, mask array<bigint>, part int, v binary, c binary"), "sets")
+    first = written(texts.mapInArrow(tidy(_pass_one(size, range_bits)), "doc_id bigint, n int, node bigint, mask array<bigint>, part int, v binary, c binary"), "sets")
     shared = spark.sparkContext.broadcast(SeenFilters.build(first.where("part IS NOT NULL"), range_bits, frequent))
     docs = written(first.where("part IS NULL").select("doc_id", "n", "node"), "documents")
     # one document of each distinct set
@@ -289,7 +289,7 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     drop_tables(spark, [first])
 
     # lists: every member but the least one, which is its leader
-    rows = texts.mapInArrow(_signatures(size, percent, shared), "sig bigint, node bigint, n int, pos int, hot boolean")
+    rows = texts.mapInArrow(tidy(_signatures(size, percent, shared)), "sig bigint, node bigint, n int, pos int, hot boolean")
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(0).cast("int"))
     order = Window.partitionBy("sig", "salt").orderBy("node", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.first(F.struct("node", "n", "pos")).over(order)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import tidy
 from .labelled import labelled_sample
 from .stats import measured
 
@@ -152,7 +153,7 @@ def quality_scores(documents: DataFrame, model: AdditiveModel) -> DataFrame:
             _, f = measured(b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.score(f))], ["doc_id", "score"])
 
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id bigint, score double")
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AdditiveModel:
@@ -169,7 +170,7 @@ def accepted(documents: DataFrame, model: AdditiveModel, cut: float = CUT) -> Da
         for b in batches:
             yield b.filter(pa.array(shared.value.score(measured(b)[1]) >= cut))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from ._text import mix
 
-FILTER_BITS, OFTEN_BITS, RUN = 1 << 27, 1 << 23, 1 << 21
+FILTER_BITS, OFTEN_BITS, RUN = 1 << 27, 1 << 23, 1 << 20
 PACKED = [("part", pa.int32()), ("v", pa.binary()), ("c", pa.binary())]
 
 

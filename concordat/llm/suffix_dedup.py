@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import BYTE_CODE, chunks, drop_tables, mix, powers, release_shuffles, texts_of, written
+from ._text import BYTE_CODE, chunks, drop_tables, mix, powers, release_shuffles, texts_of, tidy, written
 from .seen_filters import RUN, SeenFilters, packed, range_bits_for
 
 LENGTH, ANCHOR, HOT = 100, 20, 100_000
@@ -220,9 +220,9 @@ def lost_ranges(documents: DataFrame, hot: int = HOT) -> DataFrame:
     spark = documents.sparkSession
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     range_bits = range_bits_for(documents.count())
-    runs = texts.select("text").mapInArrow(_anchor_runs(range_bits), "part int, v binary, c binary")
+    runs = texts.select("text").mapInArrow(tidy(_anchor_runs(range_bits)), "part int, v binary, c binary")
     shared = spark.sparkContext.broadcast(SeenFilters.build(runs, range_bits, hot))
-    keys = texts.mapInArrow(_keys(shared), "anchor bigint, print bigint, doc_id bigint, start bigint, off int, size int")
+    keys = texts.mapInArrow(tidy(_keys(shared)), "anchor bigint, print bigint, doc_id bigint, start bigint, off int, size int")
     keys = written(keys, "keys")
     first = keys.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "start", "off", "size")).alias("f"), F.count("*").alias("n"))
     first = written(first, "first")
@@ -236,7 +236,7 @@ def lost_ranges(documents: DataFrame, hot: int = HOT) -> DataFrame:
     drop_tables(spark, [keys])
     chosen = first.select("anchor", "f.*").join(several.where(F.col("n") <= hot).select("anchor"), "anchor", "left_semi")
     rest = _with_bytes(texts, chosen).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    tables = [copies, written(rest.mapInArrow(_lost_runs, "doc_id bigint, lo bigint, hi bigint"), "ranges")]
+    tables = [copies, written(rest.mapInArrow(tidy(_lost_runs), "doc_id bigint, lo bigint, hi bigint"), "ranges")]
     release_shuffles(spark)
     often = several.where(F.col("n") > hot).select("anchor")
     if not often.isEmpty():
@@ -259,7 +259,7 @@ def lost_ranges(documents: DataFrame, hot: int = HOT) -> DataFrame:
 def _with_bytes(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows SEGMENT of the places in ``chosen``: one list per document, as long as its text allows."""
     lists = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "off", "size")).alias("parts"))
-    return texts.join(lists, "doc_id").mapInArrow(_bytes, SEGMENT)
+    return texts.join(lists, "doc_id").mapInArrow(tidy(_bytes), SEGMENT)
 
 
 def merged(lo: np.ndarray, hi: np.ndarray, n: int) -> list[tuple[int, int]]:
