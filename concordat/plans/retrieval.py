@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import neighbours, text_neighbours
+from ..operators import embedder, neighbours, text_neighbours
 from ..operators.metrics import rate
+from ..sources.shared import shared_dir
 from ..sources.tables import table
 from .registry import query
 
@@ -45,3 +46,12 @@ def knn_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set, every fiftieth document, against all documents; SQL is too slow for it on whole texts."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return text_neighbours.by_tfidf(d, d.where("id % 50 = 0"), 6)
+
+
+@query("""WITH t AS (SELECT DISTINCT trim(text) AS t FROM documents WHERE trim(text) <> '')
+SELECT sha256(t) AS h, [CAST(length(t) - length(replace(t, c, '')) AS double) FOR c IN ['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h']] AS v FROM t""")
+def embed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all texts: a quarter of the documents fills the cache, then all are asked for."""
+    d, cache = table(spark, sf_dir, "documents"), shared_dir(spark, "embeddings")
+    embedder.embedded(d.where("doc_id % 4 = 0"), cache, "letters")
+    return embedder.embedded(d, cache, "letters")
