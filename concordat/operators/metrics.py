@@ -20,11 +20,16 @@ def accuracy(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def f1_parts(rows: DataFrame, *by: str) -> DataFrame:
-    """tp, fp, fn by label (and groups), for labels that gold or predictions have."""
-    pred = rows.where("label IS NOT NULL").groupBy(*by, F.col("label").alias("class")).agg(F.count("*").alias("pred"), F.count_if(F.col("label") == F.col("gold")).alias("tp"))
-    true = rows.groupBy(*by, F.col("gold").alias("class")).agg(F.count("*").alias("true"))
-    j = true.join(pred, [*by, "class"], "full").fillna(0, ["pred", "tp", "true"])
-    return j.select(*by, "class", "tp", (F.col("pred") - F.col("tp")).alias("fp"), (F.col("true") - F.col("tp")).alias("fn"))
+    """tp, fp and fn of every class, from ``rows(label, gold)``: (label, gold) pairs are counted in one pass, then each count
+    goes to its gold class and to its label's class. A null label is a miss of its gold class."""
+    c = rows.groupBy(*by, "label", "gold").agg(F.count("*").alias("n"))
+    right, none = F.col("label").eqNullSafe(F.col("gold")), F.lit(0).cast("bigint")
+    one = lambda cls, tp, fp, fn: F.struct(F.col(cls).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    n = F.col("n")
+    of_gold = one("gold", F.when(right, n).otherwise(none), none, F.when(right, none).otherwise(n))
+    of_label = one("label", none, F.when(right, none).otherwise(n), none)
+    each = c.select(*by, F.explode(F.array(of_gold, of_label)).alias("x")).select(*by, "x.*").where("class IS NOT NULL")
+    return each.groupBy(*by, "class").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
 
 
 def fleiss_kappa(valid_votes: DataFrame, n_models: int) -> DataFrame:

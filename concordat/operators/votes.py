@@ -53,6 +53,14 @@ def weighted(ann: DataFrame, weights: dict[str, float], evidence_penalty: float
     return best(t, F.desc("score"), F.asc("first_ord")).select("item_id", "label", (F.col("score") / F.col("all")).alias("share"), F.col("cnt").alias("agree"), "total")
 
 
+def both(ann: DataFrame, weights: dict[str, float], evidence_penalty: float = 0.5) -> DataFrame:
+    """item_id, majority, weighted: the labels of both votes from one pass over an item's votes."""
+    t = valid(ann).groupBy("item_id", "label").agg(F.count("*").alias("cnt"), F.sum("confidence").alias("conf"), F.min("model_ord").alias("first_ord"), F.sum(vote_score(weights, evidence_penalty)).alias("score"))
+    item = Window.partitionBy("item_id")
+    t = t.withColumn("m", F.row_number().over(item.orderBy(F.desc("cnt"), F.desc("conf"), "first_ord"))).withColumn("w", F.row_number().over(item.orderBy(F.desc("score"), "first_ord")))
+    return t.groupBy("item_id").agg(F.max(F.when(F.col("m") == 1, F.col("label"))).alias("majority"), F.max(F.when(F.col("w") == 1, F.col("label"))).alias("weighted"))
+
+
 def split_labels(text: Column) -> Column:
     """The parts of a multi-label text: separators | ; , and their wide forms, trimmed, empty ones dropped."""
     parts = F.split(F.translate(text, ";；,，、", "|||||"), r"\|")

@@ -24,8 +24,8 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, strategy, label, gold) of each model, both votes and the routed system."""
     ann = annotations(spark, sf_dir)
     models = ann.select("item_id", F.col("model").alias("strategy"), F.when(F.col("error").isNull(), F.col("label")).alias("label"))
-    out = models.unionByName(votes.majority(ann).select("item_id", F.lit("majority").alias("strategy"), "label"))
-    out = out.unionByName(votes.weighted(ann, WEIGHTS).select("item_id", F.lit("weighted").alias("strategy"), "label"))
+    pair = F.explode(F.array(*[F.struct(F.lit(x).alias("strategy"), F.col(x).alias("label")) for x in ("majority", "weighted")]))
+    out = models.unionByName(votes.both(ann, WEIGHTS).select("item_id", pair.alias("x")).select("item_id", "x.*"))
     out = out.unionByName(routed(spark, sf_dir).select("item_id", F.lit("system").alias("strategy"), "label"))
     return out.join(gold(spark, sf_dir), "item_id")
 
