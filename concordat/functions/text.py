@@ -93,3 +93,10 @@ def mask_labels(text: Column, labels: list[str], mask: str = "[label]") -> Colum
 def chain_hash(*parts: Column) -> Column:
     """Cache key: sha256 over the parts, which keep their borders."""
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
+
+
+def grouped_order(labels: Column, separator: str = "/") -> Column:
+    """Labels of two levels with those of a parent together, where the parent's first one stands; otherwise in their order."""
+    parent = lambda x: F.split_part(x, F.lit(separator), F.lit(1))
+    parents = F.array_distinct(F.transform(labels, parent))
+    return F.flatten(F.transform(parents, lambda p: F.filter(labels, lambda x: parent(x) == p)))

@@ -27,3 +27,28 @@ def upsert(have: DataFrame, new: DataFrame) -> DataFrame:
     j = have.select(F.trim("text").alias("text"), F.col("label").alias("old")).join(n, "text", "full")
     action = F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "added").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
     return j.select("text", F.coalesce("new", "old").alias("label"), action.alias("action"))
+
+
+def criteria_changes(old: DataFrame, new: DataFrame, old_rules: DataFrame, new_rules: DataFrame) -> DataFrame:
+    """(part, name, change, n) between two versions of criteria: labels(name, place, definition, examples), rules(rule).
+
+    Examples are compared for labels that both versions have, in n; the order of labels is one row, if the labels that both
+    have stand in another order. Null definitions and examples count as empty.
+    """
+    empty = lambda c, none: F.coalesce(F.col(c), none)
+    a = old.select("name", F.col("place").alias("pa"), empty("definition", F.lit("")).alias("da"), empty("examples", F.array()).alias("ea"), F.lit(True).alias("in_a"))
+    b = new.select("name", F.col("place").alias("pb"), empty("definition", F.lit("")).alias("db"), empty("examples", F.array()).alias("eb"), F.lit(True).alias("in_b"))
+    j = a.join(b, "name", "full")
+    both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    more, less = F.size(F.filter("eb", lambda x: ~F.array_contains("ea", x))), F.size(F.filter("ea", lambda x: ~F.array_contains("eb", x)))
+    row = lambda part, change, n: F.struct(F.lit(part).alias("part"), F.lit(change).alias("change"), n.cast("bigint").alias("n"))
+    found = F.array(
+        row("label", "added", F.col("in_a").isNull().cast("int")), row("label", "removed", F.col("in_b").isNull().cast("int")),
+        row("definition", "changed", (both & (F.col("da") != F.col("db"))).cast("int")), row("examples", "added", F.when(both, more).otherwise(0)), row("examples", "removed", F.when(both, less).otherwise(0)),
+    )
+    labels = j.select("name", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select("x.part", "name", "x.change", "x.n")
+    every = Window.partitionBy(F.lit(0))  # a row a label
+    moved = j.where(both).withColumn("moved", F.row_number().over(every.orderBy("pa", "name")) != F.row_number().over(every.orderBy("pb", "name"))).where("moved").limit(1)
+    order = moved.select(F.lit("order").alias("part"), F.lit("labels").alias("name"), F.lit("changed").alias("change"), F.lit(1).cast("bigint").alias("n"))
+    one = lambda df, change: df.distinct().select(F.lit("rule").alias("part"), F.col("rule").alias("name"), F.lit(change).alias("change"), F.lit(1).cast("bigint").alias("n"))
+    return labels.union(order).union(one(new_rules.join(old_rules, "rule", "left_anti"), "added")).union(one(old_rules.join(new_rules, "rule", "left_anti"), "removed"))

@@ -264,13 +264,56 @@ def cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("cost", F.round(T.cost(F.lit(0), F.col("out_tokens"), F.lit(0.0), _price(F.col("model"))), 6))
 
 
-@query(f"""WITH m AS (SELECT unnest(['m0', 'm1', 'm2']) AS model), tok AS (SELECT count(*) AS n, sum(CAST(floor(length(text) * CAST(0.35 AS double)) AS bigint) + 1) AS t FROM documents), s AS (SELECT CAST(unnest([0.0, 0.25, 1.0]) AS double) AS rate)
-SELECT rate, model, CAST(round(n * CASE WHEN model = 'm2' THEN rate ELSE 1 END + n * rate, 0) AS bigint) AS calls,
-  round((t * CASE WHEN model = 'm2' THEN rate ELSE 1 END + rate * (t + 120 * n)) * {_PRICE_SQL} / 1e6, 6) AS cost FROM m, tok, s""")
+#: Tokens of a prompt without its text, of an opinion, of an answer (fixed value) and of an arbiter's answer; prices of the arbiter.
+PROMPT_TOKENS, OPINION_TOKENS, OUT_TOKENS, ARBITER_OUT, ARBITER_PRICE = 200, 60, 50, 512, 16.0
+
+
+@query(f"""WITH d AS (SELECT doc_id, CAST({PROMPT_TOKENS} + floor(length(text) * CAST(0.35 AS double)) AS bigint) + 1 AS tok FROM documents WHERE text IS NOT NULL),
+k AS (SELECT model, tok, substr(sha256(concat_ws(chr(31), 'p', model, CAST(doc_id AS varchar))), 1, 1) < '8' AS hit FROM d, (SELECT unnest(['m0', 'm1', 'm2']) AS model)),
+r AS (SELECT model, count(*) FILTER (WHERE NOT hit) AS miss, count(*) FILTER (WHERE hit) AS cached, CAST(coalesce(sum(tok) FILTER (WHERE NOT hit), 0) AS double) AS tin FROM k GROUP BY model),
+n AS (SELECT CAST(count(*) AS double) AS n, CAST(sum(tok) AS double) / count(*) AS avg_in FROM d), s AS (SELECT CAST(unnest([0.0, 0.25, 1.0]) AS double) AS rate),
+o AS (SELECT rate, model, miss * share + n * rate AS calls, cached * share AS hits, tin * share + n * rate * (avg_in + {2 * OPINION_TOKENS}) AS tin, CAST({OUT_TOKENS} AS double) AS per_call, {_PRICE_SQL} AS price FROM r, n, (SELECT *, 1.0 AS one FROM s) JOIN (SELECT unnest(['m0', 'm1', 'm2']) AS m2, unnest([false, false, true]) AS later) x ON true JOIN LATERAL (SELECT CASE WHEN later THEN rate ELSE 1.0 END AS share) y ON true WHERE m2 = model
+UNION ALL SELECT rate, 'arbiter', n * rate * 2, 0, n * rate * 2 * (avg_in + {3 * OPINION_TOKENS}), {ARBITER_OUT}, {ARBITER_PRICE} FROM n, s)
+SELECT rate, model, CAST(round(calls) AS bigint) AS calls, CAST(round(hits) AS bigint) AS cached, CAST(round(tin) AS bigint) AS in_tokens, CAST(round(calls * per_call) AS bigint) AS out_tokens, round((tin * price / 2 + calls * per_call * price) / 1e6, 6) AS cost FROM o""")
 def estimate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls and cost of a run if no, some or all items disagree: m0 and m1 see all, m2 what escalates, reviews the rest."""
-    tok = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum(T.estimate_tokens(F.col("text"))).alias("t"))
-    g = tok.withColumn("rate", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 1.0)]))).withColumn("model", F.explode(F.array(*[F.lit(x) for x in ("m0", "m1", "m2")])))
-    share = F.when(F.col("model") == "m2", F.col("rate")).otherwise(1.0)
-    tokens = F.col("t") * share + F.col("rate") * (F.col("t") + 120 * F.col("n"))
-    return g.select("rate", "model", F.round(F.col("n") * share + F.col("n") * F.col("rate"), 0).cast("bigint").alias("calls"), F.round(tokens * _price(F.col("model")) / 1e6, 6).alias("cost"))
+    """Calls, tokens and cost of a run if no, some or all items disagree. What the reply cache has costs nothing; m0 and m1 see
+    all items, m2 what escalates; reviews, devil's advocate and arbiter (two calls of one model) see what disagrees."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", (T.estimate_tokens(F.col("text")) + PROMPT_TOKENS).alias("tok"))
+    k = d.withColumn("model", F.explode(F.array(*[F.lit(m) for m in ("m0", "m1", "m2")])))
+    hit = F.substring(T.chain_hash(F.lit("p"), F.col("model"), F.col("doc_id").cast("string")), 1, 1) < "8"
+    r = k.groupBy("model").agg(F.count_if(~hit).alias("miss"), F.count_if(hit).alias("cached"), F.sum(F.when(hit, 0).otherwise(F.col("tok"))).cast("double").alias("tin"), F.count("*").cast("double").alias("n"), F.avg("tok").alias("avg_in"))
+    r = r.withColumn("rate", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 1.0)])))
+    share, again = F.when(F.col("model") == "m2", F.col("rate")).otherwise(1.0), F.col("n") * F.col("rate")
+    row = lambda model, calls, hits, tin, out, price: F.struct(model.alias("model"), calls.alias("calls"), hits.alias("cached"), tin.alias("tin"), F.lit(float(out)).alias("out"), price.alias("price"))
+    own = row(F.col("model"), F.col("miss") * share + again, F.col("cached") * share, F.col("tin") * share + again * (F.col("avg_in") + 2 * OPINION_TOKENS), OUT_TOKENS, _price(F.col("model")))
+    arbiter = row(F.lit("arbiter"), 2 * again, F.lit(0.0), 2 * again * (F.col("avg_in") + 3 * OPINION_TOKENS), ARBITER_OUT, F.lit(ARBITER_PRICE))
+    o = r.select("rate", F.explode(F.when(F.col("model") == "m0", F.array(own, arbiter)).otherwise(F.array(own))).alias("o")).select("rate", "o.*")
+    whole = lambda c: F.round(c).cast("bigint")
+    cost = F.round(T.cost(F.col("tin"), F.col("calls") * F.col("out"), F.col("price") / 2, F.col("price")), 6)
+    return o.select("rate", "model", whole(F.col("calls")).alias("calls"), whole(F.col("cached")).alias("cached"), whole(F.col("tin")).alias("in_tokens"), whole(F.col("calls") * F.col("out")).alias("out_tokens"), cost.alias("cost"))
+
+
+_CRITERIA = """
+va AS (SELECT n_name AS name, n_nationkey AS place, n_regionkey % 2 AS def, coalesce((SELECT list(s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 2 = 0), []) AS ex FROM nation WHERE n_nationkey < 20),
+vb AS (SELECT n_name AS name, 100 - n_nationkey AS place, n_regionkey % 3 AS def, coalesce((SELECT list(s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 3 = 0), []) AS ex FROM nation WHERE n_nationkey >= 5),
+lab AS (SELECT coalesce(a.name, b.name) AS name, a.name IS NULL AS new, b.name IS NULL AS gone, a.def <> b.def AS def, len(list_filter(b.ex, lambda x: NOT list_contains(a.ex, x))) AS more, len(list_filter(a.ex, lambda x: NOT list_contains(b.ex, x))) AS less FROM va a FULL JOIN vb b ON a.name = b.name)"""
+
+
+@query(f"""WITH {_CRITERIA}, o AS (SELECT a.name, row_number() OVER (ORDER BY a.place) AS pa, row_number() OVER (ORDER BY b.place) AS pb FROM va a JOIN vb b ON a.name = b.name)
+SELECT 'label' AS part, name, 'added' AS change, CAST(1 AS bigint) AS n FROM lab WHERE new UNION ALL SELECT 'label', name, 'removed', 1 FROM lab WHERE gone UNION ALL SELECT 'definition', name, 'changed', 1 FROM lab WHERE def
+UNION ALL SELECT 'examples', name, 'added', more FROM lab WHERE NOT new AND NOT gone AND more > 0 UNION ALL SELECT 'examples', name, 'removed', less FROM lab WHERE NOT new AND NOT gone AND less > 0
+UNION ALL SELECT DISTINCT 'order', 'labels', 'changed', CAST(1 AS bigint) FROM o WHERE pa <> pb
+UNION ALL SELECT 'rule', r_name, CASE WHEN r_regionkey = 0 THEN 'removed' ELSE 'added' END, 1 FROM region WHERE r_regionkey IN (0, 4)""")
+def criteria_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that differs between two versions of criteria: labels, definitions, examples, the order of labels, rules."""
+    n, s, r = (table(spark, sf_dir, t) for t in ("nation", "supplier", "region"))
+
+    def version(rows: DataFrame, place, modulus: int, every: int) -> DataFrame:
+        ex = s.where(F.col("s_suppkey") % every == 0).groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list("s_suppkey").alias("ex"))
+        none = F.array().cast("array<bigint>")
+        return rows.join(ex, "n_nationkey", "left").select(F.col("n_name").alias("name"), place.alias("place"), (F.col("n_regionkey") % modulus).cast("string").alias("definition"), F.coalesce("ex", none).alias("examples"))
+
+    old = version(n.where("n_nationkey < 20"), F.col("n_nationkey"), 2, 2)
+    new = version(n.where("n_nationkey >= 5"), 100 - F.col("n_nationkey"), 3, 3)
+    rules = lambda where: r.where(where).select(F.col("r_name").alias("rule"))
+    return merge.criteria_changes(old, new, rules("r_regionkey < 4"), rules("r_regionkey >= 1"))

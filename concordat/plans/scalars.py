@@ -87,6 +87,18 @@ def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.mask_labels(F.col("text"), ["th", "ing", "tion"])).alias("h"))
 
 
+_TWO_LEVELS = ["a/1", "b/1", "a/2", "c/1", "b/2", "c/2"]
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_transform(list_sort(list_transform({_TWO_LEVELS}, lambda l: concat(md5(concat('m0|', CAST(doc_id AS varchar), '|', l)), l))), lambda x: substr(x, 33)) AS l FROM documents),
+p AS (SELECT doc_id, l, list_transform(l, lambda x: substr(x, 1, 1)) AS p FROM s)
+SELECT doc_id, list_transform(list_sort(list_transform(range(1, len(l) + 1), lambda i: {{'first': list_position(p, p[i]), 'i': i, 'l': l[i]}})), lambda x: x.l) AS labels FROM p""")
+def label_shuffle_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-level labels in an order of their own for each document, those of a parent together."""
+    order = F.array_sort(F.array(*[F.struct(F.md5(F.concat(F.lit("m0|"), F.col("doc_id").cast("string"), F.lit(f"|{x}"))).alias("h"), F.lit(x).alias("x")) for x in _TWO_LEVELS]))
+    return table(spark, sf_dir, "documents").select("doc_id", T.grouped_order(F.transform(order, lambda o: o["x"])).alias("labels"))
+
+
 @query("""SELECT doc_id, list_transform(list_sort(list_transform(['A', 'N', 'R', 'F'], lambda l: concat(md5(concat('m0|', CAST(doc_id AS varchar), '|', l)), l))), lambda x: substr(x, 33)) AS labels FROM documents""")
 def label_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A permutation of the labels that is fixed by model and item."""
