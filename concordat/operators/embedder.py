@@ -29,14 +29,14 @@ def register(name: str, factory: Factory) -> None:
     PROVIDERS[name] = factory
 
 
-def _provider(key: str, factory: Factory, settings: dict) -> Provider:
+def provider_of(key: str, factory: Factory, settings: dict) -> Provider:
     """The worker's provider; a key names a provider with its settings."""
     if key not in _live:
         _live[key] = factory(settings)
     return _live[key]
 
 
-def _called(provider: Provider, texts: list[str]) -> list[list[float]] | None:
+def called(provider: Provider, texts: list[str]) -> list[list[float]] | None:
     for turn in range(TRIES):
         try:
             out = provider(texts)
@@ -64,11 +64,11 @@ def embedded(rows: DataFrame, cache: str, name: str, settings: dict | None = Non
     wanted = texts_of(rows, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        provider, task, n = _provider(key, factory, settings), TaskContext.get().taskAttemptId(), 0
+        provider, task, n = provider_of(key, factory, settings), TaskContext.get().taskAttemptId(), 0
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 some = b.slice(at, BATCH)
-                found = _called(provider, some.column("text").to_pylist())
+                found = called(provider, some.column("text").to_pylist())
                 n += 1
                 if found is not None:
                     call = pa.array([f"{task}-{n}"] * some.num_rows)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, crowd, local_model, sampling, text_neighbours, votes
+from ..operators import annotator, calibration, crowd, local_model, sampling, text_neighbours, votes
 from ..operators import rule_search as rule_searches
 from ..operators.metrics import rate
+from ..sources.shared import shared_dir
 from ..sources.tables import LABELS, WEIGHTS, annotations, gold, table
 from .calibration import crossfit, points
 from .registry import query
@@ -105,3 +106,15 @@ def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").join(labels, "doc_id")
     out = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     return rule_searches.search(rows.where(~out), rows.where(out), quality_rules(), ("long",), "gold", "0")
+
+
+KEYWORDS = {"rules": [["###", "bad"], ["!!", "bad"]], "otherwise": "good"}
+
+
+@query("""SELECT doc_id AS item_id, CASE WHEN contains(t, '###') OR contains(t, '!!') THEN 'bad' ELSE 'good' END AS label, CAST(CASE WHEN contains(t, '###') OR contains(t, '!!') THEN 0.9 ELSE 0.6 END AS double) AS confidence,
+CASE WHEN contains(t, '###') THEN 'keyword ###' WHEN contains(t, '!!') THEN 'keyword !!' ELSE 'none' END AS reason FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def annotate_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword annotator asked about all documents, after a third of them has filled its reply cache."""
+    items, cache = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), shared_dir(spark, "replies")
+    annotator.annotate(items.where("item_id % 3 = 0"), ["good", "bad"], cache, "keyword", KEYWORDS)
+    return annotator.annotate(items, ["good", "bad"], cache, "keyword", KEYWORDS).drop("error")
