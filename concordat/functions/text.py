@@ -100,3 +100,22 @@ def grouped_order(labels: Column, separator: str = "/") -> Column:
     parent = lambda x: F.split_part(x, F.lit(separator), F.lit(1))
     parents = F.array_distinct(F.transform(labels, parent))
     return F.flatten(F.transform(parents, lambda p: F.filter(labels, lambda x: parent(x) == p)))
+
+
+def numbered(items: Column) -> Column:
+    """An array of lines as one text, with numbers from 1."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
+def guide_prompt(task: str, definitions: dict[str, str], order: Column, rules: list[str], examples: Column, opinions: Column, text: Column, clip_at: int = 300) -> Column:
+    """A prompt: task, labels in ``order`` with their definitions, rules, examples (array of text, label), other annotators'
+    opinions (array of lines), the text and what to answer. Sections without content are left out."""
+    known = F.create_map(*[F.lit(x) for pair in definitions.items() for x in pair])
+    labels = F.array_join(F.transform(order, lambda x: F.concat(F.lit("## "), x, F.lit("\n"), F.coalesce(F.try_element_at(known, x), F.lit("")))), "\n\n")
+    shown = numbered(F.transform(examples, lambda e: F.concat(F.lit("["), e["label"], F.lit("] "), clip(e["text"], clip_at))))
+    section = lambda title, body: F.when(body != "", F.concat(F.lit(f"# {title}\n"), body))
+    answer = F.concat(F.lit('{"label": "...", "confidence": 0..1, "reason": "..."}\nlabel is one of: '), F.array_join(order, " / "))
+    return F.concat_ws(
+        "\n\n", section("Task", F.lit(task)), section("Labels", labels), section("Rules", numbered(F.array(*[F.lit(r) for r in rules]).cast("array<string>"))), section("Examples", shown),
+        section("Other opinions", F.array_join(opinions, "\n")), section("Text", F.concat(F.lit("<text>\n"), text, F.lit("\n</text>"))), section("Answer", answer),
+    )

@@ -228,11 +228,21 @@ def wide_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p
 
 
-@query(f"{BASE} SELECT r.item_id, r.label AS suggestion, string_agg(concat(a.model, '=', a.label), ' | ' ORDER BY a.model_ord) AS opinions FROM routed r JOIN ann a USING (item_id) WHERE status = 'need_human' AND a.error IS NULL AND a.label IS NOT NULL GROUP BY r.item_id, r.label")
+@query(f"""{BASE}, arb AS (SELECT o_orderkey AS item_id, CASE o_custkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'N' WHEN 2 THEN 'R' END AS arbiter FROM orders)
+SELECT r.item_id, r.label AS suggestion, string_agg(concat(a.model, '=', coalesce(CASE WHEN a.error IS NULL THEN a.label END, 'failed')), ' | ' ORDER BY a.model_ord) AS opinions,
+coalesce(string_agg(concat(a.model, '=', a.label2), ' | ' ORDER BY a.model_ord) FILTER (WHERE a.label2 IS NOT NULL), '') AS review, coalesce(arbiter, '') AS arbiter FROM routed r JOIN ann a USING (item_id) LEFT JOIN arb USING (item_id) WHERE status = 'need_human' GROUP BY r.item_id, r.label, arbiter""")
 def need_human_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items for people: what is suggested, what each model said, also that it failed, what it said on review, and the arbiter."""
     need = routed(spark, sf_dir).where("status = 'need_human'").select("item_id", F.col("label").alias("suggestion"))
-    op = votes.valid(annotations(spark, sf_dir)).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("model_ord", F.concat_ws("=", "model", "label").alias("t")))).alias("o"))
-    return need.join(op, "item_id").select("item_id", "suggestion", F.array_join(F.transform("o", lambda x: x["t"]), " | ").alias("opinions"))
+    said = F.coalesce(F.when(F.col("error").isNull(), F.col("label")), F.lit("failed"))
+    line = lambda x: F.array_sort(F.collect_list(x))
+    op = annotations(spark, sf_dir).groupBy("item_id").agg(
+        line(F.struct("model_ord", F.concat_ws("=", "model", said).alias("t"))).alias("o"), line(F.when(F.col("label2").isNotNull(), F.struct("model_ord", F.concat_ws("=", "model", "label2").alias("t")))).alias("r")
+    )
+    k = F.col("o_custkey") % 4
+    arbiter = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.when(k == 0, "A").when(k == 1, "N").when(k == 2, "R").alias("arbiter"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), " | ")
+    return need.join(op, "item_id").join(arbiter, "item_id", "left").select("item_id", "suggestion", text("o").alias("opinions"), text("r").alias("review"), F.coalesce("arbiter", F.lit("")).alias("arbiter"))
 
 
 _PRICE_SQL = "CASE model WHEN 'm0' THEN 2.0 WHEN 'm1' THEN 4.0 WHEN 'm2' THEN 8.0 ELSE 0.0 END"

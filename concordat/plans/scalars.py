@@ -157,3 +157,26 @@ def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "item_id bigint, round1 array<struct<model: string, label: string, confidence: double, error: string>>"
     back = lines.select(F.from_json("line", schema).alias("r")).select("r.*")
     return back.select("item_id", F.size("round1").cast("bigint").alias("n"), F.size(F.filter("round1", lambda x: x["error"].isNull())).cast("bigint").alias("ok"))
+
+
+_TASK, _RULES = "Sort documents by language.", ["the body decides, not the title", "names don't count"]
+_DEFINITIONS = {"de": "German", "en": "English", "es": "Spanish", "fr": "French"}
+_CLIP_SQL = "CASE WHEN length(trim(regexp_replace({t}, '[ \\t\\n\\r]+', ' ', 'g'))) > 300 THEN concat(left(trim(regexp_replace({t}, '[ \\t\\n\\r]+', ' ', 'g')), 300), '…') ELSE trim(regexp_replace({t}, '[ \\t\\n\\r]+', ' ', 'g')) END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, lang, list_transform(list_sort(list_transform({list(_DEFINITIONS)}, lambda l: concat(md5(concat('m0|', CAST(doc_id AS varchar), '|', l)), l))), lambda x: substr(x, 33)) AS o FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, list(x ORDER BY o) AS ex FROM (SELECT a.doc_id, b.doc_id AS o, concat('[', b.lang, '] ', {_CLIP_SQL.format(t="b.text")}) AS x FROM d a JOIN d b ON b.doc_id IN (a.doc_id - 1, a.doc_id - 2) WHERE b.lang IS NOT NULL) GROUP BY doc_id),
+f AS (SELECT d.*, coalesce(ex, []) AS ex FROM d LEFT JOIN e USING (doc_id))
+SELECT doc_id, md5(concat('# Task', chr(10), '{_TASK}', chr(10), chr(10), '# Labels', chr(10), array_to_string(list_transform(o, lambda x: concat('## ', x, chr(10), CASE x WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' ELSE 'French' END)), chr(10) || chr(10)), chr(10), chr(10),
+'# Rules', chr(10), '1. {_RULES[0]}', chr(10), '2. {_RULES[1].replace("'", "''")}', chr(10), chr(10), CASE WHEN len(ex) = 0 THEN '' ELSE concat('# Examples', chr(10), array_to_string(list_transform(range(1, len(ex) + 1), lambda i: concat(i, '. ', ex[i])), chr(10)), chr(10), chr(10)) END,
+CASE WHEN doc_id % 2 = 0 THEN concat('# Other opinions', chr(10), 'm1: ', coalesce(lang, 'none'), chr(10), chr(10)) ELSE '' END, '# Text', chr(10), '<text>', chr(10), text, chr(10), '</text>', chr(10), chr(10),
+'# Answer', chr(10), '{{"label": "...", "confidence": 0..1, "reason": "..."}}', chr(10), 'label is one of: ', array_to_string(o, ' / '))) AS h FROM f""")
+def prompt_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole prompts: labels in the item's own order, rules, the two documents before as examples, an opinion on every other one."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    order = F.array_sort(F.array(*[F.struct(F.md5(F.concat(F.lit("m0|"), F.col("doc_id").cast("string"), F.lit(f"|{x}"))).alias("h"), F.lit(x).alias("x")) for x in _DEFINITIONS]))
+    near = d.where("lang IS NOT NULL").select(F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("doc_id"), F.struct(F.col("doc_id").alias("o"), "text", F.col("lang").alias("label")).alias("e"))
+    near = near.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("examples"))  # two rows a document at most, but for repeated ids
+    d = d.join(near, "doc_id", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<struct<o:bigint,text:string,label:string>>")))
+    opinions = F.when(F.col("doc_id") % 2 == 0, F.array(F.concat(F.lit("m1: "), F.coalesce("lang", F.lit("none"))))).otherwise(F.array().cast("array<string>"))
+    return d.select("doc_id", F.md5(T.guide_prompt(_TASK, _DEFINITIONS, F.transform(order, lambda o: o["x"]), _RULES, F.col("examples"), opinions, F.col("text"))).alias("h"))
