@@ -127,7 +127,7 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT item_id, count(*) FILTER (WHERE model <> 'm3') AS c1, count(*) FILTER (WHERE model <> 'm3' AND label2 IS NOT NULL) AS c2, CAST(sum(units * price) AS double) / 1e6 AS k1, CAST(coalesce(sum(units * price) FILTER (WHERE label2 IS NOT NULL), 0) AS double) / 1e6 AS k2 FROM pr GROUP BY item_id),
 j AS (SELECT r.item_id, r.status, r.label, gold, status <> 'need_human' AS auto, c1 + CASE WHEN status <> 'consensus' THEN c2 ELSE 0 END AS calls, k1 + CASE WHEN status <> 'consensus' THEN k2 ELSE 0 END AS cost FROM routed r JOIN c USING (item_id) LEFT JOIN gold USING (item_id))
 SELECT count(*) AS n, round(CAST(count(*) FILTER (WHERE auto) AS double) / count(*), 6) AS auto_rate, count(*) FILTER (WHERE NOT auto) AS human, CAST(sum(calls) AS bigint) AS llm_calls,
-  round(CAST(sum(calls) AS double) / count(*), 6) AS calls_per_item, round(sum(cost), 5) AS cost, count(gold) AS gold_n, round(CAST(count(*) FILTER (WHERE label = gold) AS double) / count(gold), 6) AS acc,
+  round(CAST(sum(calls) AS double) / count(*), 6) AS calls_per_item, round(sum(cost), 6) AS cost, count(gold) AS gold_n, round(CAST(count(*) FILTER (WHERE label = gold) AS double) / count(gold), 6) AS acc,
   round(CAST(count(*) FILTER (WHERE auto AND label = gold) AS double) / count(*) FILTER (WHERE auto AND gold IS NOT NULL), 6) AS auto_acc,
   round(CAST(count(*) FILTER (WHERE gold IS NOT NULL AND (NOT auto OR label = gold)) AS double) / count(gold), 6) AS with_human FROM j""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     auto, right, known = F.col("status") != "need_human", F.col("label") == F.col("gold"), F.col("gold").isNotNull()
     return j.agg(
         F.count("*").alias("n"), rate(F.count_if(auto), F.count("*")).alias("auto_rate"), F.count_if(~auto).alias("human"), F.sum("calls").alias("llm_calls"), rate(F.sum("calls"), F.count("*")).alias("calls_per_item"),
-        F.round(F.sum("spent"), 5).alias("cost"), F.count("gold").alias("gold_n"), rate(F.count_if(right), F.count("gold")).alias("acc"),
+        F.round(F.sum("spent"), 6).alias("cost"), F.count("gold").alias("gold_n"), rate(F.count_if(right), F.count("gold")).alias("acc"),
         rate(F.count_if(auto & right), F.count_if(auto & known)).alias("auto_acc"), rate(F.count_if(known & (~auto | right)), F.count("gold")).alias("with_human"),
     )
 
@@ -251,7 +251,7 @@ _PRICE_SQL = "CASE model WHEN 'm0' THEN 2.0 WHEN 'm1' THEN 4.0 WHEN 'm2' THEN 8.
 @query(f"""WITH {ANN_SQL}, k AS (SELECT model, error, out_tokens, 40 + item_id % 50 AS in_tokens, substr({_KEY}, 1, 1) < '8' AS hit, ((40 + item_id % 50) * 0.5 + out_tokens) * {_PRICE_SQL} / 1e6 AS cost FROM ann)
 SELECT model, count(*) AS asked, count(*) FILTER (WHERE hit) AS cache_hits, count(*) FILTER (WHERE NOT hit) AS calls, count(*) FILTER (WHERE NOT hit AND error IS NOT NULL) AS errors,
 CAST(sum(CASE WHEN hit THEN 0 ELSE in_tokens END) AS bigint) AS in_tokens, CAST(sum(CASE WHEN hit THEN 0 ELSE out_tokens END) AS bigint) AS out_tokens,
-round(CAST(sum(CASE WHEN hit THEN 0 ELSE cost END) AS double), 5) AS cost, round(CAST(sum(CASE WHEN hit THEN cost ELSE 0 END) AS double), 5) AS saved FROM k GROUP BY model""")
+round(CAST(sum(CASE WHEN hit THEN 0 ELSE cost END) AS double), 6) AS cost, round(CAST(sum(CASE WHEN hit THEN cost ELSE 0 END) AS double), 6) AS saved FROM k GROUP BY model""")
 def usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls, cache hits, errors, tokens, cost and what the cache saved, by model; a prompt has 40 tokens and those of its item."""
     k = annotations(spark, sf_dir).withColumn("key", T.chain_hash(F.lit("p"), F.col("model"), F.col("item_id").cast("string"))).withColumn("in_tokens", 40 + F.col("item_id") % 50)
@@ -260,7 +260,7 @@ def usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = lambda c: F.sum(F.when(F.col("hit"), 0).otherwise(F.col(c)))
     return k.groupBy("model").agg(
         F.count("*").alias("asked"), F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("calls"), F.count_if(~F.col("hit") & F.col("error").isNotNull()).alias("errors"),
-        new("in_tokens").alias("in_tokens"), new("out_tokens").alias("out_tokens"), F.round(new("cost"), 5).alias("cost"), F.round(F.sum(F.when(F.col("hit"), F.col("cost")).otherwise(0.0)), 5).alias("saved"),
+        new("in_tokens").alias("in_tokens"), new("out_tokens").alias("out_tokens"), F.round(new("cost"), 6).alias("cost"), F.round(F.sum(F.when(F.col("hit"), F.col("cost")).otherwise(0.0)), 6).alias("saved"),
     )
 
 
