@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import shared_dir
 
+BUCKETS = 1_024
 OUT = "item_id bigint, label string, n_votes int, reason string, decided_us bigint"
 
 
@@ -37,41 +38,54 @@ def decision(votes: list[list], quorum: int, wait_us: int) -> tuple[int, str, in
     return deadline, max(counts, key=counts.get), len(models), "deadline"  # the first of equals: they stand in order
 
 
-def late_votes(votes: DataFrame, quorum: int, wait: timedelta, late: str, keep: timedelta) -> DataFrame:
+def late_votes(votes: DataFrame, quorum: int, wait: timedelta, late: str, keep: timedelta, buckets: int = BUCKETS) -> DataFrame:
     """Decisions (``OUT``) on a stream of votes(item_id, model, label, ts).
 
-    An item's votes are its state. A timer stands at the time of its decision as far as is known; it fires once the watermark
-    (the latest time seen less ``late``) has passed it, so all votes up to there have come and the decision is the same in
-    whatever order and batches they did. What is left is a mark until when the item is closed, ``keep`` after the decision:
-    votes before that are dropped, later ones open the item anew, and without any the state expires. Votes behind the
-    watermark are dropped. Null items, models, labels and times are left out.
+    An item's votes are its state; items are dealt by a hash to ``buckets`` keyed states, as a call for each item costs far
+    more than the item's votes. ``buckets`` must stay the same while a run goes on. An item has a timer at the time of its
+    decision as far as is known, a bucket one at the least of its items' timers. It fires once the watermark (the latest time
+    seen less ``late``) has passed it, so all votes up to there have come and the decision is the same in whatever order and
+    batches they did. What is left is a mark until when the item is closed, ``keep`` after the decision: votes before that are
+    dropped, later ones open the item anew, and without any the mark goes. Votes behind the watermark are dropped. Null items,
+    models, labels and times are left out.
     """
     wait_us, keep_us = wait // timedelta(microseconds=1), keep // timedelta(microseconds=1)
 
     def handle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, closed = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        held += [[int(t), str(m), str(x)] for f in frames for t, m, x in zip(f["us"], f["model"], f["label"], strict=True)]
-        passed, out = state.getCurrentWatermarkMs(), []
-        held = [v for v in held if not closed or v[0] >= closed]
-        while held:
-            at, label, n, reason = decision(held, quorum, wait_us)
-            if -(-at // 1000) >= passed:  # timers stand at whole milliseconds
-                break
-            out.append((key[0], label, n, reason, at))
-            closed = at + keep_us
-            held = [v for v in held if v[0] >= closed]
-        timer = -(-(at if held else closed) // 1000)
-        if held or timer >= passed:
-            state.update((json.dumps(held), closed))
-            state.setTimeoutTimestamp(max(timer, passed + 1))
+        items = {i: x for i, *x in json.loads(state.get[0])} if state.exists else {}  # item: [timer, closed, votes]
+        passed, out, came = state.getCurrentWatermarkMs(), [], set()
+        for f in frames:
+            for i, *vote in zip(*(f[c].tolist() for c in ("item_id", "us", "model", "label")), strict=True):
+                items.setdefault(i, [0, 0, []])[2].append(vote)
+                came.add(i)
+        for i in [i for i, x in items.items() if i in came or x[0] < passed]:
+            _, closed, held = items[i]
+            held = [v for v in held if not closed or v[0] >= closed]
+            while held:
+                at, label, n, reason = decision(held, quorum, wait_us)
+                if -(-at // 1000) >= passed:  # timers stand at whole milliseconds
+                    break
+                out.append((i, label, n, reason, at))
+                closed = at + keep_us
+                held = [v for v in held if v[0] >= closed]
+            timer = -(-(at if held else closed) // 1000)
+            if held or timer >= passed:
+                items[i] = [timer, closed, held]
+            else:
+                del items[i]
+        if items:
+            state.update((json.dumps([(i, *x) for i, x in items.items()]),))
+            state.setTimeoutTimestamp(max(min(x[0] for x in items.values()), passed + 1))
         elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=["item_id", "label", "n_votes", "reason", "decided_us"])
 
     rows = votes.where("item_id IS NOT NULL AND model IS NOT NULL AND label IS NOT NULL AND ts IS NOT NULL")
-    rows = rows.withWatermark("ts", late).select("item_id", "model", "label", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("item_id").applyInPandasWithState(handle, OUT, "votes string, closed bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int").alias("bucket")
+    of = lambda c, kind: F.col(c).cast(kind).alias(c)
+    rows = rows.withWatermark("ts", late).select(bucket, of("item_id", "bigint"), of("model", "string"), of("label", "string"), "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("bucket").applyInPandasWithState(handle, OUT, "items string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replayed(rows: DataFrame, ts: str, slices: int) -> DataFrame:

@@ -63,6 +63,16 @@ def test_out_of_order_within_the_watermark(spark, tmp_path):
     assert {r[3] for r in got} == {"quorum", "deadline"}
 
 
+def test_items_share_keyed_states(spark, tmp_path):
+    """Three keyed states hold all items, and decisions are the same."""
+    rows = sorted(votes(40, 5), key=lambda r: (r[3], r[:3]))
+    slices(spark, f"{tmp_path}/in", rows, 3)
+    s = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = late_votes.late_votes(s, 2, timedelta(hours=24), "12 hours", timedelta(days=30), buckets=3)
+    got = sorted(tuple(r) for r in windows.run_to_table(out, "late", "append", f"file://{tmp_path}/out").collect())
+    assert got == expected(rows) and len(got) > 20
+
+
 def test_restart_in_mid_stream(spark, tmp_path, monkeypatch):
     """The run dies while a batch is written; another run goes on from the checkpoint, and no item is lost or decided twice."""
     rows = sorted(votes(50, 8), key=lambda r: (r[3], r[:3]))
