@@ -19,8 +19,9 @@ shingles of their plain prefix alone.
    masks (a bit set in one mask only is a missing shingle) rule the link out; for what is left the texts are read, and
    after a bound from 16-bit codes of the shingles the rest is verified exactly on whole sets. Links make components.
    Lists of two, and those whose members are all in one component, are done; the others go on with 8, 128, 2048 ...
-   further leaders against members of other components, again through sizes, positions and whole masks before a pair
-   leaves the join, until every pair of a list is compared or connected. No list is gathered in a task.
+   further leaders against members of other components, again through sizes, positions and whole masks, until every pair
+   of a list is compared or connected. Lists with the same first member meet in a task, which streams them and gives a
+   pair once, however many lists share it. No list is gathered in a task.
 
 Fingerprints of sets and shingles have 64 bits. Result: one row per document with the least doc_id of its component.
 
@@ -32,6 +33,7 @@ is refused with a ValueError.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -273,6 +275,74 @@ def _may_link(percent: int):
     return (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & ((100 + percent) * (shared + F.least(pos, pos2)) >= percent * (n + n2))
 
 
+HELD = 1 << 16  # pairs that are tested, or held back to be made distinct, at once
+
+
+class _Pairs:
+    """Pairs that a task gives, each once as long as few are held."""
+
+    def __init__(self):
+        self.held = np.zeros((0, 2), np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held = np.unique(np.concatenate((self.held, np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))), axis=0)
+        if len(self.held) > HELD:
+            yield self.batch()
+
+    def batch(self) -> pa.RecordBatch:
+        out, self.held = self.held, self.held[:0]
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
+
+
+def _across(leaders: int, percent: int):
+    """Pairs of a list's first ``leaders`` members and later ones of other components that sizes, positions and masks allow.
+
+    Rows come by list and rank; lists with the same first member come to one task, as those that near copies share do, so a
+    pair leaves it about once, not once for each list. Of lists with the same members the first is enough, as no list's
+    positions rule out a link. Only the leaders of a list are held.
+    """
+    columns = ["node", "n", "pos", "comp", "rank"]
+
+    def tested(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (node, n, pos, comp, rank, mask), (node2, n2, pos2, comp2, rank2, mask2) = x, y
+        step = max(1, HELD // max(1, len(node2)))
+        for lo in range(0, len(node), step):
+            r = slice(lo, lo + step)
+            size, other = n[r, None], n2[None]
+            shared = np.minimum(size - pos[r, None], other - pos2[None]) + np.minimum(pos[r, None], pos2[None])
+            fits = (rank[r, None] > rank2[None]) & (comp[r, None] != comp2[None]) & (100 * np.minimum(size, other) >= percent * np.maximum(size, other))
+            i, j = np.nonzero(fits & ((100 + percent) * shared >= percent * (size + other)))
+            i += lo
+            missing = lambda p, q: np.bitwise_count(p & ~q).sum(1, dtype=np.int64)
+            shared = np.minimum(n[i] - missing(mask[i], mask2[j]), n2[j] - missing(mask2[j], mask[i]))
+            keep = (100 + percent) * shared >= percent * (n[i] + n2[j])
+            yield node[i[keep]], node2[j[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, last, held, known = _Pairs(), None, None, set()
+        for b in batches:
+            sig = b.column("sig").to_numpy()
+            rows = [b.column(x).to_numpy().astype(np.int64) for x in columns]
+            rows.append(np.stack([b.column(f"mask{i}").to_numpy() for i in range(MASK_WORDS)], axis=1).view(np.uint64))  # bits of signed words would be those of their amount
+            cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                mine = [x[lo:hi] for x in rows]
+                if hi < len(sig) and sig[lo] != last:  # a whole list
+                    members = hashlib.blake2b(mine[0].tobytes(), digest_size=16).digest()
+                    if members in known:
+                        continue
+                    if len(known) < HELD:
+                        known.add(members)
+                first = [x[mine[4] <= leaders] for x in mine]
+                held = first if sig[lo] != last else [np.concatenate(x) for x in zip(held, first, strict=True)]
+                last = sig[lo]
+                for pair in tested(mine, held):
+                    yield from out.add(*pair)
+        yield out.batch()
+
+    return run
+
+
 def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``documents``."""
     if percent < 50:
@@ -315,19 +385,17 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     comp = components(links)
     # all pairs with a leader are compared; go on with lists whose other members are in several components
     rest = level.where("head.node <> node AND NOT pair").select("sig", "node", "n", "pos").unionByName(level.where("hot AND head.node = node").select("sig", "node", "n", "pos"))
-    leaders = 8
+    leaders, in_list = 8, Window.partitionBy("sig").orderBy("node", "pos")
     while True:
         placed = rest.join(if_few(comp), "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
         open_lists = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        ranked = placed.join(open_lists, "sig", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node", "pos")))
+        ranked = placed.join(open_lists, "sig", "left_semi").withColumns({"rank": F.row_number().over(in_list), "head": F.first("node").over(in_list)})
         ranked = written(ranked.join(nodes.select("node", *_words("mask")), "node"), "open")
         if ranked.isEmpty():
             old += [ranked]
             break
-        a = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"), *[F.col(f"mask{i}").alias(f"other{i}") for i in range(MASK_WORDS)])
-        across = (F.col("rank") > F.col("rank2")) & (F.col("comp") != F.col("comp2")) & _may_link(percent) & _by_masks(percent, "n", "n2", "mask", "other")
-        more = ranked.alias("r").join(a, (F.col("r.sig") == a["sig"]) & across)
-        more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        dealt = ranked.repartition("head").sortWithinPartitions("head", "sig", "rank")
+        more = dealt.mapInArrow(tidy(_across(leaders, percent)), "a bigint, b bigint").distinct()
         found = verifier.links(more)
         old += [ranked]
         if not found.isEmpty():

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from hypothesis import given, settings
@@ -616,3 +617,24 @@ def test_short_benchmark_items(spark):
     far = 2_000_001
     assert got == {(1, 10, 0, 0, 8), (1, 11, 0, 5, 8), (1, 12, 0, 5, 8), (3, 11, 0, 0, 3), (3, 12, 0, 0, 3), (1, 16, 0, 12, 13), (6, 11, 0, far, far + 3), (6, 12, 0, far, far + 3)}
     assert {r["doc_id"] for r in decontamination.uncontaminated(docs, bench).collect()} == {2, 4, 5}
+
+
+def test_pairs_of_open_lists_leave_a_task_once():
+    """However many lists two members share, with other members or the same ones, and over any cut into batches."""
+    rng = np.random.default_rng(5)
+    sets = [frozenset(range(100)), frozenset(range(2, 102)), frozenset(range(500, 600)), frozenset(range(1, 101))]
+    comp = [0, 1, 2, 0]
+    masks = np.zeros((4, jaccard_join.MASK_WORDS * 64), bool)
+    for i, x in enumerate(sets):
+        masks[i, [7 * y % masks.shape[1] for y in x]] = True
+    words = np.packbits(masks, axis=1, bitorder="little").view(np.int64)
+    assert (words < 0).any()  # the highest bit of a word counts as any other
+    rows = []
+    for sig in range(200):
+        for rank, i in enumerate(sorted([0, *(rng.permutation(3)[: rng.integers(1, 4)] + 1).tolist()]), 1):
+            rows.append((sig, i, 100, 0, comp[i], rank, *words[i].tolist()))
+    names = ["sig", "node", "n", "pos", "comp", "rank", *(f"mask{i}" for i in range(jaccard_join.MASK_WORDS))]
+    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+    for size in (3, 50, 1000):
+        out = pa.Table.from_batches(jaccard_join._across(8, 75)(iter(table.to_batches(size))))
+        assert list(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) == [(0, 1), (1, 3)]
