@@ -93,10 +93,9 @@ def glad_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def crowd_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skill of each model by each converged crowd model."""
-    v = votes.valid(annotations(spark, sf_dir))
-    out = None
+    models, out = crowd.Crowd(votes.valid(annotations(spark, sf_dir)), LABELS, kept=False), None
     for m in crowd.METHODS:
-        part = crowd.worker_skill(v, LABELS, m).select(F.lit(m).alias("method"), "model", F.round("skill", 6).alias("skill"))
+        part = models.skill(m).select(F.lit(m).alias("method"), "model", F.round("skill", 6).alias("skill"))
         out = part if out is None else out.unionByName(part)
     return out
 
