@@ -8,6 +8,8 @@ from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def char_grams(text, lo: int = 2, hi: int = 4):
     """Character n-grams within words padded by a blank on both sides, as an array with repeats."""
@@ -41,12 +43,18 @@ def gain(rows: DataFrame, sizes: list[int], base: int) -> DataFrame:
     spark = rows.sparkSession
     order = rows.select("seq").orderBy(F.md5(F.col("seq").cast("string")), "seq").limit(base + max(sizes)).collect()
     rank = {r[0]: i for i, r in enumerate(order)}
-    ranks = spark.createDataFrame(sorted(rank.items()), "seq bigint, rank int")
-    f = features(rows).join(F.broadcast(ranks), "seq", "left")
-    rest = f.where("rank IS NULL")
-    out = []
-    for k in [0, *sizes]:
-        model = fit(f.where(F.col("rank") < base + k).select("grams", F.col("label").cast("double").alias("label")))
-        r = model.transform(rest.withColumn("label", F.col("label").cast("double"))).agg(F.count("*"), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
-        out.append((k, base + k, r[0], round(r[1] or 0.0, 6)))
+    ranks = F.broadcast(spark.createDataFrame(sorted(rank.items()), "seq bigint, rank int"))
+    f = features(rows.join(ranks, "seq").select("rank", "text", F.col("label").cast("double").alias("label"))).drop("text")
+    path = shared_dir(spark, "train")
+    f.coalesce(1).write.parquet(path)  # few rows, read by every pass of every fit
+    f = spark.read.schema(f.schema).parquet(path)
+    models = [fit(f.where(F.col("rank") < base + k).select("grams", "label")) for k in [0, *sizes]]
+    # the other rows are read once: features and term counts are the same for all models
+    rest = features(rows.join(ranks, "seq", "left_anti").select("text", F.col("label").cast("double").alias("label"))).drop("text")
+    rest = models[0].stages[0].transform(rest).drop("grams")
+    for i, (_, idf, lr) in enumerate(m.stages for m in models):
+        rest = idf.setOutputCol(f"x{i}").transform(rest)
+        rest = lr.setFeaturesCol(f"x{i}").setPredictionCol(f"p{i}").setRawPredictionCol("").setProbabilityCol("").transform(rest)
+    r = rest.agg(F.count("*"), *[F.avg((F.col(f"p{i}") == F.col("label")).cast("double")) for i in range(len(models))]).first()
+    out = [(k, base + k, r[0], round(r[1 + i] or 0.0, 6)) for i, k in enumerate([0, *sizes])]
     return spark.createDataFrame(out, "k int, n_train int, n_rest bigint, accuracy double")
