@@ -97,15 +97,17 @@ def repeated_lines(b: DataFrame, pages: int = 3, max_len: int = 30) -> DataFrame
 
 def paragraphs(b: DataFrame, min_chars: int = 20) -> DataFrame:
     """(doc, n, chapter, page, text) of ``b(doc, pos, page, text, heading)``: headings carried forward, noise dropped."""
+    noise = repeated_lines(b.select("doc", "page", "text")).groupBy("doc").agg(F.collect_set("flat").alias("noise"))
     first = F.trim(F.regexp_extract("text", r"^\s*([^\n]*)", 1))
     rest = F.regexp_replace("text", r"^\s*[^\n]*\n?", "")
+    b = b.repartition("doc")  # the only time that texts are moved: the windows and the join are by doc
     b = b.withColumn("first", first).withColumn("head", F.col("heading") | is_heading(F.col("first")))
     w = Window.partitionBy("doc").orderBy("pos")
     b = b.withColumn("chapter", F.coalesce(F.last(F.when(F.col("head"), F.left("first", F.lit(40))), True).over(w), F.lit("(opening)")))
     b = b.withColumn("body", F.when(F.col("head"), clean(rest)).otherwise(clean(F.col("text"))))
     flat = F.regexp_replace("body", r"\s+", "")
-    kept = b.where((F.length("body") >= min_chars) & ~flat.rlike(NOISE)).withColumn("flat", flat)
-    kept = kept.join(repeated_lines(b.select("doc", "page", "text")), ["doc", "flat"], "left_anti")
+    kept = b.where((F.length("body") >= min_chars) & ~flat.rlike(NOISE)).join(noise, "doc", "left")
+    kept = kept.where(~F.coalesce(F.array_contains("noise", flat), F.lit(False)))
     return kept.select("doc", F.row_number().over(w).alias("n"), "chapter", "page", F.col("body").alias("text"))
 
 
