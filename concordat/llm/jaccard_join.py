@@ -20,8 +20,8 @@ shingles of their plain prefix alone.
    after a bound from 16-bit codes of the shingles the rest is verified exactly on whole sets. Links make components.
    Lists of two, and those whose members are all in one component, are done; the others go on with 8, 128, 2048 ...
    further leaders against members of other components, again through sizes, positions and whole masks, until every pair
-   of a list is compared or connected. Lists with the same first member meet in a task, which streams them and gives a
-   pair once, however many lists share it. No list is gathered in a task.
+   of a list is compared or connected. Tasks stream the lists, long ones in parts, and a pair comes from the first list that
+   both members are in, however many they share. No list is gathered in a task.
 
 Fingerprints of sets and shingles have 64 bits. Result: one row per document with the least doc_id of its component.
 
@@ -33,7 +33,6 @@ is refused with a ValueError.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -276,73 +275,124 @@ def _may_link(percent: int):
 
 
 HELD = 1 << 16  # pairs that are tested, or held back to be made distinct, at once
+LEAST, NO_LIST = 16, np.int64((1 << 63) - 1)  # so many first lists of a member are known to all its rows
+PART = 4_096  # members of an open list that a part of it has, besides copies of the leaders
 
 
 class _Pairs:
     """Pairs that a task gives, each once as long as few are held."""
 
     def __init__(self):
-        self.held = np.zeros((0, 2), np.int64)
+        self.held, self.n = [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held = np.unique(np.concatenate((self.held, np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))), axis=0)
-        if len(self.held) > HELD:
-            yield self.batch()
+        self.held.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+        self.n += len(a)
+        if self.n > 2 * HELD:  # sorted only once HELD more have come
+            self.held = [self._distinct()]
+            self.n = len(self.held[0])
+            if self.n > HELD:
+                yield self.batch()
+
+    def _distinct(self) -> np.ndarray:
+        x = np.concatenate([np.zeros((0, 2), np.int64), *self.held])
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        return x[np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1)))] if len(x) else x
 
     def batch(self) -> pa.RecordBatch:
-        out, self.held = self.held, self.held[:0]
+        out = self._distinct()
+        self.held, self.n = [], 0
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
 
 
+def _least(b: pa.RecordBatch) -> np.ndarray:
+    """The rows' column ``least`` as a table of LEAST columns; without that column nothing is known of other lists."""
+    out = np.full((b.num_rows, LEAST), NO_LIST)
+    if "least" in b.schema.names:
+        lists = b.column("least")
+        out[np.arange(LEAST) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _elsewhere(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Is the first list that two members share, as far as their ``least`` show it, another one than ``sig``."""
+    shared = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x != NO_LIST)
+    return shared.any(axis=1) & (x[np.arange(len(x)), shared.argmax(axis=1)] != sig)
+
+
 def _across(leaders: int, percent: int):
     """Pairs of a list's first ``leaders`` members and later ones of other components that sizes, positions and masks allow.
 
-    Rows come by list and rank; lists with the same first member come to one task, as those that near copies share do, so a
-    pair leaves it about once, not once for each list. Of lists with the same members the first is enough, as no list's
-    positions rule out a link. Only the leaders of a list are held.
+    Rows come by list, part of it and rank; every part of a long list has copies of its leaders (``home`` is false). A pair is
+    given in the first list that both are in, so it leaves once, however many lists and tasks share it; if it has no leader
+    there yet, its turn comes in a later round. ``least`` has the first lists of a member; should two members share none of
+    these, each list gives the pair. Only the leaders of a part are held.
     """
-    columns = ["node", "n", "pos", "comp", "rank"]
-
-    def tested(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        (node, n, pos, comp, rank, mask), (node2, n2, pos2, comp2, rank2, mask2) = x, y
-        step = max(1, HELD // max(1, len(node2)))
-        for lo in range(0, len(node), step):
-            r = slice(lo, lo + step)
-            size, other = n[r, None], n2[None]
-            shared = np.minimum(size - pos[r, None], other - pos2[None]) + np.minimum(pos[r, None], pos2[None])
-            fits = (rank[r, None] > rank2[None]) & (comp[r, None] != comp2[None]) & (100 * np.minimum(size, other) >= percent * np.maximum(size, other))
-            i, j = np.nonzero(fits & ((100 + percent) * shared >= percent * (size + other)))
-            i += lo
-            missing = lambda p, q: np.bitwise_count(p & ~q).sum(1, dtype=np.int64)
-            shared = np.minimum(n[i] - missing(mask[i], mask2[j]), n2[j] - missing(mask2[j], mask[i]))
-            keep = (100 + percent) * shared >= percent * (n[i] + n2[j])
-            yield node[i[keep]], node2[j[keep]]
+    columns = ["sig", "node", "n", "pos", "comp", "rank"]
+
+    def rows_of(b: pa.RecordBatch) -> list[np.ndarray]:
+        rows = [b.column(x).to_numpy().astype(np.int64) for x in columns]
+        names = b.schema.names
+        part = b.column("part").to_numpy() if "part" in names else np.zeros(b.num_rows, np.int64)
+        home = b.column("home").to_numpy(zero_copy_only=False) if "home" in names else np.ones(b.num_rows, bool)
+        mask = np.stack([b.column(f"mask{i}").to_numpy() for i in range(MASK_WORDS)], axis=1).view(np.uint64)  # bits of signed words would be those of their amount
+        return [*rows, part, home, mask, _least(b)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last, held, known = _Pairs(), None, None, set()
+        out, held = _Pairs(), None
         for b in batches:
-            sig = b.column("sig").to_numpy()
-            rows = [b.column(x).to_numpy().astype(np.int64) for x in columns]
-            rows.append(np.stack([b.column(f"mask{i}").to_numpy() for i in range(MASK_WORDS)], axis=1).view(np.uint64))  # bits of signed words would be those of their amount
-            cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
-            for lo, hi in zip(cut, cut[1:], strict=False):
-                mine = [x[lo:hi] for x in rows]
-                if hi < len(sig) and sig[lo] != last:  # a whole list
-                    members = hashlib.blake2b(mine[0].tobytes(), digest_size=16).digest()
-                    if members in known:
-                        continue
-                    if len(known) < HELD:
-                        known.add(members)
-                first = [x[mine[4] <= leaders] for x in mine]
-                held = first if sig[lo] != last else [np.concatenate(x) for x in zip(held, first, strict=True)]
-                last = sig[lo]
-                for pair in tested(mine, held):
-                    yield from out.add(*pair)
+            if not b.num_rows:
+                continue
+            rows = rows_of(b)
+            if held is not None and (held[0][0], held[6][0]) == (rows[0][0], rows[6][0]):  # the list goes on
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            sig, node, n, pos, comp, rank, part, home, mask, least = rows
+            first = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]))))
+            start = np.repeat(first, np.diff(np.append(first, len(sig))))
+            lead = np.add.reduceat((rank <= leaders).astype(np.int64), first)
+            # a member meets the leaders before it
+            count = np.where(home, np.minimum(np.repeat(lead, np.diff(np.append(first, len(sig)))), np.arange(len(sig)) - start), 0)
+            total, at = np.cumsum(count), 0
+            while at < len(sig):
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD, "right")))
+                c = count[at:stop]
+                i = np.repeat(np.arange(at, stop), c)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + start[i]
+                at = stop
+                apart = comp[i] != comp[j]
+                i, j = i[apart], j[apart]
+                fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                fits &= (100 + percent) * (np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j])) >= percent * (n[i] + n[j])
+                i, j = i[fits], j[fits]
+                missing = lambda p, q: np.bitwise_count(mask[p] & ~mask[q]).sum(1, dtype=np.int64)  # noqa: B023, E731
+                fits = (100 + percent) * np.minimum(n[i] - missing(i, j), n[j] - missing(j, i)) >= percent * (n[i] + n[j])
+                i, j = i[fits], j[fits]
+                here = ~_elsewhere(least[i], least[j], sig[i])
+                yield from out.add(node[i[here]], node[j[here]])
+            last = slice(int(first[-1]), int(first[-1] + lead[-1]))
+            held = [x[last].copy() for x in rows] if lead[-1] else None
+            if held is not None:
+                held[7][:] = False  # as a copy of leaders that were members in their batch
         yield out.batch()
 
     return run
 
 
+def _first_lists(ranked: DataFrame) -> DataFrame:
+    """(node, least): the first LEAST lists of each member of ``ranked``."""
+    return ranked.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LEAST).alias("least"))
+
+
+def _in_parts(ranked: DataFrame, leaders: int) -> DataFrame:
+    """Members of open lists with their part of the list; the leaders of a list of several parts are copied to the others."""
+    size = max(PART, 8 * leaders)
+    d = ranked.withColumns({"parts": F.expr(f"cast((members - 1) div {size} + 1 AS int)"), "home": F.lit(True)})
+    d = d.withColumn("part", F.pmod("rank", "parts").cast("int"))
+    copies = d.where((F.col("rank") <= leaders) & (F.col("parts") > 1)).withColumn("home", F.lit(False))
+    copies = copies.withColumn("part", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part"))))
+    return d.unionByName(copies).drop("parts", "members")
+
+
 def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``documents``."""
     if percent < 50:
@@ -388,16 +438,17 @@ def linked_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     leaders, in_list = 8, Window.partitionBy("sig").orderBy("node", "pos")
     while True:
         placed = rest.join(if_few(comp), "node", "left").select("sig", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
-        open_lists = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        ranked = placed.join(open_lists, "sig", "left_semi").withColumns({"rank": F.row_number().over(in_list), "head": F.first("node").over(in_list)})
-        ranked = written(ranked.join(nodes.select("node", *_words("mask")), "node"), "open")
+        of_list = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("who2")]
+        # of lists with the same members one is enough, as no list's positions rule out a link
+        open_lists = placed.groupBy("sig").agg(*of_list).where("lo <> hi").groupBy("members", "who", "who2").agg(F.min("sig").alias("sig")).select("sig", "members")
+        ranked = written(placed.join(open_lists, "sig").withColumn("rank", F.row_number().over(in_list)), "open")
+        old += [ranked]
         if ranked.isEmpty():
-            old += [ranked]
             break
-        dealt = ranked.repartition("head").sortWithinPartitions("head", "sig", "rank")
+        dealt = _in_parts(ranked, leaders).join(nodes.select("node", *_words("mask")).join(_first_lists(ranked), "node"), "node")
+        dealt = dealt.repartition("sig", "part").sortWithinPartitions("sig", "part", "rank")
         more = dealt.mapInArrow(tidy(_across(leaders, percent)), "a bigint, b bigint").distinct()
         found = verifier.links(more)
-        old += [ranked]
         if not found.isEmpty():
             links = written(links.union(found), "links")
             comp = components(links)

@@ -638,3 +638,51 @@ def test_pairs_of_open_lists_leave_a_task_once():
     for size in (3, 50, 1000):
         out = pa.Table.from_batches(jaccard_join._across(8, 75)(iter(table.to_batches(size))))
         assert list(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) == [(0, 1), (1, 3)]
+
+
+def test_pairs_of_open_lists_leave_once_whatever_the_tasks(spark, monkeypatch):
+    """Lists with other first members, and parts of one list, lie in several tasks; each pair still leaves once, none is lost."""
+    monkeypatch.setattr(jaccard_join, "PART", 5)
+    rng = np.random.default_rng(6)
+    lists = [sorted(rng.permutation(60)[: rng.integers(20, 50)].tolist()) for _ in range(40)]
+    rows = [(sig, node, 100, 0, node % 7, len(x), rank) for sig, x in enumerate(lists) for rank, node in enumerate(x, 1)]
+    ranked = spark.createDataFrame(rows, "sig long, node long, n int, pos int, comp long, members long, rank int")
+    words = [f"0L AS mask{i}" for i in range(jaccard_join.MASK_WORDS)]
+    names = ["sig", "node", "n", "pos", "comp", "rank", "part", "home", "least", *(f"mask{i}" for i in range(jaccard_join.MASK_WORDS))]
+    for leaders in (1, 64):  # in parts of 8 members, and all compared
+        parts = jaccard_join._in_parts(ranked, leaders)
+        assert (parts.agg({"part": "max"}).first()[0] > 0) == (leaders == 1)
+        dealt = parts.join(jaccard_join._first_lists(ranked), "node").selectExpr("*", *words).select(names)
+        dealt = dealt.repartition(16, "sig", "part").sortWithinPartitions("sig", "part", "rank")
+        got = [tuple(r) for r in dealt.mapInArrow(jaccard_join._across(leaders, 75), "a long, b long").collect()]
+        first = {}
+        for sig, x in enumerate(lists):
+            for i, b in enumerate(x):
+                for rank, a in enumerate(x[:i], 1):
+                    first.setdefault((a, b), (sig, rank))
+        want = {(a, b) for (a, b), (_, rank) in first.items() if a % 7 != b % 7 and rank <= leaders}
+        assert set(got) >= want and all(a % 7 != b % 7 for a, b in got)
+        if leaders == 64:
+            assert set(got) == want
+        known = {r["node"]: set(r["least"]) for r in jaccard_join._first_lists(ranked).collect()}
+        seen = collections.Counter(p for p in got if known[p[0]] & known[p[1]])
+        assert max(seen.values()) == 1
+
+
+def test_jaccard_in_parts(spark, monkeypatch):
+    """Groups that share frequent passages without a link, their open lists in parts of a few members."""
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))
+    base = [word() for _ in range(80)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 9)):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(dict(rows))
+    assert len({c for _, c in want.values()}) > 5
+    for frequent in (32, 2):
+        assert {r[0]: (r[1], r[2]) for r in jaccard_join.linked_components(df, frequent=frequent).collect()} == want
