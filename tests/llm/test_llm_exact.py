@@ -686,3 +686,36 @@ def test_jaccard_in_parts(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 5
     for frequent in (32, 2):
         assert {r[0]: (r[1], r[2]) for r in jaccard_join.linked_components(df, frequent=frequent).collect()} == want
+
+
+def test_rules_are_fitted_on_all_labelled_rows(spark):
+    """More labelled rows than the 10,000 that once were the limit: forest and threshold are those of all of them."""
+    text = "concat_ws(' ', transform(sequence(1, 60 + id % 40), i -> concat(if(id % 9 = 0, 'W#', 'w'), conv(abs(hash(id, i)) % 5000, 10, 16), if(i % (5 + id % 4) = 0, ',', ''))))"
+    docs = spark.range(12_000).selectExpr("id AS doc_id", f"{text} AS text")
+    labels = spark.range(12_000).selectExpr("id AS doc_id", "if(id % 9 = 0, 0, 1) AS quality")
+    rules = quality_rules.train(docs, labels)
+    rows = docs.join(labels, "doc_id").select("text", "quality").collect()
+    x = measure([r["text"].encode() for r in rows])[1][:, quality_rules.RULES]
+    good = np.array([r["quality"] == 1 for r in rows])
+    forest = quality_rules.IsolationForest.fit(x[good], x.min(0), x.max(0))
+    assert (rules.forest.feature == forest.feature).all() and rules.forest.length == pytest.approx(forest.length)
+    assert rules.threshold == pytest.approx(quality_rules.calibrated(forest.anomaly(x), good), abs=1e-12)
+
+
+def test_threshold_over_a_table(spark):
+    rng = np.random.default_rng(9)
+    score = np.round(rng.random(900), 2)
+    good = rng.random(900) < 0.8
+    scores = spark.createDataFrame([(float(s), int(g)) for s, g in zip(score, good, strict=True)], "score double, label int")
+    for loss in (0.0, 0.013, 0.5):
+        assert quality_rules.calibrated_over(scores, int(good.sum()), loss, 20) == pytest.approx(quality_rules.calibrated(score, good, loss), abs=1e-12)
+
+
+def test_batches_of_a_task_are_small():
+    """A large batch of Spark's is worked through in parts, in order and whole."""
+    from concordat.llm._text import BATCH_ROWS, tidy
+
+    sizes = []
+    run = tidy(lambda batches: (sizes.append(b.num_rows) or b for b in batches))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], ["x"])
+    assert pa.Table.from_batches(run(iter([batch])))["x"].to_pylist() == list(range(10_000)) and max(sizes) <= BATCH_ROWS
