@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
+BATCH_ROWS = 2_048
 BROADCAST_ROWS = 200_000  # of two whole numbers each, a few megabytes
 
 _rng = np.random.default_rng(20240601)
@@ -182,10 +183,11 @@ def drop_tables(spark: SparkSession, tables: list[DataFrame]) -> None:
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` over a task's batches, giving back to the system afterwards what the task had in memory: Python workers stay for
-    the next tasks, and what they hold meanwhile counts for the executor."""
+    the next tasks, and what they hold meanwhile counts for the executor. ``run`` gets at most ``BATCH_ROWS`` rows at a time, as
+    texts of a whole batch of Spark's, taken out as Python objects, are some tens of megabytes a task."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
         give_back()
 
     return tidied

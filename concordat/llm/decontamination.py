@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from ._text import LOWER, SPACE, chunks, if_few, mix, texts_of, tidy, written
 
-Q, EDITS, PATTERN, BLOCK_CHARS, PIECE, LEAST = 16, 0.05, 400, 4_000_000, 1 << 20, 4
+Q, EDITS, PATTERN, BLOCK_CHARS, PIECE, LEAST = 16, 0.05, 400, 4_000_000, 1 << 18, 4
 TABLE_BITS = 22
 WORD = np.zeros(256, bool)  # ASCII letters and digits, and bytes of other characters
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-ENTRIES, CELLS = 1 << 21, 1 << 20  # of shared q-grams, and of a row of alignments, held at a time
+ENTRIES, CELLS = 1 << 19, 1 << 18  # of shared q-grams, and of a row of alignments, held at a time
 
 
 def normalised(raw: np.ndarray, after_space: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -311,7 +311,7 @@ def digest(documents: DataFrame, ranges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(sha, pa.string())], names)
 
     rows = _joined(documents.select("doc_id", F.col("text").cast("binary").alias("text")), ranges)
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             columns = [pa.array(cut, pa.string()) if x == "text" else b.column(x) for x in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
